@@ -61,23 +61,16 @@ def exact_median(df: DataFrame, value_col: str, accuracy: int = 10_000) -> DataF
         F.count(value).alias("n"),
     )
     bounds = cut_lineage(bounds)
-    bracketed = df.join(F.broadcast(bounds), value.between(F.col("lo"), F.col("hi"))).groupBy(value.alias("v")).count()
-    below = df.join(F.broadcast(bounds), value < F.col("lo")).agg(F.count("*").alias("below"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("v")
-    ranked = bracketed.select("v", F.sum("count").over(upto).alias("upto"), "count")
-    last = F.col("below") + F.col("upto")
-    first = last - F.col("count") + 1
-    lower_rank, upper_rank = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    return (
-        ranked.join(F.broadcast(below))
-        .join(F.broadcast(bounds.select("n")))
-        .agg(
-            (
-                (
-                    F.max(F.when(lower_rank.between(first, last), F.col("v")))
-                    + F.max(F.when(upper_rank.between(first, last), F.col("v")))
-                )
-                / 2
-            ).alias("median")
-        )
+    lo, hi, n = (bounds.select(c).scalar() for c in ("lo", "hi", "n"))
+    below = df.filter(value < lo).agg(F.count("*")).scalar()
+    bracketed = df.filter(value.between(lo, hi)).groupBy(value.alias("v")).count()
+    upto = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("v"))
+    ranked = bracketed.select("v", "count", (below + upto).alias("last")).withColumn(
+        "first", F.col("last") - F.col("count") + 1
     )
+    lower, upper = F.floor((n + 1) / 2), F.floor((n + 2) / 2)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("v")))
+
+    return ranked.agg(((at(lower) + at(upper)) / 2).alias("median"))
