@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.numbers import ratio, round_even
+from termloom.functions.vectors import distance, mean_vectors
 
 OUTLIER = -1
 
@@ -174,3 +175,38 @@ def keyword_lists(ranked: DataFrame, order_col: str, name: str) -> DataFrame:
     """Ordered keyword array per cluster; only for inputs already limited to a few rows per cluster."""
     pairs = F.array_sort(F.collect_list(F.struct(order_col, "keyword")))
     return ranked.groupBy("cluster_id").agg(F.transform(pairs, lambda p: p["keyword"]).alias(name))
+
+
+def quality_score(mean_distance: Column, size: Column, overlap: Column, confidence: Column) -> Column:
+    """0-100 score of tightness, URL overlap, size and validation confidence (NULL confidence: no validation)."""
+    tightness = F.greatest(F.lit(0.0), 30 * F.exp(-mean_distance))
+    agreement = F.when(confidence > 0, overlap * 30).otherwise(15.0)
+    balance = (
+        F.when(size.between(5, 100), 20.0)
+        .when(size < 5, size * 4.0)
+        .otherwise(F.greatest(F.lit(10.0), 20 - (size - 100) * 0.1))
+    )
+    clarity = F.coalesce(confidence * 20, F.lit(10.0))
+    return F.least(F.lit(100.0), tightness + agreement + balance + clarity)
+
+
+def cluster_info(points: DataFrame, validations: DataFrame | None = None) -> DataFrame:
+    """Centroid, size, validation and quality per cluster. Members stay in the points table."""
+    members = clustered(points).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+    centroids = mean_vectors(members, ["cluster_id"], "vec")
+    spread = (
+        members.join(centroids.select("cluster_id", "centroid"), "cluster_id")
+        .groupBy("cluster_id")
+        .agg(F.avg(distance(F.col("vec"), F.col("centroid"))).alias("mean"))
+    )
+    info = centroids.join(spread, "cluster_id")
+    if validations is None:
+        info = info.withColumns({"average_overlap": F.lit(None).cast("double"), "confidence": F.lit(None).cast("double")})
+    else:
+        info = info.join(
+            validations.select(F.col("cluster_id").cast("long").alias("cluster_id"), "average_overlap", "confidence"),
+            "cluster_id",
+            "left",
+        )
+    score = quality_score(F.col("mean"), F.col("size"), F.col("average_overlap"), F.col("confidence"))
+    return info.withColumn("quality_score", score).drop("mean")
