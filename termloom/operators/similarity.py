@@ -191,8 +191,8 @@ def _pairs_in_blocks(vectors: DataFrame, threshold: float, dim: int, schema: str
     def match(key: tuple, a_rows: pd.DataFrame, b_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(a_rows) or not len(b_rows):
             return pd.DataFrame({"id_a": [], "id_b": [], "similarity": []})
-        a_ids, b_ids = a_rows["cluster_id"].to_numpy(), b_rows["cluster_id"].to_numpy()
-        scores = _unit_rows(_matrix(a_rows["centroid"])) @ _unit_rows(_matrix(b_rows["centroid"])).T
+        a_ids, b_ids = a_rows["cluster_id"].to_numpy(), b_rows["cluster_id_"].to_numpy()
+        scores = _unit_rows(_matrix(a_rows["centroid"])) @ _unit_rows(_matrix(b_rows["centroid_"])).T
         keep = scores >= threshold
         if key[:2] == key[2:]:
             keep &= a_ids[:, None] < b_ids[None, :]
@@ -203,7 +203,9 @@ def _pairs_in_blocks(vectors: DataFrame, threshold: float, dim: int, schema: str
     return (
         left.select("cluster_id", "centroid", *key)
         .groupBy(*key)
-        .cogroup(right.select("cluster_id", "centroid", *key).groupBy(*key))
+        .cogroup(right.select(*[F.col(c).alias(f"{c}_") for c in ("cluster_id", "centroid", *key)]).groupBy(
+            *[f"{c}_" for c in key]
+        ))
         .applyInPandas(match, schema)
     )
 
