@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # Cluster id from brand number and type: 0..149, with every 13th part unclustered.
-_GROUP = (
+GROUP_SQL = (
     "(cast(substr(p_brand, 7) as int) - 1) * 6 + case p_type when 'ECONOMY' then 0 when 'LARGE' then 1 "
     "when 'MEDIUM' then 2 when 'PROMO' then 3 when 'SMALL' then 4 else 5 end"
 )
@@ -20,7 +20,7 @@ _GROUP = (
 _KEYWORD_COLUMNS = [
     "p_partkey as row_id",
     "p_brand||'|'||p_type as grp",
-    f"case when p_partkey % 13 = 0 then -1 else {_GROUP} end as cluster_id",
+    f"case when p_partkey % 13 = 0 then -1 else {GROUP_SQL} end as cluster_id",
     """case when p_partkey % 97 = 5 then repeat('x',201) when p_partkey % 89 = 7 then '  '
   when p_partkey % 10 = 0 then 'buy '||p_name when p_partkey % 10 = 1 then 'Best  '||p_name||' reviews'
   when p_partkey % 10 = 2 then 'how to use '||p_name when p_partkey % 10 = 3 then p_name||' login'
