@@ -31,5 +31,10 @@ def gauge(value: Column) -> Column:
     return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))).otherwise(F.lit(0.0))
 
 
+def fixed_text(col: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, ties to even."""
+    return F.format_string(f"%.{digits}f", round_even(col, digits))
+
+
 def percent_text(rate: Column) -> Column:
-    return F.format_string("%.1f%%", rate * 100)
+    return F.concat(fixed_text(rate * 100, 1), F.lit("%"))

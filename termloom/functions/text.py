@@ -69,3 +69,10 @@ def boundary_pattern(pattern: str) -> str:
 def matches(col: Column, pattern: str) -> Column:
     """Case-insensitive existence test of a shorthand pattern."""
     return col.rlike("(?iu)" + boundary_pattern(pattern))
+
+
+def strict_json(col: Column) -> Column:
+    """Text as a VARIANT, NULL unless it is exactly one JSON value (the parser alone ignores trailing text)."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), col, F.lit("]")))
+    second = F.try_variant_get(wrapped, "$[1]", "variant")
+    return F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.text import matches, strip, words
+from termloom.functions.text import matches, strict_json, strip, words
 from termloom.operators.assemble import clustered
 
 # Intent names and the patterns that score them.
@@ -142,7 +142,7 @@ def intents_from_responses(responses: DataFrame, votes: DataFrame) -> DataFrame:
     An answer is usable when it is a JSON object whose intent is a known name; a missing intent reads as
     unknown, and missing confidence, modifiers and explanation get defaults.
     """
-    answer = F.try_parse_json(strip(F.col("response")))
+    answer = strict_json(strip(F.col("response")))
     parsed = responses.select("cluster_id", answer.alias("v")).filter(
         F.schema_of_variant("v").startswith("OBJECT")
     )

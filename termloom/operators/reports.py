@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.numbers import band, difficulty_band, gauge, percent_text, ratio, round_even
+from termloom.functions.numbers import band, difficulty_band, fixed_text, gauge, percent_text, ratio, round_even
 from termloom.functions.ordering import exact_median
 from termloom.operators.assemble import clustered, first_members, keyword_lists, unclustered
 
@@ -92,7 +92,7 @@ def workbook_summary(summary: DataFrame, totals: DataFrame) -> DataFrame:
         ("Total Clusters", F.col("n_clusters").cast("string")),
         ("Cluster Rate", percent_text(F.col("cluster_rate"))),
         ("Total Search Volume", F.format_number("total_volume", 0)),
-        ("Average Difficulty", F.format_string("%.1f", "avg_difficulty")),
+        ("Average Difficulty", fixed_text(F.col("avg_difficulty"), 1)),
         ("Unclustered Keywords", F.col("outlier_keywords").cast("string")),
     ]
     rows = F.array(
@@ -180,7 +180,7 @@ def quality_leaders(report: DataFrame, n: int = 20) -> DataFrame:
             "label",
             "quality_score",
             band(F.col("quality_score")).alias("band"),
-            F.format_string("%.0f", "quality_score").alias("text"),
+            fixed_text(F.col("quality_score"), 0).alias("text"),
         )
     )
 
