@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termloom.catalog.fixtures import GROUP_SQL, table
+from termloom.catalog.fixtures import GROUP_SQL, keywords, table
 from termloom.catalog.metrics import rounded
 from termloom.catalog.registry import query
+from termloom.catalog.vectors import FX2, centroids_sql, label_centroids
 from termloom.operators import jobs
+from termloom.operators.coarse import CoarseSettings
+from termloom.operators.embed import hashed_ngrams
+from termloom.plans.keyword_run import RunSettings, run
+from termloom.session import scratch_path
+from termloom.streaming.assign import stream_assignments
 
 _UPDATES = [
     "user_id as job_id",
@@ -109,3 +115,31 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return rounded(jobs.job_progress(phases(spark, sf)), "overall_progress")
+
+
+@query(
+    "S1_stream_assignment",
+    f"""with {FX2}, {centroids_sql('fx', 'label', 'lc')}, e as (select vec_id as row_id,
+ list_transform(embedding, lambda v: v::double) as x from embeddings), s as (select row_id, lc.label,
+ list_cosine_similarity(x, c) as s from e, lc qualify row_number() over (partition by row_id order by s desc, lc.label) = 1)
+select row_id, case when s >= 0.3 then label else -1 end::bigint as cluster_id, round(s, 6) as similarity from s""",
+)
+def _(spark, sf):
+    schema = table(spark, sf, "embeddings").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/embeddings*.parquet")
+    points = arriving.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    output = scratch_path(spark, "assigned")
+    stream = stream_assignments(points, label_centroids(spark, sf), 0.3, output, scratch_path(spark, "stream"))
+    stream.awaitTermination()
+    placed = spark.read.schema("row_id long, cluster_id long, similarity double, batch int").parquet(output)
+    return rounded(placed.drop("batch"), "similarity")
+
+
+def keyword_run(spark, sf):
+    settings = RunSettings(coarse=CoarseSettings(seeds=(42,), max_iter=10))
+    return run(keywords(spark, sf), settings, hashed_ngrams(64))
+
+
+@query("keyword_report")
+def _(spark, sf):
+    return rounded(keyword_run(spark, sf).report, "avg_difficulty", "quality_score")
