@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,9 +68,23 @@ def boundary_pattern(pattern: str) -> str:
     return pattern.replace(r"\s", SPACE).replace(r"\d", DIGIT)
 
 
-def matches(col: Column, pattern: str) -> Column:
-    """Case-insensitive existence test of a shorthand pattern."""
-    return col.rlike("(?iu)" + boundary_pattern(pattern))
+def folded(col: Column) -> Column:
+    """Lower case, with the letters that match s and i regardless of case folded onto them."""
+    return F.lower(F.translate(col, "\u017f\u0131\u0130", "sii"))
+
+
+def required_text(pattern: str) -> str:
+    """Longest literal every match of a shorthand pattern contains; empty if there is none."""
+    literals = re.sub(r"\\\?", "\0", pattern.lower())
+    literals = re.sub(r"\\[a-z.]|\[[^\]]*\]|\{\d+\}|[\^$+*?]", " ", literals)
+    return max(literals.replace("\0", "?").split(), key=len, default="")
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Existence of a shorthand pattern in `folded` text. A literal search spares most rows the regex."""
+    found = text.rlike(boundary_pattern(pattern.lower()))
+    needed = required_text(pattern)
+    return text.contains(needed) & found if needed else found
 
 
 def strict_json(col: Column) -> Column:

@@ -92,22 +92,27 @@ def _spread(points: DataFrame, distinct: DataFrame, results: DataFrame, columns:
     return on_rows.select("coarse_id", "row_id", *columns).unionByName(copies.select("coarse_id", "row_id", *columns))
 
 
-def _spanning_tree(mutual: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges of a minimum spanning tree, lightest first."""
+def _spanning_tree(mutual: np.ndarray, gaps: np.ndarray) -> list[tuple[float, float, int, int]]:
+    """Edges of the minimum spanning tree, lightest first.
+
+    Equal reachabilities are ordered by plain distance, so the tree does not depend on the order of points.
+    """
     n = len(mutual)
     reached = np.zeros(n, dtype=bool)
-    cost, via = np.full(n, np.inf), np.zeros(n, dtype=int)
+    cost, near, via = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, dtype=int)
     edges, current = [], 0
     for _ in range(n - 1):
         reached[current] = True
-        closer = ~reached & (mutual[current] < cost)
-        cost[closer], via[closer] = mutual[current][closer], current
-        current = int(np.where(reached, np.inf, cost).argmin())
-        edges.append((float(cost[current]), int(via[current]), current))
+        row, plain = mutual[current], gaps[current]
+        closer = ~reached & ((row < cost) | ((row == cost) & (plain < near)))
+        cost[closer], near[closer], via[closer] = row[closer], plain[closer], current
+        open_cost = np.where(reached, np.inf, cost)
+        current = int(np.where(open_cost == open_cost.min(), near, np.inf).argmin())
+        edges.append((float(cost[current]), float(near[current]), int(via[current]), current))
     return sorted(edges)
 
 
-def _leaf_clusters(mutual: np.ndarray, core: np.ndarray, weights: np.ndarray, min_size: int):
+def _leaf_clusters(mutual: np.ndarray, gaps: np.ndarray, core: np.ndarray, weights: np.ndarray, min_size: int):
     """Leaf cluster (-1 for noise) and membership probability of every point."""
     n = len(core)
     size = list(map(int, weights)) + [0] * (n - 1)
@@ -121,9 +126,9 @@ def _leaf_clusters(mutual: np.ndarray, core: np.ndarray, weights: np.ndarray, mi
             x = top[x]
         return x
 
-    for i, (gap, a, b) in enumerate(_spanning_tree(mutual)):
+    for i, (level, _, a, b) in enumerate(_spanning_tree(mutual, gaps)):
         node, a, b = n + i, find(a), find(b)
-        children[node], height[node], size[node] = (a, b), gap, size[a] + size[b]
+        children[node], height[node], size[node] = (a, b), level, size[a] + size[b]
         top[a] = top[b] = node
 
     def points_below(node: int) -> list[int]:
@@ -165,13 +170,10 @@ def _leaf_clusters(mutual: np.ndarray, core: np.ndarray, weights: np.ndarray, mi
     labels, probability = np.full(n, OUTLIER), np.zeros(n)
     for cluster in sorted(set(range(1, clusters)) - split):
         members = owner == cluster
-        finite = leave[members]
-        peak = finite.max()
+        levels = leave[members]
+        finite = levels[np.isfinite(levels)]
         labels[members] = cluster
-        probability[members] = np.where(np.isinf(finite), 1.0, finite / peak if np.isfinite(peak) else 0.0)
-        if not np.isfinite(peak):
-            inner = finite[np.isfinite(finite)]
-            probability[members] = np.where(np.isinf(finite), 1.0, finite / (inner.max() if len(inner) else 1.0))
+        probability[members] = np.where(np.isinf(levels), 1.0, levels / finite.max() if len(finite) else 1.0)
     return labels, probability
 
 
@@ -201,7 +203,7 @@ def density_labels(points: DataFrame, settings: DensitySettings = DensitySetting
         gaps = _distances(np.stack(block["vec"].to_numpy()).astype(float))
         core = _core(gaps, weights, min_samples)
         mutual = np.maximum(gaps, np.maximum(core[:, None], core[None, :]))
-        labels, probability = _leaf_clusters(mutual, core, weights, min_size)
+        labels, probability = _leaf_clusters(mutual, gaps, core, weights, min_size)
         firsts = pd.unique(labels[labels >= 0])
         local = {int(c): i for i, c in enumerate(firsts)}
         return pd.DataFrame(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.text import matches, strict_json, strip, words
+from termloom.functions.text import folded, matches, strict_json, strip, words
 from termloom.operators.assemble import clustered
 
 # Intent names and the patterns that score them.
@@ -39,33 +39,32 @@ SCORED = dict(zip(INTENTS, [INFORMATIONAL, TRANSACTIONAL, NAVIGATIONAL, COMMERCI
 MODIFIERS = ["branded", "comparison", "local", "long_tail", "question"]
 
 
-def _branded(keyword: Column, brands: list[str]) -> Column:
-    lowered = F.lower(keyword)
-    return reduce(lambda a, b: a | b, [lowered.contains(brand.lower()) for brand in brands], F.lit(False))
+def _branded(text: Column, brands: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(brand.lower()) for brand in brands], F.lit(False))
 
 
-def _any(keyword: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [matches(keyword, p) for p in patterns])
+def _any(text: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [matches(text, p) for p in patterns])
 
 
-def intent_scores(keyword: Column, brands: list[str] | None = None) -> dict[str, Column]:
-    """One point per matching pattern; half a navigational point for a brand mention."""
+def intent_scores(text: Column, brands: list[str] | None = None) -> dict[str, Column]:
+    """One point per matching pattern of `folded` text; half a navigational point for a brand mention."""
     scores = {
-        intent: reduce(lambda a, b: a + b, [matches(keyword, p).cast("int") for p in patterns]).cast("double")
+        intent: reduce(lambda a, b: a + b, [matches(text, p).cast("int") for p in patterns]).cast("double")
         for intent, patterns in SCORED.items()
     }
     if brands:
-        scores["navigational"] = scores["navigational"] + F.when(_branded(keyword, brands), 0.5).otherwise(0.0)
+        scores["navigational"] = scores["navigational"] + F.when(_branded(text, brands), 0.5).otherwise(0.0)
     return scores
 
 
-def modifier_flags(keyword: Column, brands: list[str] | None = None) -> dict[str, Column]:
+def modifier_flags(text: Column, brands: list[str] | None = None) -> dict[str, Column]:
     flags = {
-        "branded": _branded(keyword, brands or []),
-        "comparison": _any(keyword, COMPARISON),
-        "local": _any(keyword, LOCAL),
-        "long_tail": F.size(words(keyword)) >= 5,
-        "question": _any(keyword, QUESTION),
+        "branded": _branded(text, brands or []),
+        "comparison": _any(text, COMPARISON),
+        "local": _any(text, LOCAL),
+        "long_tail": F.size(words(text)) >= 5,
+        "question": _any(text, QUESTION),
     }
     return {name: flags[name] for name in MODIFIERS}
 
@@ -77,11 +76,11 @@ def modifier_list(flags: dict[str, Column]) -> Column:
 
 def with_intent(df: DataFrame, brands: list[str] | None = None) -> DataFrame:
     """Add the four scores, modifier flags (`is_*`), intent and confidence to rows with a `keyword`."""
-    scores = intent_scores(F.col("keyword"), brands)
-    flags = modifier_flags(F.col("keyword"), brands)
-    scored = df.withColumns({f"{name}_score": score for name, score in scores.items()}).withColumns(
+    scores = intent_scores(F.col("_folded"), brands)
+    flags = modifier_flags(F.col("_folded"), brands)
+    scored = df.withColumn("_folded", folded(F.col("keyword"))).withColumns({f"{name}_score": score for name, score in scores.items()}).withColumns(
         {f"is_{name}": flag for name, flag in flags.items()}
-    )
+    ).drop("_folded")
     columns = {name: F.col(f"{name}_score") for name in scores}
     total = reduce(lambda a, b: a + b, columns.values())
     highest = F.greatest(*columns.values())

@@ -69,52 +69,54 @@ def _rival_slots(chained: DataFrame, held: DataFrame) -> DataFrame:
     return listed.select("base", F.aggregate("found", F.array().cast(kind), keep).alias("rivals"))
 
 
+def _terminal_texts(chained: DataFrame, held: DataFrame | None) -> DataFrame:
+    """(cluster_id, text) of clusters down to their terminal text: the r-th takes the r-th suffix still free to it."""
+    ranked = with_row_index(chained, "cluster_id", "rank", ["base"])
+    if held is None:
+        return ranked.select("cluster_id", _text(F.col("terminal"), F.col("rank")).alias("text"))
+    no_rivals = F.array().cast("array<struct<holder:bigint,slot:bigint>>")
+    placed = ranked.join(_rival_slots(chained, held), "base", "left")
+    ahead = F.filter(F.coalesce("rivals", no_rivals), lambda r: r["holder"] < F.col("cluster_id"))
+    taken = F.array_sort(F.transform(ahead, lambda r: r["slot"]))
+    return placed.select("cluster_id", _text(F.col("terminal"), _nth_free(F.col("rank"), taken)).alias("text"))
+
+
 def choose_labels(choices: DataFrame) -> DataFrame:
-    """(cluster_id, label) for `choices` (cluster_id, candidates ARRAY<STRING>, terminal); case-insensitively unique."""
-    state = cut_lineage(
-        choices.select(F.col("cluster_id").cast("long").alias("cluster_id"), "candidates", "terminal").withColumn(
-            "turn", F.lit(1)
-        )
+    """(cluster_id, label) for `choices` (cluster_id, candidates ARRAY<STRING>, terminal); case-insensitively unique.
+
+    Each round is one stored table with every cluster's proposal and whether it stands.
+    """
+    state = choices.select(
+        F.col("cluster_id").cast("long").alias("cluster_id"), "candidates", "terminal", F.lit(1).alias("turn")
     )
-    held = None
+    held, before, any_chained = None, None, True
     while True:
         searching = F.col("turn") <= F.size("candidates")
-        open_texts = state.filter(searching).select(
-            "cluster_id", F.element_at("candidates", F.col("turn")).alias("text"), F.lit(None).cast("string").alias("base")
-        )
-        chained = state.filter(~searching).select("cluster_id", "terminal", F.lower("terminal").alias("base"))
-        ranked = with_row_index(chained, "cluster_id", "rank", ["base"])
-        no_rivals = F.array().cast("array<struct<holder:bigint,slot:bigint>>")
-        if held is None:
-            placed = ranked.withColumn("rivals", no_rivals)
+        based = state.withColumn("base", F.when(~searching, F.lower("terminal")))
+        chained = based.filter("base is not null").select("cluster_id", "terminal", "base")
+        if any_chained:
+            based = based.join(_terminal_texts(chained, held), "cluster_id", "left")
         else:
-            placed = ranked.join(_rival_slots(chained, held), "base", "left").withColumn(
-                "rivals", F.coalesce("rivals", no_rivals)
-            )
-        ahead = F.filter("rivals", lambda r: r["holder"] < F.col("cluster_id"))
-        taken = F.array_sort(F.transform(ahead, lambda r: r["slot"]))
-        terminal_texts = placed.select(
-            "cluster_id", _text(F.col("terminal"), _nth_free(F.col("rank"), taken)).alias("text"), "base"
-        )
-        proposals = cut_lineage(open_texts.unionByName(terminal_texts).withColumn("key", F.lower("text")))
-        winners = cut_lineage(
-            proposals.groupBy("key").agg(F.min(F.struct("cluster_id", "base")).alias("w")).select(
-                "key", F.col("w.cluster_id").alias("holder"), F.col("w.base").alias("owner_base")
-            )
-        )
-        refused = cut_lineage(
-            proposals.join(winners, "key").filter("holder <> cluster_id").select("cluster_id", F.lit(1).alias("moved"))
+            based = based.withColumn("text", F.lit(None).cast("string"))
+        proposals = based.withColumn(
+            "text", F.when(searching, F.get("candidates", F.col("turn") - 1)).otherwise(F.col("text"))
         )
-        if refused.isEmpty() and held is not None:
-            moved = winners.join(held, ["key", "holder"], "left_anti")
-            if moved.isEmpty():
-                return proposals.select("cluster_id", F.col("text").alias("label"))
-        state = cut_lineage(
-            state.join(refused, "cluster_id", "left")
-            .withColumn("turn", F.least(F.col("turn") + F.coalesce("moved", F.lit(0)), F.size("candidates") + 1))
-            .drop("moved")
+        proposals = cut_lineage(proposals.withColumn("key", F.lower("text")))
+        winners = proposals.groupBy("key").agg(F.min("cluster_id").alias("holder"))
+        judged = cut_lineage(
+            proposals.join(winners, "key").withColumn("stands", F.col("holder") == F.col("cluster_id"))
         )
-        held = winners
+        held = judged.filter("stands").select("key", "holder", F.col("base").alias("owner_base"))
+        step = (~F.col("stands") & F.col("base").isNull()).cast("int")
+        refused, now, any_chained = judged.agg(
+            F.count_if(~F.col("stands")),
+            F.sum(F.xxhash64("cluster_id", "key", "stands").cast("decimal(38,0)")),
+            F.bool_or(F.col("turn") + step > F.size("candidates")),
+        ).first()
+        if not refused and now == before:
+            return judged.select("cluster_id", F.col("text").alias("label"))
+        before = now
+        state = judged.select("cluster_id", "candidates", "terminal", (F.col("turn") + step).alias("turn"))
 
 
 def unique_labels(labels: DataFrame) -> DataFrame:
