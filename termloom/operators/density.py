@@ -171,9 +171,8 @@ def _leaf_clusters(mutual: np.ndarray, gaps: np.ndarray, core: np.ndarray, weigh
     for cluster in sorted(set(range(1, clusters)) - split):
         members = owner == cluster
         levels = leave[members]
-        finite = levels[np.isfinite(levels)]
         labels[members] = cluster
-        probability[members] = np.where(np.isinf(levels), 1.0, levels / finite.max() if len(finite) else 1.0)
+        probability[members] = np.where(np.isinf(levels), 1.0, np.where(np.isinf(levels), 1.0, levels) / levels.max())
     return labels, probability
 
 
