@@ -14,8 +14,12 @@ from termloom.session import cut_lineage
 CHUNK = 1_000_000
 
 
+def _chunk_of(order_col: str, chunk: int) -> Column:
+    return F.expr(f"`{order_col}` div {chunk}")
+
+
 def _offsets(df: DataFrame, order_col: str, by: list[str], weight: Column, chunk: int) -> DataFrame:
-    totals = df.groupBy(*by, F.floor(F.col(order_col) / chunk).alias("_chunk")).agg(F.sum(weight).alias("_total"))
+    totals = df.groupBy(*by, _chunk_of(order_col, chunk).alias("_chunk")).agg(F.sum(weight).alias("_total"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
         *by, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).cast("long").alias("_before")
@@ -30,7 +34,7 @@ def with_row_index(
     offsets = _offsets(df, order_col, by, F.lit(1), chunk)
     inside = Window.partitionBy(*by, "_chunk").orderBy(order_col)
     return (
-        df.withColumn("_chunk", F.floor(F.col(order_col) / chunk))
+        df.withColumn("_chunk", _chunk_of(order_col, chunk))
         .withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*by, "_chunk"])
         .withColumn(name, F.col("_before") + F.col("_inside"))
@@ -43,7 +47,7 @@ def with_running_total(df: DataFrame, order_col: str, value_col: str, name: str,
     offsets = _offsets(df, order_col, [], F.col(value_col), chunk)
     inside = Window.partitionBy("_chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.withColumn("_chunk", F.floor(F.col(order_col) / chunk))
+        df.withColumn("_chunk", _chunk_of(order_col, chunk))
         .withColumn("_inside", F.coalesce(F.sum(value_col).over(inside), F.lit(0)))
         .join(offsets, "_chunk")
         .withColumn(name, (F.col("_before") + F.col("_inside")).cast("long"))

@@ -16,8 +16,8 @@ from termloom.functions.vectors import distance, mean_vectors, squared_distance
 from termloom.operators.similarity import nearest_centroid
 from termloom.session import cut_lineage
 
-FIT_PARTITIONS = 8
 FANOUT = 32
+FIT_PARTITION_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,6 @@ class CoarseSettings:
     seeds: tuple[int, ...] = (42, 43, 44)
     max_iter: int = 100
     fit_rows: int = 5_000_000
-    fit_partitions: int = FIT_PARTITIONS
 
 
 def cluster_count(n: Column, settings: CoarseSettings = CoarseSettings()) -> Column:
@@ -41,11 +40,12 @@ def cluster_count(n: Column, settings: CoarseSettings = CoarseSettings()) -> Col
 def fit_centroids(points: DataFrame, settings: CoarseSettings = CoarseSettings()) -> DataFrame:
     """(cluster_id, centroid) of k-means over (row_id, vec), from the seed with the lowest cost after one step.
 
-    Rows are laid out by row_id so that a seed gives one result whatever the input partitioning. Like a
-    mini-batch fit, training reads at most about `fit_rows` rows, picked by row hash; assignment reads all.
+    Rows are laid out by row_id, in a number of partitions set by the data size, so that a seed gives one result
+    whatever the input partitioning. Like a mini-batch fit, training reads at most about `fit_rows` rows, picked by row hash; assignment reads all.
     """
     spark = points.sparkSession
-    n, k = points.agg(F.count("*").alias("n")).select("n", cluster_count(F.col("n"), settings)).first()
+    facts = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"))
+    n, dim, k = facts.select("n", "dim", cluster_count(F.col("n"), settings)).first()
     if not n:
         return spark.createDataFrame([], "cluster_id int, centroid array<double>")
     if k == 1:
@@ -54,8 +54,9 @@ def fit_centroids(points: DataFrame, settings: CoarseSettings = CoarseSettings()
     if n > settings.fit_rows:
         kept = int(2**32 * settings.fit_rows / n)
         training = points.filter(F.pmod(F.xxhash64("row_id"), F.lit(2**32)) < kept)
+    parts = max(8, math.ceil(min(n, settings.fit_rows) * dim * 8 / FIT_PARTITION_BYTES))
     features = (
-        training.repartition(settings.fit_partitions, "row_id")
+        training.repartition(parts, "row_id")
         .sortWithinPartitions("row_id")
         .select(array_to_vector("vec").alias("features"))
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -173,7 +174,3 @@ def _split_by_distance(oversized: DataFrame, iterations: int) -> DataFrame:
         if step < iterations:
             seeds = mean_vectors(labelled, ["coarse_id", "sub"], "vec").drop("size")
     return labelled
-
-
-def expected_parts(size: int, max_size: int = 500) -> int:
-    return math.floor(size / max_size) + 1

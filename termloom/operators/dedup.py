@@ -67,7 +67,7 @@ def _merge_in_rounds(rows: DataFrame) -> DataFrame:
     rest = rows
     while True:
         rest = (
-            rest.join(state.select("canonical", "state"), "canonical")
+            rest.join(broadcast_if_small(state.select("canonical", "state")), "canonical")
             .filter((F.col("row.row_id") > F.col("state.row_id")) & (F.col("row.vol") > F.col("state.vol")))
             .select("canonical", "row")
         )

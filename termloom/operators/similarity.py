@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from termloom.session import BROADCAST_BYTES, cut_lineage
 
 BLOCK_BYTES = 32 << 20
+CENTROID_BLOCK_BYTES = 256 << 20
 SCORE_CELLS = 1 << 22
 PIVOTS = 64
 
@@ -88,9 +89,8 @@ def nearest_centroid(
 
 
 def _nearest_in_blocks(points, centroids, id_col, metric, n, dim, schema, budget) -> DataFrame:
-    block_bytes = max(dim * 8, min(BLOCK_BYTES, budget or dim * 8 * 64))
-    blocks = math.ceil(n * dim * 8 / block_bytes)
-    parts = max(1, math.ceil(points.count() * dim * 8 / block_bytes))
+    blocks = math.ceil(n * dim * 8 / max(dim * 8, min(CENTROID_BLOCK_BYTES, budget)))
+    parts = max(1, math.ceil(points.count() * dim * 8 / BLOCK_BYTES))
     left = points.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts))).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
     )
@@ -154,7 +154,7 @@ def _pairs_in_blocks(vectors: DataFrame, threshold: float, dim: int, schema: str
         vectors.orderBy(F.xxhash64("cluster_id")).limit(PIVOTS).select("cluster_id", "centroid")
     )
     cells = _cells(vectors, pivots)
-    rows_per_block = max(1, int(max(dim * 8, min(BLOCK_BYTES, budget or dim * 8 * 64)) // (dim * 8)))
+    rows_per_block = max(1, min(BLOCK_BYTES, budget) // (dim * 8))
     facts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("score").alias("least")).collect()
     centers = {r["cluster_id"]: np.asarray(r["centroid"], dtype=float) for r in pivots.collect()}
     radius = {r["cell"]: math.acos(max(-1.0, min(1.0, r["least"]))) for r in facts}

@@ -13,7 +13,7 @@ from termloom.operators.dedup import keep_best
 from termloom.operators.embed import Provider, align_vectors, embed_texts, hashed_ngrams
 from termloom.operators.label_choice import choose_labels
 from termloom.operators.validate import ValidationRules, split_valid
-from termloom.session import cut_lineage
+from termloom.session import cut_lineage, store_bucketed
 
 
 @dataclass(frozen=True)
@@ -51,15 +51,18 @@ def clean(raw: DataFrame, rules: ValidationRules = ValidationRules()) -> DataFra
     return keep_best(valid).drop("canonical", "first_row_id")
 
 
-def cluster_points(points: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
-    """(row_id, vec, cluster_id) after the coarse, density and merge steps; -1 marks outliers."""
+def cluster_labels(points: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
+    """(row_id, cluster_id) after the coarse, density and merge steps; -1 marks outliers.
+
+    Only narrow label tables are stored between steps. `points` should be bucketed by row_id, so that joining
+    labels to it moves no vectors.
+    """
     centroids = coarse.fit_centroids(points, settings.coarse)
-    blocks = coarse.assign(points, centroids).select("row_id", "coarse_id")
+    blocks = cut_lineage(coarse.assign(points, centroids).select("row_id", "coarse_id"))
     fine = density.density_labels(points.join(blocks, "row_id"), settings.density)
-    numbered = density.global_ids(fine).select("row_id", "cluster_id")
-    labelled = cut_lineage(points.join(numbered, "row_id"))
-    merged = merge.merge_clusters(labelled, settings.merge_threshold)
-    return cut_lineage(merge.apply_merge(labelled, merged).select("row_id", "vec", "cluster_id"))
+    numbered = cut_lineage(density.global_ids(fine).select("row_id", "cluster_id"))
+    merged = merge.merge_clusters(points.join(numbered, "row_id"), settings.merge_threshold)
+    return cut_lineage(merge.apply_merge(numbered, merged).select("row_id", "cluster_id"))
 
 
 def run(
@@ -77,17 +80,18 @@ def run(
     texts = keywords.select(F.col("keyword").alias("text"))
     vectors = embed_texts(keywords, provider or hashed_ngrams(weigh_by=texts))
     aligned = align_vectors(keywords.select("row_id", "keyword"), vectors)
-    points = cut_lineage(aligned.select("row_id", F.col("vec").cast("array<double>").alias("vec")))
+    points = store_bucketed(aligned.select("row_id", F.col("vec").cast("array<double>").alias("vec")), "row_id")
 
-    merged = cluster_points(points, settings)
-    before = keywords.join(merged.select("row_id", "cluster_id"), "row_id")
+    first = cluster_labels(points, settings)
     validations = None
     if serps is not None:
+        before = keywords.join(first, "row_id")
         validations = cut_lineage(overlap.validate_clusters(overlap.checked_items(before, serps)))
-    reassigned = outliers.reassign_outliers(merged, settings.outlier_threshold, settings.aggressive)
-    final = cut_lineage(outliers.apply_reassignment(merged, reassigned))
-    members = cut_lineage(keywords.join(final.select("row_id", "cluster_id"), "row_id"))
-    quality = cluster_info(final, validations).select("cluster_id", "quality_score")
+    labelled = points.join(first, "row_id")
+    reassigned = outliers.reassign_outliers(labelled, settings.outlier_threshold, settings.aggressive)
+    final = cut_lineage(outliers.apply_reassignment(first, reassigned))
+    members = cut_lineage(keywords.join(final, "row_id"))
+    quality = cluster_info(points.join(final, "row_id"), validations).select("cluster_id", "quality_score")
 
     analyses = cut_lineage(labels.analyze_clusters(members, list(settings.brands)))
     choices = labels.label_candidates(analyses)

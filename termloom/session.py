@@ -55,3 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def store_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write `df` bucketed by `key` into the shared folder and return the table.
+
+    Joins of other tables on `key` then shuffle only the other side.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stored_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name)
+    return spark.table(name)

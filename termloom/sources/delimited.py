@@ -48,14 +48,22 @@ def detect_format(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = False
+    spark: SparkSession,
+    path: str,
+    columns: list[str] | None = None,
+    multiline: bool = False,
+    delimiter: str | None = None,
+    encoding: str | None = None,
 ) -> DataFrame:
     """All-string rows of a delimited file set with `row_id` in file order.
 
     Rows with more fields than the header are dropped and short rows padded with NULL. `columns` names the
     fields of files without a header. `multiline` allows line breaks inside quotes and makes files unsplittable.
+    Giving both `delimiter` and `encoding` spares the detection pass.
     """
-    delimiter, encoding = detect_format(spark, path)
+    if delimiter is None or encoding is None:
+        found = detect_format(spark, path)
+        delimiter, encoding = delimiter or found[0], encoding or found[1]
     options = {
         "sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": _CORRUPT, "multiLine": str(multiline).lower(), "header": str(columns is None).lower(),
