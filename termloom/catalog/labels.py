@@ -120,17 +120,17 @@ def _(spark, sf):
     return rounded(df, "confidence", digits=9)
 
 
-_RESPONSES = """case cluster_id % 8
+_RESPONSES = """case when cluster_id % 9 = 0 then null else case cluster_id % 8
  when 0 then '{"primary_intent": "TRANSACTIONAL", "confidence": 0.9, "modifiers": ["local"], "explanation": "c' || cluster_id || '"}'
  when 1 then '{"primary_intent": "Commercial"}' when 2 then 'Sorry, no answer for ' || cluster_id
  when 3 then '{"primary_intent": "shopping", "confidence": 0.4}' when 4 then '[{"primary_intent": "commercial"}]'
  when 5 then '{"confidence": 0.25}' when 6 then ' {"primary_intent": "Navigational", "explanation": "x"} '
- else '{"primary_intent": "COMMERCIAL", ' end"""
+ else '{"primary_intent": "COMMERCIAL", ' end end"""
 
 
 @query(
     "M6_model_intents",
-    f"""with {VOTES}, r as (select cluster_id, {_RESPONSES} as response from votes where cluster_id % 9 <> 0),
+    f"""with {VOTES}, r as (select cluster_id, {_RESPONSES} as response from votes),
  p as (select cluster_id, lower(coalesce(json_extract_string(trim(response), '$.primary_intent'), 'unknown')) as i,
  coalesce(json_extract_string(trim(response), '$.confidence')::double, 0.8) as f,
  array_to_string(from_json(coalesce(json_extract(trim(response), '$.modifiers'), '[]'), '["VARCHAR"]'), ',') as m,
@@ -143,7 +143,7 @@ select cluster_id, coalesce(i, intent) as intent, round(coalesce(f, confidence),
 )
 def _(spark, sf):
     votes = intent.vote_clusters(clean_keywords(spark, sf))
-    responses = votes.filter("cluster_id % 9 <> 0").select("cluster_id", F.expr(_RESPONSES).alias("response"))
+    responses = votes.select("cluster_id", F.expr(_RESPONSES).alias("response"))
     df = intent.intents_from_responses(responses, votes).withColumn("modifiers", F.array_join("modifiers", ","))
     return rounded(df, "confidence", digits=9)
 
@@ -397,7 +397,8 @@ def _(spark, sf):
     return choose_labels(labels.label_candidates(analyses(spark, sf)))
 
 
-_MODEL = "select cluster_id, case when cluster_id % 10 = 0 then 'Cluster 7' else 'Model ' || intent end as label from {} where cluster_id % 5 = 0"
+_MODEL = """select cluster_id, case when cluster_id % 10 = 0 then 'Cluster 7' when cluster_id % 5 = 0 then 'Model ' || intent
+ end as label from {}"""
 
 
 @query(
@@ -410,10 +411,8 @@ from picks left join m on m.cluster_id = picks.cluster_id where turn > 0""",
 )
 def _(spark, sf):
     facts = analyses(spark, sf)
-    model = facts.filter("cluster_id % 5 = 0").select(
-        "cluster_id",
-        F.when(F.col("cluster_id") % 10 == 0, "Cluster 7").otherwise(F.concat(F.lit("Model "), "intent")).alias("label"),
-    )
+    named = F.when(F.col("cluster_id") % 5 == 0, F.concat(F.lit("Model "), "intent"))
+    model = facts.select("cluster_id", F.when(F.col("cluster_id") % 10 == 0, "Cluster 7").otherwise(named).alias("label"))
     choices = labels.with_model_labels(labels.label_candidates(facts), model)
     confidence = choices.select("cluster_id", labels.label_confidence(F.col("from_model")).alias("confidence"))
     return choose_labels(choices).join(confidence, "cluster_id")
@@ -463,8 +462,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     members = clean_keywords(spark, sf)
-    known = labels.themes(members).filter("cluster_id % 2 = 0")
     ids = members.filter("cluster_id >= 0").select("cluster_id").distinct()
-    return ids.join(known, "cluster_id", "left").select(
-        "cluster_id", default_label(F.col("theme"), F.col("cluster_id")).alias("label")
+    known = F.when(F.col("cluster_id") % 2 == 0, F.col("theme"))
+    return ids.join(labels.themes(members), "cluster_id", "left").select(
+        "cluster_id", default_label(known, F.col("cluster_id")).alias("label")
     )

@@ -19,10 +19,11 @@ _MEMBERS = [
 ]
 
 FX3 = f"""members as (select {', '.join(_MEMBERS)} from part), sold as (select l_partkey as row_id, l_suppkey % 17 as site,
- sum(l_quantity) as q from lineitem where l_partkey % 23 <> 0 group by 1, 2), serps as (select row_id,
+ sum(l_quantity) as q from lineitem group by 1, 2), serps as (select row_id,
  list('https://site' || site || '.example.com/' order by q desc, site)[1:10] as urls from sold group by 1),
  top as (select *, row_number() over (partition by cluster_id order by search_volume desc, row_id) as rank from members
- qualify rank <= 10), items as (select top.*, coalesce(urls, []) as urls from top left join serps using (row_id)),
+ qualify rank <= 10), items as (select top.*, coalesce(urls, []) as urls from top left join serps
+ on top.row_id = serps.row_id and top.row_id % 23 <> 0),
  pairs as (select a.cluster_id, a.rank as i, b.rank as j, a.keyword as keyword_a, b.keyword as keyword_b,
  case when len(a.urls) = 0 or len(b.urls) = 0 then 0 else len(list_intersect(a.urls, b.urls)) /
  len(list_distinct(list_concat(a.urls, b.urls))) end as overlap from items a join items b using (cluster_id)
@@ -39,7 +40,6 @@ def members(spark, sf):
 def serps(spark, sf):
     sold = (
         table(spark, sf, "lineitem")
-        .filter("l_partkey % 23 <> 0")
         .groupBy("l_partkey", (F.col("l_suppkey") % 17).alias("site"))
         .agg(F.sum("l_quantity").alias("q"))
     )
@@ -47,7 +47,10 @@ def serps(spark, sf):
     url = F.format_string("https://site%d.example.com/", "site")
     best = sold.withColumn("rank", rank).filter("rank <= 10").select("l_partkey", F.struct("rank", url.alias("url")).alias("u"))
     listed = best.groupBy("l_partkey").agg(F.array_sort(F.collect_list("u")).alias("us"))
-    return listed.select(F.format_string("part %d", "l_partkey").alias("keyword"), F.col("us.url").alias("urls"))
+    # Every 23rd part is stored under another name, so its lookup finds nothing.
+    name = F.when(F.col("l_partkey") % 23 == 0, "unlisted %d").otherwise("part %d")
+    keyword = F.regexp_replace(name, "%d", F.col("l_partkey").cast("string"))
+    return listed.select(keyword.alias("keyword"), F.col("us.url").alias("urls"))
 
 
 def checked(spark, sf):

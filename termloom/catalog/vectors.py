@@ -62,6 +62,14 @@ def _(spark, sf):
     return embed.embed_texts(texts, provider).select("text", F.array_join("vec", ",").alias("vec"))
 
 
+@query("F1_document_vectors")
+def _(spark, sf):
+    texts = table(spark, sf, "documents").select("text")
+    vectors_of = embed.embed_texts(texts, embed.hashed_ngrams(256), "text")
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
+    return vectors_of.select(F.sha2("text", 256).alias("text_hash"), F.round(length, 5).alias("length"))
+
+
 @query("F2_cached_vectors", f"with kw as ({CLEAN_SQL}) select distinct keyword as text, true as unit_length from kw")
 def _(spark, sf):
     path, provider = scratch_path(spark, "vectors"), embed.hashed_ngrams(64)
@@ -322,12 +330,11 @@ def _(spark, sf):
 
 @query(
     "I3_components_of_chains",
-    """select distinct id, id // 20 * 20 as component from (select unnest([p_partkey, p_partkey + 1]) as id from part
- where p_partkey % 20 < 17)""",
+    "select p_partkey as id, p_partkey // 20 * 20 as component from part",
 )
 def _(spark, sf):
-    edges = table(spark, sf, "part").filter("p_partkey % 20 < 17")
-    return merge.connected_components(edges.selectExpr("p_partkey as a", "p_partkey + 1 as b"))
+    linked = "p_partkey + case when p_partkey % 20 = 19 then -7 else 1 end as b"
+    return merge.connected_components(table(spark, sf, "part").selectExpr("p_partkey as a", linked))
 
 
 @query(

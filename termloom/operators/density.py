@@ -17,6 +17,7 @@ from termloom.functions.numbers import ratio
 from termloom.functions.ordering import with_running_total
 from termloom.operators.assemble import OUTLIER
 from termloom.operators.coarse import split_large
+from termloom.operators.sizing import broadcast_if_small
 from termloom.session import cut_lineage
 
 
@@ -84,8 +85,9 @@ def _spread(points: DataFrame, distinct: DataFrame, results: DataFrame, columns:
     repeated = distinct.filter("weight > 1").select("coarse_id", "vec", F.col("row_id").alias("first_id"))
     if repeated.isEmpty():
         return on_rows.select("coarse_id", "row_id", *columns)
+    width = repeated.agg(F.max(F.size("vec"))).first()[0] * 8
     copies = (
-        points.join(repeated, ["coarse_id", "vec"])
+        points.join(broadcast_if_small(repeated, width), ["coarse_id", "vec"])
         .filter("row_id <> first_id")
         .join(results.select(F.col("row_id").alias("first_id"), *columns), "first_id")
     )

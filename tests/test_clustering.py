@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.ordering import exact_median, with_row_index, with_running_total
 from termloom.operators import coarse, density, merge, outliers
+from termloom.operators.projection import project_2d
 from termloom.operators.similarity import nearest_centroid, similar_pairs
 
 
@@ -165,3 +166,15 @@ def test_ordering_helpers(spark):
         values = np.random.default_rng(n).integers(0, 50, n)
         data = spark.createDataFrame([(int(v),) for v in values], "v long")
         assert exact_median(data, "v").first()["median"] == np.median(values)
+
+
+def test_projection_keeps_most_variance(spark, blobs):
+    points, truth = blobs
+    labels = np.concatenate([truth, [-1, -1]])
+    rows = project_2d(frame(spark, points, cluster_id=labels)).orderBy("row_id").collect()
+    assert rows[60]["name"] == "Unclustered" and rows[0]["name"] == "Cluster 0"
+    spread = np.var([[r["x"], r["y"]] for r in rows], axis=0).sum()
+    centred = points - points.mean(axis=0)
+    for seed in range(20):
+        plane, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(3, 2)))
+        assert spread >= np.var(centred @ plane, axis=0).sum() - 1e-9
