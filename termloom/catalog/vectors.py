@@ -25,7 +25,7 @@ def vectors(spark, sf):
     rows = table(spark, sf, "embeddings")
     anchors = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
     pull = (F.col("vec_id") % 7) * 0.25
-    return rows.join(F.broadcast(anchors), "label").select(
+    return rows.join(anchors, "label").select(
         F.col("vec_id").alias("row_id"),
         "label",
         F.when(F.col("vec_id") % 10 == 0, -1).otherwise(F.col("label")).alias("cluster_id"),

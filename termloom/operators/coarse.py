@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -17,6 +19,7 @@ from termloom.operators.similarity import nearest_centroid
 from termloom.session import cut_lineage
 
 FANOUT = 32
+PART_ROWS = 10_000
 FIT_PARTITION_BYTES = 128 << 20
 
 
@@ -106,7 +109,7 @@ def inertia(points: DataFrame, centroids: DataFrame, key: str = "cluster_id") ->
     return own.agg(F.sum(squared_distance(F.col("vec"), F.col("centroid"))).alias("inertia"))
 
 
-def split_large(points: DataFrame, max_size: int = 500, iterations: int = 5, next_id: int | None = None) -> DataFrame:
+def split_large(points: DataFrame, max_size: int = 500, iterations: int = 3, next_id: int | None = None) -> DataFrame:
     """(row_id, vec, coarse_id) with every block of more than `max_size` rows split, repeatedly if need be.
 
     All oversized blocks are split in the same jobs: seeds are the rows with the lowest hash of each block, a
@@ -158,19 +161,35 @@ def _split_by_distance(oversized: DataFrame, iterations: int) -> DataFrame:
         oversized.select("coarse_id", "row_id", "vec", "k", rank.alias("rank"))
         .filter(F.col("rank") <= FANOUT)
         .filter(F.col("rank") <= F.col("k"))
-        .select("coarse_id", (F.col("rank") - 1).alias("sub"), F.col("vec").alias("centroid"))
+        .select("coarse_id", (F.col("rank") - 1).cast("long").alias("sub"), F.col("vec").alias("centroid"))
     )
     for step in range(iterations + 1):
-        grouped = cut_lineage(
-            seeds.groupBy("coarse_id").agg(F.array_sort(F.collect_list(F.struct("sub", "centroid"))).alias("seeds"))
-        )
-        nearest = F.array_min(
-            F.transform(
-                F.col("seeds"),
-                lambda s: F.struct(squared_distance(F.col("vec"), s["centroid"]).alias("d"), s["sub"].alias("sub")),
-            )
-        )
-        labelled = oversized.join(grouped, "coarse_id").withColumn("sub", nearest["sub"]).drop("seeds")
+        seeds = cut_lineage(seeds)
+        labelled = _nearest_seed(oversized, seeds)
         if step < iterations:
             seeds = mean_vectors(labelled, ["coarse_id", "sub"], "vec").drop("size")
     return labelled
+
+
+def _nearest_seed(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Rows with the nearest of the few seeds of their block. Blocks are cut into parts of bounded rows."""
+    placed = rows.select("coarse_id", "row_id", "vec", "k", F.ceil(F.col("count") / PART_ROWS).alias("parts"))
+    left = placed.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")))
+    parts = rows.select("coarse_id", F.ceil(F.col("count") / PART_ROWS).alias("parts")).distinct()
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    right = seeds.join(parts, "coarse_id").select(
+        F.col("coarse_id").alias("block"), "sub", "centroid", F.explode(every).alias("of_part")
+    )
+
+    def label(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+        block = block[["coarse_id", "row_id", "vec", "k"]]
+        if not len(block):
+            return block.assign(sub=[])
+        centers = centers.sort_values("sub")
+        c = np.stack(centers["centroid"].to_numpy())
+        x = np.stack(block["vec"].to_numpy())
+        nearest = ((c**2).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
+        return block.assign(sub=centers["sub"].to_numpy()[nearest])
+
+    schema = "coarse_id long, row_id long, vec array<double>, k long, sub long"
+    return left.groupBy("coarse_id", "part").cogroup(right.groupBy("block", "of_part")).applyInPandas(label, schema)

@@ -6,6 +6,7 @@ blocks above `max_block` points are split. What remains per block is a bounded d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,23 +60,76 @@ def _core(gaps: np.ndarray, weights: np.ndarray, min_samples: int) -> np.ndarray
     return np.take_along_axis(gaps, order, axis=1)[np.arange(len(gaps)), enough.argmax(axis=1)]
 
 
-def reachability(points: DataFrame, min_samples: int = 2) -> DataFrame:
-    """Core distance and smallest mutual reachability to another row, per row of a bounded block."""
+def _against_block(rows: DataFrame, match: Callable, schema: str, max_block: int) -> DataFrame:
+    """Apply `match(left, right)` to every pair of chunks of a block; a chunk holds about `max_block` points."""
+    sizes = rows.groupBy("coarse_id").agg(F.ceil(F.count("*") / max_block).alias("chunks"))
+    placed = rows.join(sizes, "coarse_id").withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.col("chunks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    left = placed.withColumn("against", F.explode(every))
+    right = placed.select(
+        *[F.col(c).alias(f"{c}_") for c in rows.columns], F.col("chunk").alias("against_"), F.explode(every).alias("chunk_")
+    )
+    return (
+        left.groupBy("coarse_id", "chunk", "against")
+        .cogroup(right.groupBy("coarse_id_", "chunk_", "against_"))
+        .applyInPandas(match, schema)
+    )
 
-    def measure(block: pd.DataFrame) -> pd.DataFrame:
-        weights = block["weight"].to_numpy()
-        gaps = _distances(np.stack(block["vec"].to_numpy()).astype(float))
-        core = _core(gaps, weights, min_samples)
-        mutual = np.maximum(gaps, np.maximum(core[:, None], core[None, :]))
-        np.fill_diagonal(mutual, np.inf)
-        nearest = np.where(weights > 1, core, mutual.min(axis=1))
+
+def _cross_distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Distances between two chunks, infinite between a point and itself."""
+    a, b = (np.stack(v.to_numpy()).astype(float) for v in (left["vec"], right["vec_"]))
+    gaps = np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+    gaps[left["row_id"].to_numpy()[:, None] == right["row_id_"].to_numpy()[None, :]] = np.inf
+    return gaps
+
+
+def reachability(points: DataFrame, min_samples: int = 2, max_block: int = 2000) -> DataFrame:
+    """Core distance and smallest mutual reachability to another row, per row.
+
+    Exact for blocks of any size: chunks of a block are matched pairwise, and each pair keeps only the few
+    nearest candidates of a point, then its single best one.
+    """
+    distinct = cut_lineage(weighted_points(points))
+
+    def nearest_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        gaps = _cross_distances(left, right)
+        order = np.argsort(gaps, axis=1, kind="stable")[:, :min_samples]
+        rows = np.arange(len(left))[:, None]
         return pd.DataFrame(
-            {"coarse_id": block["coarse_id"], "row_id": block["row_id"], "core_distance": core, "nearest": nearest}
+            {
+                "row_id": np.repeat(left["row_id"].to_numpy(), order.shape[1]),
+                "gap": gaps[rows, order].ravel(),
+                "weight": right["weight_"].to_numpy()[order].ravel(),
+            }
         )
 
-    schema = "coarse_id long, row_id long, core_distance double, nearest double"
-    distinct = cut_lineage(weighted_points(points))
-    measured = distinct.groupBy("coarse_id").applyInPandas(measure, schema)
+    found = _against_block(distinct, nearest_rows, "row_id long, gap double, weight long", max_block)
+    near = found.filter(F.col("gap") < float("inf")).groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.struct("gap", "weight"))).alias("near")
+    )
+    copies = F.col("weight") - 1
+    wanted = F.least(F.lit(min_samples), F.col("block_size") - 1)
+    reached = F.aggregate(
+        "near",
+        F.struct(copies.alias("seen"), F.lit(0.0).alias("gap")),
+        lambda at, n: F.when(at["seen"] >= wanted, at).otherwise(
+            F.struct((at["seen"] + n["weight"]).alias("seen"), n["gap"].alias("gap"))
+        ),
+    )
+    core = distinct.join(near, "row_id", "left").select(
+        "coarse_id", "row_id", "vec", "weight", F.coalesce(reached["gap"], F.lit(0.0)).alias("core_distance")
+    )
+    core = cut_lineage(core)
+
+    def nearest_reach(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own, other = left["core_distance"].to_numpy(), right["core_distance_"].to_numpy()
+        mutual = np.maximum(_cross_distances(left, right), np.maximum(own[:, None], other[None, :]))
+        best = np.where(left["weight"].to_numpy() > 1, own, mutual.min(axis=1))
+        return pd.DataFrame({"row_id": left["row_id"], "nearest": best})
+
+    best = _against_block(core, nearest_reach, "row_id long, nearest double", max_block)
+    measured = core.join(best.groupBy("row_id").agg(F.min("nearest").alias("nearest")), "row_id")
     return _spread(points, distinct, measured, ["core_distance", "nearest"])
 
 

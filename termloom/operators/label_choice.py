@@ -89,16 +89,12 @@ def choose_labels(choices: DataFrame) -> DataFrame:
     state = choices.select(
         F.col("cluster_id").cast("long").alias("cluster_id"), "candidates", "terminal", F.lit(1).alias("turn")
     )
-    held, before, any_chained = None, None, True
+    held, before = None, None
     while True:
         searching = F.col("turn") <= F.size("candidates")
         based = state.withColumn("base", F.when(~searching, F.lower("terminal")))
         chained = based.filter("base is not null").select("cluster_id", "terminal", "base")
-        if any_chained:
-            based = based.join(_terminal_texts(chained, held), "cluster_id", "left")
-        else:
-            based = based.withColumn("text", F.lit(None).cast("string"))
-        proposals = based.withColumn(
+        proposals = based.join(_terminal_texts(chained, held), "cluster_id", "left").withColumn(
             "text", F.when(searching, F.get("candidates", F.col("turn") - 1)).otherwise(F.col("text"))
         )
         proposals = cut_lineage(proposals.withColumn("key", F.lower("text")))
@@ -107,16 +103,32 @@ def choose_labels(choices: DataFrame) -> DataFrame:
             proposals.join(winners, "key").withColumn("stands", F.col("holder") == F.col("cluster_id"))
         )
         held = judged.filter("stands").select("key", "holder", F.col("base").alias("owner_base"))
-        step = (~F.col("stands") & F.col("base").isNull()).cast("int")
-        refused, now, any_chained = judged.agg(
-            F.count_if(~F.col("stands")),
-            F.sum(F.xxhash64("cluster_id", "key", "stands").cast("decimal(38,0)")),
-            F.bool_or(F.col("turn") + step > F.size("candidates")),
+        refused, now = judged.agg(
+            F.count_if(~F.col("stands")), F.sum(F.xxhash64("cluster_id", "key", "stands").cast("decimal(38,0)"))
         ).first()
         if not refused and now == before:
             return judged.select("cluster_id", F.col("text").alias("label"))
         before = now
-        state = judged.select("cluster_id", "candidates", "terminal", (F.col("turn") + step).alias("turn"))
+        state = _next_turns(judged, held)
+
+
+def _next_turns(judged: DataFrame, held: DataFrame) -> DataFrame:
+    """Refused clusters move to their next candidate that no lower id holds; such a text stays out of reach."""
+    refused = judged.filter(~F.col("stands") & F.col("base").isNull())
+    ahead = refused.select("cluster_id", "turn", F.posexplode("candidates").alias("at", "text")).filter("at >= turn")
+    blocked = (
+        ahead.withColumn("key", F.lower("text"))
+        .join(held.select("key", "holder"), "key")
+        .filter("holder < cluster_id")
+        .groupBy("cluster_id")
+        .agg(F.array_sort(F.collect_set(F.col("at") + 1)).alias("blocked"))
+    )
+    skipped = F.coalesce("blocked", F.array().cast("array<int>"))
+    following = F.aggregate(skipped, F.col("turn") + 1, lambda t, b: F.when(b == t, t + 1).otherwise(t))
+    moving = ~F.col("stands") & F.col("base").isNull()
+    return judged.join(blocked, "cluster_id", "left").select(
+        "cluster_id", "candidates", "terminal", F.when(moving, following).otherwise(F.col("turn")).alias("turn")
+    )
 
 
 def unique_labels(labels: DataFrame) -> DataFrame:

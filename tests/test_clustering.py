@@ -64,6 +64,19 @@ def test_copies_are_folded_and_spread(spark):
     assert core[0] == pytest.approx(gaps[2], abs=1e-7)
 
 
+def test_reachability_of_chunked_blocks(spark):
+    points = np.random.default_rng(11).normal(size=(90, 4))
+    df = frame(spark, points, coarse_id=np.arange(90) % 2)
+    for size in (2000, 20):
+        got = {r["row_id"]: (r["core_distance"], r["nearest"]) for r in density.reachability(df, max_block=size).collect()}
+        for i in range(90):
+            own = [j for j in range(90) if j % 2 == i % 2]
+            gaps = {j: np.linalg.norm(points[own] - points[j], axis=1) for j in own}
+            core = {j: np.sort(gaps[j])[2] for j in own}
+            reach = min(max(core[i], core[j], g) for j, g in zip(own, gaps[i]) if j != i)
+            assert got[i] == pytest.approx((core[i], reach), abs=1e-6)
+
+
 def test_large_blocks_are_split_before_the_dense_step(spark):
     points = np.random.default_rng(3).normal(size=(300, 4))
     df = frame(spark, points, coarse_id=np.arange(300) % 2)
@@ -75,10 +88,10 @@ def test_large_blocks_are_split_before_the_dense_step(spark):
 def test_split_large_keeps_rows_and_bounds_blocks(spark):
     points = np.concatenate([np.random.default_rng(2).normal(size=(150, 3)), np.zeros((100, 3))])
     df = frame(spark, points, coarse_id=np.where(np.arange(250) % 5 == 0, 1, 0))
-    out = coarse.split_large(df, max_size=30).collect()
+    out = coarse.split_large(df, max_size=60).collect()
     assert sorted(r["row_id"] for r in out) == list(range(250))
     sizes = np.unique([r["coarse_id"] for r in out], return_counts=True)[1]
-    assert max(sizes) <= 30
+    assert max(sizes) <= 60
 
 
 def test_fit_is_stable_under_partitioning(spark, blobs):
