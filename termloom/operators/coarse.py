@@ -19,6 +19,7 @@ from termloom.operators.similarity import nearest_centroid
 from termloom.session import cut_lineage
 
 FANOUT = 32
+DISTANCE_ROUNDS = 3
 PART_ROWS = 10_000
 FIT_PARTITION_BYTES = 128 << 20
 
@@ -114,12 +115,13 @@ def split_large(points: DataFrame, max_size: int = 500, iterations: int = 3, nex
 
     All oversized blocks are split in the same jobs: seeds are the rows with the lowest hash of each block, a
     few Lloyd steps move them, and sub-block 0 keeps the id while the others get new ids in block order. A
-    block takes at most 32 parts per round, so hot blocks shrink geometrically and no step gathers one.
+    block takes at most 32 parts per round; what three rounds leave oversized, such as many copies of one vector, is
+    cut by row hash.
     """
     points = cut_lineage(points.select("row_id", "vec", F.col("coarse_id").cast("long").alias("coarse_id")))
     if next_id is None:
         next_id = (points.agg(F.max("coarse_id")).first()[0] or 0) + 1
-    largest = None
+    rounds = 0
     while True:
         sizes = points.groupBy("coarse_id").count().filter(F.col("count") > max_size)
         big = cut_lineage(
@@ -127,13 +129,12 @@ def split_large(points: DataFrame, max_size: int = 500, iterations: int = 3, nex
         )
         if big.isEmpty():
             return points
-        worst = big.agg(F.max("count")).first()[0]
         oversized = points.join(big, "coarse_id")
-        if largest is not None and worst >= largest:
-            split = _split_by_hash(oversized, max_size)
-        else:
+        if rounds < DISTANCE_ROUNDS:
             split = _split_by_distance(oversized, iterations)
-        largest = worst
+        else:
+            split = _split_by_hash(oversized, rounds)
+        rounds += 1
         ids = with_running_total(
             big.withColumn("_new", F.col("k") - 1), "coarse_id", "_new", "_earlier"
         ).select("coarse_id", "_earlier")
@@ -151,8 +152,8 @@ def split_large(points: DataFrame, max_size: int = 500, iterations: int = 3, nex
         ).unionByName(renamed))
 
 
-def _split_by_hash(oversized: DataFrame, max_size: int) -> DataFrame:
-    return oversized.withColumn("sub", F.pmod(F.xxhash64("row_id", F.lit(max_size)), F.col("k")))
+def _split_by_hash(oversized: DataFrame, salt: int) -> DataFrame:
+    return oversized.withColumn("sub", F.pmod(F.xxhash64("row_id", F.lit(salt)), F.col("k")))
 
 
 def _split_by_distance(oversized: DataFrame, iterations: int) -> DataFrame:

@@ -50,11 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in reliable storage so that loops neither recompute nor lose it with an executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder and read it back, so that loops neither recompute nor lose it.
+
+    A written table also carries its true size. A checkpoint keeps the planner's estimate, and estimates of joins
+    multiply from round to round.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def store_bucketed(df: DataFrame, key: str) -> DataFrame:
