@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm.license_templates import scan_licenses
+from termloom.llm.linear_packing import cut_tokens, pack
 from termloom.llm.token_files import token_digest, write_tokens
 from termloom.llm.url_filter import judge_urls
-from termloom.session import scratch_path
+from termloom.session import cut_lineage, scratch_path
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -50,6 +51,11 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"), LICENSE_PHRASES, LICENSE_TEMPLATES)
 
 
+def op8_linear_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pack(cut_lineage(cut_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -80,7 +86,7 @@ from judged
 
 
 def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op7_license_templates, op10_url_filter)}
+    return {f.__name__: f for f in (op3_token_files, op7_license_templates, op8_linear_packing, op10_url_filter)}
 
 
 def oracles() -> dict[str, str]:
