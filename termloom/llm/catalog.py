@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termloom.llm.license_templates import scan_licenses
 from termloom.llm.linear_packing import cut_tokens, pack
+from termloom.llm.rank_language import language_profiles, predict_languages
+from termloom.llm.rule_quality import score_documents
 from termloom.llm.token_files import token_digest, write_tokens
 from termloom.llm.url_filter import judge_urls
 from termloom.session import cut_lineage, scratch_path
@@ -41,12 +44,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(modulus: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learnt = _table(spark, sf_dir, "labels").filter(_remainder(5) != 0)
+    scored = score_documents(_table(spark, sf_dir, "documents"), learnt)
+    return scored.select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_digest(spark, path)
 
 
+def op6_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language_profiles(docs.filter(_remainder(4) != 2))
+    return predict_languages(docs, profiles).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"), LICENSE_PHRASES, LICENSE_TEMPLATES)
 
@@ -86,7 +115,7 @@ from judged
 
 
 def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op7_license_templates, op8_linear_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op2_rule_quality, op3_token_files, op6_rank_language, op7_license_templates, op8_linear_packing, op10_url_filter)}
 
 
 def oracles() -> dict[str, str]:
