@@ -12,6 +12,7 @@ from termloom.llm.license_templates import scan_licenses
 from termloom.llm.linear_packing import cut_tokens, pack
 from termloom.llm.rank_language import language_profiles, predict_languages
 from termloom.llm.rule_quality import score_documents
+from termloom.llm.simhash_windows import contaminated_spans
 from termloom.llm.token_files import token_digest, write_tokens
 from termloom.llm.url_filter import judge_urls
 from termloom.session import cut_lineage, scratch_path
@@ -85,6 +86,10 @@ def op8_linear_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut_lineage(cut_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)))
 
 
+def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -115,7 +120,7 @@ from judged
 
 
 def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_rule_quality, op3_token_files, op6_rank_language, op7_license_templates, op8_linear_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op2_rule_quality, op3_token_files, op6_rank_language, op7_license_templates, op8_linear_packing, op9_simhash_windows, op10_url_filter)}
 
 
 def oracles() -> dict[str, str]:

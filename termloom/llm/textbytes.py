@@ -18,6 +18,7 @@ SHINGLE_WORDS = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SHINGLE_STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -145,10 +146,18 @@ def shingles(words: Words, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.nd
         term = padded[at + step]
         if short:
             term = np.where(step < left, term, np.uint64(0))
-        out = out * np.uint64(0xD6E8FEB86659FD93) + term
+        out = out * _SHINGLE_STEP + term
     return mix(out), at, offsets
 
 
+def short_shingles(words: Words, at: np.ndarray, count: int, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of runs of `count` < `size` words at word positions `at`, as `shingles` gives them to texts that short."""
+    out = np.zeros(len(at), np.uint64)
+    for step in range(size):
+        out = out * _SHINGLE_STEP + (words.hashes[at + step] if step < count else np.uint64(0))
+    return mix(out)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0]+1, ..., for each run of the given length."""
     ends = np.cumsum(lengths)
