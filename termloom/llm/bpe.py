@@ -9,12 +9,16 @@ joined, which gives the ids of the whole text. Cuts in use:
 * `words`: before a single space between two characters that are surely not white space. For byte-level files whose
   pattern attaches one leading space to the next word.
 
+A chunk that is one word of Latin letters is what normalizer and pre-tokenizer would hand to the file's model, but for the
+byte alphabet, so it goes to the model at once. Every other chunk takes the whole way through the library.
+
 Names of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,9 @@ _KIND[33:127] = 2
 _KIND[48:58] = _KIND[39] = 0
 _KIND[65:91] = _KIND[97:123] = 1
 
+# One word of letters whose normal form is itself.
+_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -49,6 +56,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cut = {"spaces": _space_cuts, "words": _word_cuts}[cut]
         self.lowers = cut == "spaces"
+        self.model = self.tokenizer.model
+        # The printable character that stands for each byte in byte-level files.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
         self._reset()
 
     def _reset(self) -> None:
@@ -88,8 +100,7 @@ class Encoder:
         places = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
         missing = np.flatnonzero(places < 0)
         if len(missing):
-            found = self.tokenizer.encode_batch_fast([chunks[i] for i in missing], add_special_tokens=False)
-            ids = [e.ids for e in found]
+            ids = self._encoded([chunks[i] for i in missing])
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
             first, stop = len(self.known), len(self.known) + len(ids)
@@ -105,6 +116,27 @@ class Encoder:
         return places
 
 
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        plain, tokenize = _PLAIN.fullmatch, self.model.tokenize
+        out: list = [None] * len(chunks)
+        other = []
+        for i, chunk in enumerate(chunks):
+            if plain(chunk):
+                if self.lowers:
+                    chunk = chunk.strip().lower()
+                word = chunk if chunk.isascii() and chunk[0] != " " else self._spelled(chunk)
+                out[i] = [t.id for t in tokenize(word)]
+            else:
+                other.append(i)
+        found = self.tokenizer.encode_batch_fast([chunks[i] for i in other], add_special_tokens=False)
+        for i, encoding in zip(other, found):
+            out[i] = encoding.ids
+        return out
+
+    def _spelled(self, chunk: str) -> str:
+        return chunk.encode().decode("latin-1").translate(self.alphabet)
+
+
 def _grown(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
