@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.llm.icws_dedup import near_duplicates
 from termloom.llm.license_templates import scan_licenses
 from termloom.llm.linear_packing import cut_tokens, pack
 from termloom.llm.rank_language import language_profiles, predict_languages
@@ -45,6 +46,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def _remainder(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
@@ -120,7 +125,17 @@ from judged
 
 
 def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_rule_quality, op3_token_files, op6_rank_language, op7_license_templates, op8_linear_packing, op9_simhash_windows, op10_url_filter)}
+    named = (
+        op1_icws_near_dedup,
+        op2_rule_quality,
+        op3_token_files,
+        op6_rank_language,
+        op7_license_templates,
+        op8_linear_packing,
+        op9_simhash_windows,
+        op10_url_filter,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracles() -> dict[str, str]:

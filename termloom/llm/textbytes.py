@@ -27,13 +27,13 @@ IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `limit` bytes of text, so that the arrays made from a slice stay small.
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `limit` bytes in `columns`, so that the arrays made from a slice stay small.
 
-    A text longer than `limit` is a slice of its own.
+    A row longer than `limit` is a slice of its own.
     """
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns)
         ends = np.cumsum(sizes, dtype=np.int64)
         row = 0
         while row < batch.num_rows:
