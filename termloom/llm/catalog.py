@@ -14,6 +14,7 @@ from termloom.llm.linear_packing import cut_tokens, pack
 from termloom.llm.rank_language import language_profiles, predict_languages
 from termloom.llm.rule_quality import score_documents
 from termloom.llm.simhash_windows import contaminated_spans
+from termloom.llm.suffix_dedup import remove_repeats
 from termloom.llm.token_files import token_digest, write_tokens
 from termloom.llm.url_filter import judge_urls
 from termloom.session import cut_lineage, scratch_path
@@ -74,6 +75,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, path)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     profiles = language_profiles(docs.filter(_remainder(4) != 2))
@@ -129,6 +134,7 @@ def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_icws_near_dedup,
         op2_rule_quality,
         op3_token_files,
+        op5_suffix_dedup,
         op6_rank_language,
         op7_license_templates,
         op8_linear_packing,

@@ -17,7 +17,7 @@ PIECE_BYTES = 2 << 20
 SHINGLE_WORDS = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SHINGLE_STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
@@ -86,7 +86,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each byte span; equal spans have equal hashes wherever they stand."""
-    inverse = powers(_BASE_INVERSE, len(prefix))
+    inverse = powers(BASE_INVERSE, len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
