@@ -57,18 +57,25 @@ FEATURES = [
 Rule = tuple[tuple[int, str, float], ...]
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and FEATURES of every row's whole text."""
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """`rows` with FEATURES of the whole text in place of `text`."""
+    others = [c for c in rows.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             values = _statistics(piece.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), *(pa.array(v) for v in values)], names=["doc_id", *FEATURES]
-            )
+            columns = [*(piece.column(c) for c in others), *(pa.array(v) for v in values)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, *FEATURES])
+
+    schema = rows.drop("text").schema
+    for feature in FEATURES:
+        schema = schema.add(feature, "double")
+    return rows.mapInArrow(measure, schema)
+
 
-    schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, schema)
+def text_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and FEATURES of every row's whole text."""
+    return with_statistics(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def _statistics(column: pa.Array) -> list[np.ndarray]:
@@ -221,3 +228,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     statistics = cut_lineage(text_statistics(docs))
     intercept, rules = fit_rules(training_rows(statistics, labels, label, max_rows))
     return statistics.select("doc_id", score_column(intercept, rules).alias("score"), *FEATURES)
+
+
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float, label: str = "quality", max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is at least `threshold`; learnt from the rows that `labels` marks."""
+    marked = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    intercept, rules = fit_rules(training_rows(text_statistics(marked), labels, label, max_rows))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    scored = with_statistics(packed)
+    return scored.filter(score_column(intercept, rules) >= threshold).select("_row.*")

@@ -398,19 +398,24 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     All columns are kept; `text` loses its repeats, and a character that lost some of its bytes loses the rest. With `digest`:
     doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) instead.
     """
-    rows = numbered(docs.select("doc_id", "text") if digest else docs)
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*(["doc_id"] if digest else others)).alias("_row")
+    rows = numbered(docs.select(row, F.col("doc_id").cast("long"), F.col("text").cast("string")))
     ranges = repeated_ranges(rows)
-    gathered = ranges.groupBy("place").agg(F.collect_list(F.struct("low", "n")).alias("_ranges"))
-    both = rows.join(gathered, "place", "left")
-    names = [c for c in docs.columns]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else docs.schema
+    gathered = ranges.groupBy("place").agg(F.collect_list(F.struct("low", "n")).alias("ranges"))
+    both = rows.join(gathered, "place", "left").select("_row", "doc_id", "text", "ranges")
+    schema = (
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        if digest
+        else rows.select("_row", "text").schema
+    )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             data, offsets = text_bytes(piece.column("text"))
-            ranges = piece.column("_ranges")
+            ranges = piece.column("ranges")
             fields = ranges.flatten()
-            lengths = np.diff(np.append(0, np.cumsum(ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            lengths = ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             begin = np.repeat(offsets[:-1], lengths) + fields.field("low").to_numpy()
             edge = np.zeros(len(data) + 1, np.int64)
             np.add.at(edge, begin, 1)
@@ -423,10 +428,10 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
                     None if null else data[a:b][kept[a:b]].tobytes().decode("utf-8", "ignore")
                     for a, b, null in zip(offsets[:-1], offsets[1:], piece.column("text").is_null().to_pylist())
                 ]
-                columns = [pa.array(texts, pa.string()) if c == "text" else piece.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([piece.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
-    return both.mapInArrow(apply, schema)
+    done = both.mapInArrow(apply, schema)
+    return done if digest else done.select("_row.*", "text").select(*docs.columns)
 
 
 def _digest(doc_id: pa.Array, data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
