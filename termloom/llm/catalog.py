@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from termloom.llm.icws_dedup import near_duplicates
 from termloom.llm.license_templates import scan_licenses
 from termloom.llm.linear_packing import cut_tokens, pack
+from termloom.llm.permutation_index import nearest
 from termloom.llm.rank_language import language_profiles, predict_languages
 from termloom.llm.rule_quality import score_documents
 from termloom.llm.simhash_windows import contaminated_spans
@@ -75,6 +76,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, path)
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -134,6 +139,7 @@ def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_icws_near_dedup,
         op2_rule_quality,
         op3_token_files,
+        op4_permutation_index,
         op5_suffix_dedup,
         op6_rank_language,
         op7_license_templates,
