@@ -42,7 +42,7 @@ CHUNK_CONTEXTS = 512
 MOST_CONTEXTS = 4096
 PARTS_PER_PARTITION = 6
 
-REMOVED, COMPARE, SPREAD = 0, 1, 2
+REMOVED, COMPARE, SPREAD, MARK = 0, 1, 2, 3
 POSITION_BITS = 24
 
 ENTRY = np.dtype(
@@ -156,8 +156,12 @@ def _merged(entries: np.ndarray) -> np.ndarray:
     return out
 
 
-def find_occurrences(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, entries): packed entries of every chunk of texts, split by anchor; what a chunk can decide is decided."""
+def find_occurrences(docs: DataFrame, parts: int, chunk_contexts: int = CHUNK_CONTEXTS) -> DataFrame:
+    """(part, entries): packed entries of every chunk of texts, split by anchor; what a chunk can decide is decided.
+
+    An anchor with more than `chunk_contexts` contexts in a chunk leaves a mark in place of these, so that the contexts of
+    other chunks join them.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -167,21 +171,24 @@ def find_occurrences(docs: DataFrame, parts: int) -> DataFrame:
             held.append(entries)
             size += piece.column("text").nbytes
             if size > CHUNK_BYTES:
-                yield _packed(np.concatenate(held), parts)
+                yield _packed(np.concatenate(held), parts, chunk_contexts)
                 held, size = [], 0
         if held:
-            yield _packed(np.concatenate(held), parts)
+            yield _packed(np.concatenate(held), parts, chunk_contexts)
 
     return docs.select("place", F.col("text").cast("string")).mapInArrow(scan, "part int, entries binary")
 
 
-def _packed(entries: np.ndarray, parts: int) -> pa.RecordBatch:
+def _packed(entries: np.ndarray, parts: int, chunk_contexts: int) -> pa.RecordBatch:
     entries, first = _firsts(entries)
     repeats, entries = _merged(entries[~first]), entries[first]
     repeats["kind"] = REMOVED
-    entries["kind"] = np.where(_contexts_per_key(entries) > CHUNK_CONTEXTS, SPREAD, COMPARE)
-    everything = np.concatenate([repeats, entries])
-    by_key = everything["kind"] == COMPARE
+    entries["kind"] = np.where(_contexts_per_key(entries) > chunk_contexts, SPREAD, COMPARE)
+    spread = entries[entries["kind"] == SPREAD]
+    marks = spread[np.unique(spread["key"], return_index=True)[1]]
+    marks["kind"] = MARK
+    everything = np.concatenate([repeats, entries, marks])
+    by_key = (everything["kind"] == COMPARE) | (everything["kind"] == MARK)
     part = np.where(by_key, everything["key"], mix(everything["place"].astype(np.uint64))) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
     everything, part = everything[order], part[order].astype(np.int32)
@@ -191,7 +198,7 @@ def _packed(entries: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
 
-def resolve_contexts(found: DataFrame) -> DataFrame:
+def resolve_contexts(found: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """Rows of FOUND: removed ranges, and the occurrences whose windows must be compared."""
 
     def resolve(table: pa.Table) -> pa.Table:
@@ -203,8 +210,9 @@ def resolve_contexts(found: DataFrame) -> DataFrame:
         later, compared = compared[~first].copy(), compared[first].copy()
         later["kind"] = REMOVED
         contexts = _contexts_per_key(compared)
-        compared["kind"] = np.where(contexts > MOST_CONTEXTS, SPREAD, COMPARE)
-        out = np.concatenate([known, spread, _merged(later), compared[contexts > 1]])
+        marked = np.isin(compared["key"], entries["key"][entries["kind"] == MARK])
+        compared["kind"] = np.where(marked | (contexts > most_contexts), SPREAD, COMPARE)
+        out = np.concatenate([known, spread, _merged(later), compared[marked | (contexts > 1)]])
         return pa.table(
             {
                 "kind": out["kind"].astype(np.int32),
@@ -383,16 +391,20 @@ def spread_windows(contexts: DataFrame) -> DataFrame:
     return later.select("place", "low", F.lit(1).alias("n"))
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(
+    docs: DataFrame, chunk_contexts: int = CHUNK_CONTEXTS, most_contexts: int = MOST_CONTEXTS
+) -> DataFrame:
     """place, low, n: runs of window starts whose windows also start earlier. `docs`: place (unique), text."""
     parts = PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_lineage(resolve_contexts(find_occurrences(docs, parts)))
+    found = cut_lineage(resolve_contexts(find_occurrences(docs, parts, chunk_contexts), most_contexts))
     contexts = cut_lineage(contexts_of(docs, found.filter(F.col("kind") != REMOVED)))
     decided = found.filter(F.col("kind") == REMOVED).select("place", "low", "n")
     return decided.unionByName(compare_contexts(contexts, parts)).unionByName(spread_windows(contexts))
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, digest: bool = False, chunk_contexts: int = CHUNK_CONTEXTS, most_contexts: int = MOST_CONTEXTS
+) -> DataFrame:
     """`docs` without the bytes that repeat earlier ones.
 
     All columns are kept; `text` loses its repeats, and a character that lost some of its bytes loses the rest. With `digest`:
@@ -401,7 +413,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*(["doc_id"] if digest else others)).alias("_row")
     rows = numbered(docs.select(row, F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    ranges = repeated_ranges(rows)
+    ranges = repeated_ranges(rows, chunk_contexts, most_contexts)
     gathered = ranges.groupBy("place").agg(F.collect_list(F.struct("low", "n")).alias("ranges"))
     both = rows.join(gathered, "place", "left").select("_row", "doc_id", "text", "ranges")
     schema = (
