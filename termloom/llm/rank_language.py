@@ -64,7 +64,9 @@ def _grams(texts: list[str], group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         code = code[: len(small) - n + 1] * size + small[n - 1 :]
         # a gram belongs to the text of its second character; blanks only border it and are no gram alone
         second = min(n - 1, 1)
-        whole = np.ones(len(code), bool) if n == 2 else small[second : len(code) + second] != 0
+        whole = small[second : len(code) + second] != 0
+        if n == 2:
+            whole |= small[: len(code)] != 0
         group_n = group_of[second : len(code) + second] * (MAX_GRAM + 1) + n
         keys.append((group_n * span + code)[whole])
     keys = np.concatenate(keys)

@@ -122,12 +122,10 @@ def passages() -> list[tuple[int, str | None]]:
 
 
 @pytest.mark.parametrize(("chunk", "most"), [(suffix.CHUNK_CONTEXTS, suffix.MOST_CONTEXTS), (2, 3), (10**6, 2)])
-def test_removed_bytes_match_brute_force(spark, monkeypatch, chunk, most):
-    monkeypatch.setattr(suffix, "CHUNK_CONTEXTS", chunk)
-    monkeypatch.setattr(suffix, "MOST_CONTEXTS", most)
+def test_removed_bytes_match_brute_force(spark, chunk, most):
     rows = passages()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = suffix.remove_repeats(docs, digest=True).collect()
+    got = suffix.remove_repeats(docs, True, chunk, most).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_removal(rows)
 
 
