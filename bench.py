@@ -5,9 +5,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 from termloom.catalog.registry import builders
@@ -21,6 +24,7 @@ HEADLINE = [
     "E6_metric_merge",
     "E9_request_batches",
     "F1_text_vectors",
+    "F1_document_vectors",
     "G2_coarse_fit",
     "H1_density_labels",
     "I4_merged_ids",
@@ -41,10 +45,13 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    steps = tempfile.mkdtemp(prefix="termloom-")
+    atexit.register(shutil.rmtree, steps, ignore_errors=True)
     spark = build_session(
         "bench",
         f"local[{cpus}]",
         **{
+            "spark.checkpoint.dir": steps,
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",

@@ -49,7 +49,7 @@ def _flags_sql(wrap: str = "{}") -> str:
     return f"concat_ws(',', {tests})"
 
 
-# Texts that touch every pattern family: keywords of the part table and opening words of documents.
+# Texts that touch every pattern family: keywords of the part table and whole documents.
 _TEXTS = f"""texts as (select 'p' || row_id as id, keyword from ({CLEAN_SQL}) union all select 'd' || doc_id, text
  from documents union all select 'c' || c_custkey, case c_custkey % 12 when 0 then 'What is the price of ' || c_name
  when 1 then 'restaurants in Boston' when 2 then 'best VS. worst ' || c_mktsegment when 3 then 'top 10 Reviews, compared'
@@ -154,11 +154,18 @@ def _capital_sql(word_list: str, n: int) -> str:
     )
 
 
-def _theme_sql(source: str) -> str:
+def _members_sql(source: str, limit: int | None) -> str:
+    """All members with their position, or the first `limit` of each cluster."""
+    if not limit:
+        return f"select *, row_id as position from {source} where cluster_id >= 0"
+    return f"""select *, row_number() over (partition by cluster_id order by row_id) as position from {source}
+ where cluster_id >= 0 qualify position <= {limit}"""
+
+
+def _theme_sql(source: str, limit: int | None = None) -> str:
     """CTE `themes` over `source` (cluster_id, row_id, keyword)."""
     stop = ", ".join(f"'{w}'" for w in labels.STOP_WORDS)
-    return f"""f50 as (select *, row_number() over (partition by cluster_id order by row_id) as position from {source}
- where cluster_id >= 0 qualify position <= 50), toks as (select cluster_id, position,
+    return f"""f50 as ({_members_sql(source, limit)}), toks as (select cluster_id, position,
  unnest(regexp_extract_all(lower(keyword), '{WORD}+')) as word,
  generate_subscripts(regexp_extract_all(lower(keyword), '{WORD}+'), 1) as pos from f50),
  cnt as (select cluster_id, word, count(*) as n, min((position, pos)) as first from toks
@@ -167,10 +174,10 @@ def _theme_sql(source: str) -> str:
  (partition by cluster_id order by n desc, first) as r from cnt) where r <= 2 group by 1)"""
 
 
-def _phrase_sql(source: str) -> str:
+def _phrase_sql(source: str, limit: int | None = None) -> str:
     """CTE `phrases` over `source` (cluster_id, row_id, keyword)."""
-    return f"""f20 as (select cluster_id, row_number() over (partition by cluster_id order by row_id) as position,
- {words_sql('lower(keyword)')} as w from {source} where cluster_id >= 0 qualify position <= 20),
+    return f"""f20 as (select cluster_id, position, {words_sql('lower(keyword)')} as w
+ from ({_members_sql(source, limit)})),
  grams as (select cluster_id, position, list_concat(
  list_transform(range(1, greatest(len(w), 1)), lambda k: array_to_string(w[k:k + 1], ' ')),
  list_transform(range(1, greatest(len(w) - 1, 1)), lambda k: array_to_string(w[k:k + 2], ' '))) as g from f20),
@@ -201,6 +208,22 @@ def _(spark, sf):
     return labels.themes(clean_keywords(spark, sf))
 
 
+@query(
+    "N1_theme_first_members",
+    f"with {_DOC_GROUPS}, {_theme_sql('docs', 50)} select cluster_id, theme from themes",
+)
+def _(spark, sf):
+    return labels.themes(doc_groups(spark, sf), limit=50)
+
+
+@query(
+    "N2_common_phrase_first_members",
+    f"with {_DOC_GROUPS}, {_phrase_sql('docs', 20)} select cluster_id, phrase from phrases",
+)
+def _(spark, sf):
+    return labels.common_phrases(doc_groups(spark, sf), limit=20)
+
+
 @query("N2_common_phrase", f"with kw as ({CLEAN_SQL}), {_phrase_sql('kw')} select cluster_id, phrase from phrases")
 def _(spark, sf):
     return labels.common_phrases(clean_keywords(spark, sf))

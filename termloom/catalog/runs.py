@@ -9,9 +9,7 @@ from termloom.catalog.metrics import rounded
 from termloom.catalog.registry import query
 from termloom.catalog.vectors import FX2, centroids_sql, label_centroids
 from termloom.operators import jobs
-from termloom.operators.coarse import CoarseSettings
-from termloom.operators.embed import hashed_ngrams
-from termloom.plans.keyword_run import RunSettings, run
+from termloom.plans.keyword_run import run
 from termloom.session import scratch_path
 from termloom.streaming.assign import stream_assignments
 
@@ -136,8 +134,7 @@ def _(spark, sf):
 
 
 def keyword_run(spark, sf):
-    settings = RunSettings(coarse=CoarseSettings(seeds=(42,), max_iter=10))
-    return run(keywords(spark, sf), settings, hashed_ngrams(64))
+    return run(keywords(spark, sf))
 
 
 @query("keyword_report")

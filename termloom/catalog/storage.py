@@ -231,17 +231,23 @@ def _(spark, sf):
 
 @query(
     "B2_keyed_update",
-    f"""with {_KW} select case when row_id % 3 = 0 then 'job-a' else 'job-b' end as job_id, row_id, keyword,
- case when row_id % 3 = 0 and keyword like 'buy%' then length(keyword) else search_volume end::bigint as search_volume,
- case when row_id % 3 <> 0 and keyword like 'how%' then 7 else cluster_id end::bigint as cluster_id, cpc from kw""",
+    f"""with {_KW}, last as (select keyword, arg_max(length(keyword) + row_id % 5, row_id) as v from kw group by 1)
+select case when row_id % 3 = 0 then 'job-a' else 'job-b' end as job_id, row_id, keyword,
+ case when row_id % 3 = 0 and keyword like 'buy%' then v else search_volume end::bigint as search_volume,
+ case when row_id % 3 <> 0 and keyword like 'how%' then 7 else cluster_id end::bigint as cluster_id, cpc
+ from kw join last using (keyword)""",
 )
 def _(spark, sf):
     tables = job_tables(spark, sf)
     rows = clean_keywords(spark, sf)
-    volumes = rows.filter("keyword like 'buy%'").select("keyword", F.length("keyword").cast("long").alias("search_volume"))
-    missing = rows.limit(1).select(F.lit("not a keyword").alias("keyword"), F.lit(1).cast("long").alias("search_volume"))
-    tables.update_keywords("job-a", volumes.distinct().unionByName(missing))
-    labels = rows.filter("keyword like 'how%'").select("keyword", F.lit(7).cast("long").alias("cluster_id")).distinct()
+    volumes = rows.filter("keyword like 'buy%'").select(
+        "keyword", (F.length("keyword") + F.col("row_id") % 5).cast("long").alias("search_volume"), F.col("row_id").alias("step")
+    )
+    missing = rows.limit(1).select(
+        F.lit("not a keyword").alias("keyword"), F.lit(1).cast("long").alias("search_volume"), F.col("row_id").alias("step")
+    )
+    tables.update_keywords("job-a", volumes.unionByName(missing), sequence="step")
+    labels = rows.filter("keyword like 'how%'").select("keyword", F.lit(7).cast("long").alias("cluster_id"))
     tables.update_keywords("job-b", labels)
     return tables.read("keywords").select("job_id", "row_id", "keyword", "search_volume", "cluster_id", "cpc")
 
@@ -321,13 +327,14 @@ def _(spark, sf):
 
 @query(
     "B5_delete_job",
-    f"""with {METRICS_SQL} select 'keywords' as source, count(*) as n from kw where row_id % 3 <> 0 union all
+    f"""with {METRICS_SQL} select 'keywords' as source, count(*) as n from kw where row_id % 3 <> 0 or row_id % 6 = 0 union all
  select 'clusters', count(*) from metrics where cluster_id % 3 <> 0 union all select 'jobs', 1 union all
- select 'compacted', count(*) from kw where row_id % 3 <> 0""",
+ select 'compacted', count(*) from kw where row_id % 3 <> 0 or row_id % 6 = 0""",
 )
 def _(spark, sf):
     tables = job_tables(spark, sf)
     tables.delete_job("job-a")
+    tables.insert_keywords("job-a", clean_keywords(spark, sf).drop("grp").filter("row_id % 6 = 0"))
     target = scratch_path(spark, "compacted")
     tables.compact("keywords", target)
     counts = [
@@ -396,9 +403,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     old = probe(spark, sf).select("keyword", F.lit(-1).alias("search_volume"), F.lit(-1.0).alias("keyword_difficulty"))
-    fresh = fresh_metrics(spark, sf)
+    fresh = fresh_metrics(spark, sf).withColumnRenamed("event_id", "sequence")
     stale = old.join(fresh.select("keyword"), "keyword", "left_semi")
-    merged = enrich.merge_metrics(probe(spark, sf), stale, fresh)
+    earlier = fresh.withColumns({"sequence": F.col("sequence") - 1, "search_volume": F.col("search_volume") + 1000})
+    merged = enrich.merge_metrics(probe(spark, sf), stale, fresh.unionByName(earlier))
     return rounded(merged, "keyword_difficulty")
 
 

@@ -55,6 +55,10 @@ def blocks(spark, sf):
     return vectors(spark, sf).select("row_id", "vec", F.col("label").cast("long").alias("coarse_id"))
 
 
+# Similarity at which centroids of the fixture count as close; higher, none merge.
+MERGE = 0.05
+
+
 @query("F1_text_vectors")
 def _(spark, sf):
     texts = clean_keywords(spark, sf)
@@ -112,7 +116,7 @@ def _(spark, sf):
 @query("G2_coarse_fit")
 def _(spark, sf):
     points = vectors(spark, sf).select("row_id", "vec")
-    settings = coarse.CoarseSettings(max_iter=20)
+    settings = coarse.CoarseSettings()
     labels = coarse.assign(points, coarse.fit_centroids(points, settings))
     return rounded(labels, "distance")
 
@@ -288,11 +292,11 @@ def _(spark, sf):
 
 @query(
     "I2_centroid_similarity",
-    f"with {PAIRS} select id_a::bigint as id_a, id_b::bigint as id_b, round(s, 6) as similarity from pairs where s >= 0",
+    f"with {PAIRS} select id_a::bigint as id_a, id_b::bigint as id_b, round(s, 6) as similarity from pairs where s >= {MERGE}",
 )
 def _(spark, sf):
     centroids = cut_lineage(merge.cluster_centroids(vectors(spark, sf)))
-    return rounded(similar_pairs(centroids, 0.0), "similarity")
+    return rounded(similar_pairs(centroids, MERGE), "similarity")
 
 
 _ROW_PAIRS = f"""with {FX2} select a.row_id as id_a, b.row_id as id_b, round(list_cosine_similarity(a.x, b.x), 6)
@@ -311,8 +315,8 @@ def _(spark, sf):
     return rounded(similar_pairs(rows, 0.6, budget=120_000), "similarity")
 
 
-_COMPONENTS = f"""{PAIRS}, e as (select id_a as a, id_b as b from pairs where s >= 0.2 union all
- select id_b, id_a from pairs where s >= 0.2), reach as (select cluster_id as id, cluster_id as other from cents union
+_COMPONENTS = f"""{PAIRS}, e as (select id_a as a, id_b as b from pairs where s >= {MERGE} union all
+ select id_b, id_a from pairs where s >= {MERGE}), reach as (select cluster_id as id, cluster_id as other from cents union
  select reach.id, e.b from reach join e on reach.other = e.a), roots as (select id as cluster_id, min(other) as root
  from reach group by 1)"""
 
@@ -324,7 +328,7 @@ _COMPONENTS = f"""{PAIRS}, e as (select id_a as a, id_b as b from pairs where s
 )
 def _(spark, sf):
     centroids = cut_lineage(merge.cluster_centroids(vectors(spark, sf)))
-    pairs = similar_pairs(centroids, 0.2)
+    pairs = similar_pairs(centroids, MERGE)
     return merge.connected_components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
@@ -343,16 +347,16 @@ def _(spark, sf):
  as merged_id from roots""",
 )
 def _(spark, sf):
-    return merge.merge_clusters(vectors(spark, sf), 0.2)
+    return merge.merge_clusters(vectors(spark, sf), MERGE)
 
 
 @query(
     "I5_similar_clusters",
     f"""with {PAIRS} select id_a::bigint as id_a, id_b::bigint as id_b, round(s, 6) as similarity from pairs
- where s >= 0.2 order by s desc, 1, 2""",
+ where s >= {MERGE} order by s desc, 1, 2""",
 )
 def _(spark, sf):
-    return rounded(merge.similar_clusters(vectors(spark, sf), 0.2), "similarity")
+    return rounded(merge.similar_clusters(vectors(spark, sf), MERGE), "similarity")
 
 
 _BEST = f"""with {CENTROIDS} select row_id, cents.cluster_id::bigint as cluster_id,

@@ -31,7 +31,6 @@ class CoarseSettings:
     max_clusters: int = 1000
     seeds: tuple[int, ...] = (42, 43, 44)
     max_iter: int = 100
-    fit_rows: int = 5_000_000
 
 
 def cluster_count(n: Column, settings: CoarseSettings = CoarseSettings()) -> Column:
@@ -45,7 +44,7 @@ def fit_centroids(points: DataFrame, settings: CoarseSettings = CoarseSettings()
     """(cluster_id, centroid) of k-means over (row_id, vec), from the seed with the lowest cost after one step.
 
     Rows are laid out by row_id, in a number of partitions set by the data size, so that a seed gives one result
-    whatever the input partitioning. Like a mini-batch fit, training reads at most about `fit_rows` rows, picked by row hash; assignment reads all.
+    whatever the input partitioning. Training reads all rows.
     """
     spark = points.sparkSession
     facts = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"))
@@ -54,13 +53,9 @@ def fit_centroids(points: DataFrame, settings: CoarseSettings = CoarseSettings()
         return spark.createDataFrame([], "cluster_id int, centroid array<double>")
     if k == 1:
         return mean_vectors(points.withColumn("cluster_id", F.lit(0)), ["cluster_id"], "vec").drop("size")
-    training = points
-    if n > settings.fit_rows:
-        kept = int(2**32 * settings.fit_rows / n)
-        training = points.filter(F.pmod(F.xxhash64("row_id"), F.lit(2**32)) < kept)
-    parts = max(8, math.ceil(min(n, settings.fit_rows) * dim * 8 / FIT_PARTITION_BYTES))
+    parts = max(8, math.ceil(n * dim * 8 / FIT_PARTITION_BYTES))
     features = (
-        training.repartition(parts, "row_id")
+        points.repartition(parts, "row_id")
         .sortWithinPartitions("row_id")
         .select(array_to_vector("vec").alias("features"))
         .persist(StorageLevel.MEMORY_AND_DISK)

@@ -139,9 +139,8 @@ def _spread(points: DataFrame, distinct: DataFrame, results: DataFrame, columns:
     repeated = distinct.filter("weight > 1").select("coarse_id", "vec", F.col("row_id").alias("first_id"))
     if repeated.isEmpty():
         return on_rows.select("coarse_id", "row_id", *columns)
-    width = repeated.agg(F.max(F.size("vec"))).first()[0] * 8
     copies = (
-        points.join(broadcast_if_small(repeated, width), ["coarse_id", "vec"])
+        points.join(broadcast_if_small(repeated), ["coarse_id", "vec"])
         .filter("row_id <> first_id")
         .join(results.select(F.col("row_id").alias("first_id"), *columns), "first_id")
     )

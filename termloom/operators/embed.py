@@ -23,9 +23,10 @@ BATCH_SIZE = 100
 
 def _with_terms(df: DataFrame, gram: int) -> DataFrame:
     padded = F.concat(F.lit(" "), canonical(F.col("text")), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_padded") - gram + 1, F.lit(1)))
-    return df.withColumn("_padded", padded).withColumn(
-        "terms", F.transform(starts, lambda i: F.substring("_padded", i, F.lit(gram)))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_chars") - gram + 1, F.lit(1)))
+    # one array of characters, so that each gram is read by position in constant time
+    return df.withColumn("_chars", F.regexp_extract_all(padded, F.lit("(?s)(.)"), F.lit(1))).withColumn(
+        "terms", F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, gram), ""))
     )
 
 

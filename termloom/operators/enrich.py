@@ -79,14 +79,23 @@ def savings(stats: DataFrame) -> DataFrame:
 
 
 def merge_metrics(keywords: DataFrame, *sources: DataFrame) -> DataFrame:
-    """Overwrite volume and difficulty where a source knows the keyword; later sources win over earlier ones."""
+    """Overwrite volume and difficulty where a source knows the keyword; later sources win over earlier ones.
+
+    Within a source the row with the greatest `sequence` wins, if it has that column; equal rows are told apart by value.
+    """
     known = None
     for priority, source in enumerate(sources):
         rows = source.select(
-            "keyword", F.struct(F.lit(priority).alias("p"), "search_volume", "keyword_difficulty").alias("m")
+            "keyword",
+            F.struct(
+                F.lit(priority).alias("p"),
+                (F.col("sequence") if "sequence" in source.columns else F.lit(0)).cast("long").alias("sequence"),
+                F.col("search_volume"),
+                F.col("keyword_difficulty"),
+            ).alias("m"),
         )
         known = rows if known is None else known.unionByName(rows)
-    best = known.groupBy("keyword").agg(F.max_by("m", "m.p").alias("m"))
+    best = known.groupBy("keyword").agg(F.max("m").alias("m"))
     return keywords.join(best, "keyword", "left").select(
         *[
             F.when(F.col("m").isNotNull(), F.coalesce(f"m.{c}", F.lit(0))).otherwise(F.col(c)).alias(c)

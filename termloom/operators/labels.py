@@ -8,17 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.numbers import fixed_text
-from termloom.functions.text import WORD, capitalize_words, words
+from termloom.functions.text import WORD, capitalize_words, strip, words
 from termloom.operators.assemble import clustered, first_members, keyword_lists, top_members
 from termloom.operators.intent import vote_clusters
 
-THEME_MEMBERS, PHRASE_MEMBERS, PHRASE_MINIMUM = 50, 20, 3
+PHRASE_MINIMUM = 3
 
 # Words that never form a theme, and texts that say nothing about a cluster.
-STOP_WORDS = (
-    "the and for are with you this that from have your what how why when where can will all best top get make use "
-    "does has was were been being more most"
-).split()
+STOP_WORDS = [
+    "the", "and", "for", "are", "with", "you", "this", "that", "from", "have", "your", "what", "how", "why", "when",
+    "where", "can", "will", "all", "best", "top", "get", "make", "use", "does", "has", "was", "were", "been", "being",
+    "more", "most",
+]
 GENERIC = [
     r"^cluster\s*\d*$", r"^cluster\s+of\s+\d+", r"^group\s*\d*$", r"^category\s*\d*$", r"^misc", r"^other",
     r"^\d+\s+keywords?",
@@ -29,13 +30,20 @@ def _first_words(keyword: Column, n: int) -> Column:
     return capitalize_words(words(keyword), n)
 
 
-def themes(members: DataFrame) -> DataFrame:
-    """(cluster_id, theme) from the two most frequent words of the first 50 members, ties to the earliest word.
+def _read_members(members: DataFrame, limit: int | None) -> DataFrame:
+    """Members with their position: all of them, or the first `limit` of each cluster."""
+    return first_members(members, limit) if limit else clustered(members).withColumn("position", F.col("row_id"))
+
+
+def themes(members: DataFrame, limit: int | None = None) -> DataFrame:
+    """(cluster_id, theme) from the two most frequent words of all members, ties to the earliest word.
+
+    `limit` reads only the first so many members of each cluster.
 
     Clusters without a countable word are absent.
     """
     tokens = F.regexp_extract_all(F.lower("keyword"), F.lit(f"({WORD}+)"), F.lit(1))
-    spread = first_members(members, THEME_MEMBERS).select(
+    spread = _read_members(members, limit).select(
         "cluster_id", "position", F.posexplode(tokens).alias("pos", "word")
     )
     counted = (
@@ -49,8 +57,11 @@ def themes(members: DataFrame) -> DataFrame:
     return best.groupBy("cluster_id").agg(F.array_join(F.transform(pair, lambda p: p["word"]), " ").alias("theme"))
 
 
-def common_phrases(members: DataFrame) -> DataFrame:
-    """(cluster_id, phrase): the most frequent 2- or 3-word phrase of the first 20 members, if used three times."""
+def common_phrases(members: DataFrame, limit: int | None = None) -> DataFrame:
+    """(cluster_id, phrase): the most frequent 2- or 3-word phrase of all members, if used three times.
+
+    `limit` reads only the first so many members of each cluster.
+    """
     tokens = F.col("tokens")
 
     def grams(n: int) -> Column:
@@ -60,7 +71,7 @@ def common_phrases(members: DataFrame) -> DataFrame:
         ).otherwise(F.array().cast("array<string>"))
 
     spread = (
-        first_members(members, PHRASE_MEMBERS)
+        _read_members(members, limit)
         .withColumn("tokens", words(F.lower("keyword")))
         .select("cluster_id", "position", F.posexplode(F.concat(grams(2), grams(3))).alias("pos", "phrase"))
     )
@@ -88,7 +99,7 @@ def analyze_clusters(members: DataFrame, brands: list[str] | None = None) -> Dat
 
 
 def is_generic(label: Column) -> Column:
-    lowered = F.lower(F.trim(label))
+    lowered = F.lower(strip(label))
     return reduce(lambda a, b: a | b, [lowered.rlike("(?U)" + p) for p in GENERIC])
 
 

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from termloom.session import BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, bytes_per_row: int = 256, budget: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the counted rows fit the budget; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= budget else df
+ROW_BYTES = 64
+
+
+def broadcast_if_small(df: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the measured rows fit the budget; otherwise leave the join to a shuffle."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    nested = [F.length(F.to_json(F.struct(c))) for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
+    size = sum([*text, *nested], F.lit(ROW_BYTES)).cast("long")
+    measured = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if measured <= budget else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +29,14 @@ def build_session(app: str = "termloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a temporary one in local mode only."""
+    """Folder every executor can reach: `spark.checkpoint.dir`, or the checkpoint folder set on the context."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="termloom-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,24 +25,30 @@ MISSING = [
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-SAMPLE_CHARS = 8192
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _CORRUPT = "_corrupt_row"
 
 
-def detect_delimiter(sample: str) -> str:
-    try:
-        return csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return max(DELIMITERS, key=sample.count)
+def detect_delimiter(lines: DataFrame) -> str:
+    """The delimiter that splits most of `lines` (value) into the same number of fields, two at least.
+
+    Ties go to more fields, then to the order of DELIMITERS. Quoted parts do not count.
+    """
+    bare = F.regexp_replace("value", '"([^"]|"")*"', "")
+    counts = [
+        F.struct(F.lit(i).alias("place"), (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("n"))
+        for i, d in enumerate(DELIMITERS)
+    ]
+    split = lines.select(F.explode(F.array(*counts)).alias("c")).filter("c.n > 0").groupBy("c.place", "c.n").count()
+    best = split.orderBy(F.desc("count"), F.desc("n"), "place").first()
+    return DELIMITERS[best["place"] if best else 0]
 
 
 def detect_format(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(delimiter, encoding) of a file set. The driver sees a few lines; the encoding check runs on all bytes."""
+    """(delimiter, encoding) of a file set, from all its lines."""
     lines = spark.read.text(path)
     encoding = "UTF-8" if lines.filter(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
-    head = lines.select(F.make_valid_utf8("value").alias("value")).limit(200).collect()
-    return detect_delimiter("\n".join(row["value"] for row in head)[:SAMPLE_CHARS]), encoding
+    return detect_delimiter(lines.select(F.make_valid_utf8("value").alias("value"))), encoding
 
 
 def read_delimited(

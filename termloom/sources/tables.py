@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,22 +14,23 @@ from termloom.session import cut_lineage
 
 SCHEMAS = {
     "keywords": "row_id bigint, keyword string, search_volume bigint, keyword_difficulty double, cpc double, "
-    "cluster_id bigint, job_id string",
-    "vectors": "keyword string, embedding array<float>, job_id string",
+    "cluster_id bigint, version bigint, job_id string",
+    "vectors": "keyword string, embedding array<float>, version bigint, job_id string",
     "clusters": "cluster_id bigint, label string, intent string, centroid_keyword string, keyword_count bigint, "
     "total_search_volume bigint, avg_keyword_difficulty double, serp_validation_score double, quality_score double, "
-    "parent_cluster_id bigint, job_id string",
+    "parent_cluster_id bigint, version bigint, job_id string",
     "jobs": "job_id string, status string, current_phase string, total_keywords bigint, processed_keywords bigint, "
-    "error_message string, created_at timestamp_ntz",
-    "deleted": "job_id string",
+    "error_message string, created_at timestamp_ntz, version bigint",
+    "deleted": "job_id string, version bigint",
 }
 
 
 class JobTables:
     """Reads and writes of the job tables below one root folder.
 
-    Vectors live in their own table so that keyword scans never read them. Deleting a job appends its id to a
-    list that every read leaves out; `compact` rewrites a table without them.
+    Vectors live in their own table so that keyword scans never read them. Every append has a version, the time of
+    the write. Deleting a job appends its id and a version to a list; reads leave out the job's rows up to that
+    version, so a job inserted again is visible. `compact` rewrites a table without deleted rows.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -34,6 +38,7 @@ class JobTables:
 
     def _append(self, name: str, df: DataFrame) -> None:
         columns = [c.strip().rsplit(" ", 1)[0] for c in SCHEMAS[name].split(", ")]
+        df = df.withColumn("version", F.lit(time.time_ns()))
         shaped = df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
         shaped = self.spark.createDataFrame([], SCHEMAS[name]).unionByName(shaped)
         writer = shaped.write.mode("append")
@@ -48,16 +53,23 @@ class JobTables:
 
     def read(self, name: str) -> DataFrame:
         """All live rows of a table."""
+        return self._live(name).drop("version")
+
+    def _live(self, name: str) -> DataFrame:
         rows = self._stored(name)
-        gone = self._stored("deleted").distinct()
-        return rows if name == "deleted" else rows.join(broadcast_if_small(gone), "job_id", "left_anti")
+        if name == "deleted":
+            return rows
+        gone = self._stored("deleted").groupBy("job_id").agg(F.max("version").alias("gone"))
+        gone = broadcast_if_small(gone)
+        return rows.join(gone, (rows["job_id"] == gone["job_id"]) & (rows["version"] <= gone["gone"]), "left_anti")
 
     def _stored(self, name: str) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(path):
+        try:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
     def add_job(self, job: DataFrame) -> None:
         self._append("jobs", job)
@@ -73,11 +85,16 @@ class JobTables:
     def save_clusters(self, job_id: str, clusters: DataFrame) -> None:
         self._append("clusters", clusters.withColumn("job_id", F.lit(job_id)))
 
-    def update_keywords(self, job_id: str, changes: DataFrame) -> None:
-        """Set the columns of `changes` (keyword, ...) on matching keywords of a job; unmatched changes are ignored."""
-        fields = [c for c in changes.columns if c != "keyword"]
-        new = changes.select("keyword", *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
-        old = self.read("keywords").filter(F.col("job_id") == job_id)
+    def update_keywords(self, job_id: str, changes: DataFrame, sequence: str | None = None) -> None:
+        """Set the columns of `changes` (keyword, ...) on matching keywords of a job; unmatched changes are ignored.
+
+        Of several changes to one keyword the last by the column `sequence` counts, else the one with the greatest values.
+        """
+        fields = [c for c in changes.columns if c not in ("keyword", sequence)]
+        last = F.max(F.struct(*([sequence] if sequence else []), *fields)).alias("_last")
+        new = changes.groupBy("keyword").agg(last)
+        new = new.select("keyword", *[F.col(f"_last.{c}").alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
+        old = self._live("keywords").filter(F.col("job_id") == job_id)
 
         def value(c: str) -> Column:
             return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
@@ -89,7 +106,7 @@ class JobTables:
 
     def compact(self, name: str, target: str) -> None:
         """Write the live rows of a table to a new root, one folder per job."""
-        self.read(name).write.partitionBy("job_id").parquet(f"{target.rstrip('/')}/{name}")
+        self._live(name).write.partitionBy("job_id").parquet(f"{target.rstrip('/')}/{name}")
 
     def keywords(self, job_id: str, with_embeddings: bool = False, limit: int | None = None) -> DataFrame:
         rows = self.read("keywords").filter(F.col("job_id") == job_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -60,7 +61,8 @@ def main(argv: list[str]) -> int:
     sf_dir = "/root/testdata/sf0.01"
     if argv and argv[0].startswith("/"):
         sf_dir = argv.pop(0)
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    steps = tempfile.mkdtemp(prefix="termloom-")
+    spark = build_session(master="local[8]", **{"spark.checkpoint.dir": steps, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     sqls = oracles()

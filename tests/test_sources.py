@@ -21,9 +21,13 @@ def test_delimiters(spark, tmp_path, sep):
     ]
 
 
-def test_fallback_delimiter_counts():
-    assert detect_delimiter("") == ","
-    assert detect_delimiter("abc") == ","
+def test_delimiter_of_all_lines(spark):
+    def found(*lines):
+        return detect_delimiter(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+    assert found() == found("abc") == ","
+    assert found("a;b,c", "1;2", "3;4", '"x,y,z";5') == ";"
+    assert found(*["a,b"] * 3, *["a;b;c;d"] * 300) == ";"
 
 
 def test_long_rows_go_short_rows_stay(spark, tmp_path):
