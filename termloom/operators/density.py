@@ -1,13 +1,16 @@
 """Density clustering inside coarse blocks.
 
-Copies of a vector are first folded into one weighted point, so a block never holds repeated vectors, and
-blocks above `max_block` points are split. What remains per block is a bounded distance matrix.
+Copies of a vector are first folded into one weighted point, so a block never holds repeated vectors. A block of at most
+`chunk` points is one distance matrix in one task. A larger block is never cut: its spanning tree grows in rounds of
+distributed minima over pairs of chunks, and only the tree, an edge per point, meets in one task. Edges have a total order
+(reachability, distance, row ids), so the tree, and with it every label, is the same for every chunk size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from termloom.functions.numbers import ratio
 from termloom.functions.ordering import with_running_total
 from termloom.operators.assemble import OUTLIER
-from termloom.operators.coarse import split_large
+from termloom.operators.merge import connected_components
 from termloom.operators.sizing import broadcast_if_small
 from termloom.session import cut_lineage
 
@@ -26,7 +29,7 @@ from termloom.session import cut_lineage
 class DensitySettings:
     min_cluster_size: int = 3
     min_samples: int = 2
-    max_block: int = 2000
+    chunk: int = 2000
 
 
 def adaptive_settings(size: Column) -> tuple[Column, Column]:
@@ -45,9 +48,17 @@ def weighted_points(points: DataFrame) -> DataFrame:
     return copies.join(sizes, "coarse_id")
 
 
+# Distances are compared at this many decimals, so that matrices of different shapes agree.
+DECIMALS = 9
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    squares = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :]
+    return np.round(np.sqrt(np.maximum(squares - 2 * a @ b.T, 0)), DECIMALS)
+
+
 def _distances(vectors: np.ndarray) -> np.ndarray:
-    squares = (vectors**2).sum(axis=1)
-    gaps = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * vectors @ vectors.T, 0))
+    gaps = _gaps(vectors, vectors)
     np.fill_diagonal(gaps, 0)
     return gaps
 
@@ -79,7 +90,7 @@ def _against_block(rows: DataFrame, match: Callable, schema: str, max_block: int
 def _cross_distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     """Distances between two chunks, infinite between a point and itself."""
     a, b = (np.stack(v.to_numpy()).astype(float) for v in (left["vec"], right["vec_"]))
-    gaps = np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+    gaps = _gaps(a, b)
     gaps[left["row_id"].to_numpy()[:, None] == right["row_id_"].to_numpy()[None, :]] = np.inf
     return gaps
 
@@ -91,6 +102,21 @@ def reachability(points: DataFrame, min_samples: int = 2, max_block: int = 2000)
     nearest candidates of a point, then its single best one.
     """
     distinct = cut_lineage(weighted_points(points))
+    core = cut_lineage(_with_core(distinct, min_samples, max_block))
+
+    def nearest_reach(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own, other = left["core_distance"].to_numpy(), right["core_distance_"].to_numpy()
+        mutual = np.maximum(_cross_distances(left, right), np.maximum(own[:, None], other[None, :]))
+        best = np.where(left["weight"].to_numpy() > 1, own, mutual.min(axis=1))
+        return pd.DataFrame({"row_id": left["row_id"], "nearest": best})
+
+    best = _against_block(core, nearest_reach, "row_id long, nearest double", max_block)
+    measured = core.join(best.groupBy("row_id").agg(F.min("nearest").alias("nearest")), "row_id")
+    return _spread(points, distinct, measured, ["core_distance", "nearest"])
+
+
+def _with_core(distinct: DataFrame, min_samples: int, max_block: int) -> DataFrame:
+    """Weighted points with their core distance."""
 
     def nearest_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         gaps = _cross_distances(left, right)
@@ -117,20 +143,9 @@ def reachability(points: DataFrame, min_samples: int = 2, max_block: int = 2000)
             F.struct((at["seen"] + n["weight"]).alias("seen"), n["gap"].alias("gap"))
         ),
     )
-    core = distinct.join(near, "row_id", "left").select(
+    return distinct.join(near, "row_id", "left").select(
         "coarse_id", "row_id", "vec", "weight", F.coalesce(reached["gap"], F.lit(0.0)).alias("core_distance")
     )
-    core = cut_lineage(core)
-
-    def nearest_reach(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, other = left["core_distance"].to_numpy(), right["core_distance_"].to_numpy()
-        mutual = np.maximum(_cross_distances(left, right), np.maximum(own[:, None], other[None, :]))
-        best = np.where(left["weight"].to_numpy() > 1, own, mutual.min(axis=1))
-        return pd.DataFrame({"row_id": left["row_id"], "nearest": best})
-
-    best = _against_block(core, nearest_reach, "row_id long, nearest double", max_block)
-    measured = core.join(best.groupBy("row_id").agg(F.min("nearest").alias("nearest")), "row_id")
-    return _spread(points, distinct, measured, ["core_distance", "nearest"])
 
 
 def _spread(points: DataFrame, distinct: DataFrame, results: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,28 +162,81 @@ def _spread(points: DataFrame, distinct: DataFrame, results: DataFrame, columns:
     return on_rows.select("coarse_id", "row_id", *columns).unionByName(copies.select("coarse_id", "row_id", *columns))
 
 
-def _spanning_tree(mutual: np.ndarray, gaps: np.ndarray) -> list[tuple[float, float, int, int]]:
-    """Edges of the minimum spanning tree, lightest first.
+def _first_of(keys: list[np.ndarray], among: np.ndarray) -> int:
+    """Index of the smallest combination of keys where `among` holds."""
+    for key in keys:
+        among = among & (key == key[among].min())
+    return int(among.argmax())
 
-    Equal reachabilities are ordered by plain distance, so the tree does not depend on the order of points.
-    """
+
+def _spanning_tree(mutual: np.ndarray, gaps: np.ndarray) -> list[tuple[float, float, int, int]]:
+    """Edges of the minimum spanning tree (reachability, distance, smaller point, larger point), lightest first."""
     n = len(mutual)
+    index = np.arange(n)
     reached = np.zeros(n, dtype=bool)
-    cost, near, via = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, dtype=int)
+    cost, near, via = np.full(n, np.inf), np.full(n, np.inf), np.full(n, n)
     edges, current = [], 0
     for _ in range(n - 1):
         reached[current] = True
         row, plain = mutual[current], gaps[current]
-        closer = ~reached & ((row < cost) | ((row == cost) & (plain < near)))
+        tied = (row == cost) & (plain == near)
+        earlier = (np.minimum(index, current) < np.minimum(index, via)) | (
+            (np.minimum(index, current) == np.minimum(index, via)) & (np.maximum(index, current) < np.maximum(index, via))
+        )
+        closer = ~reached & ((row < cost) | ((row == cost) & (plain < near)) | (tied & earlier))
         cost[closer], near[closer], via[closer] = row[closer], plain[closer], current
-        open_cost = np.where(reached, np.inf, cost)
-        current = int(np.where(open_cost == open_cost.min(), near, np.inf).argmin())
-        edges.append((float(cost[current]), float(near[current]), int(via[current]), current))
+        current = _first_of([cost, near, np.minimum(index, via), np.maximum(index, via)], ~reached)
+        ends = sorted((int(via[current]), current))
+        edges.append((float(cost[current]), float(near[current]), *ends))
     return sorted(edges)
 
 
-def _leaf_clusters(mutual: np.ndarray, gaps: np.ndarray, core: np.ndarray, weights: np.ndarray, min_size: int):
-    """Leaf cluster (-1 for noise) and membership probability of every point."""
+def _tree_edges(core: DataFrame, chunk: int) -> DataFrame:
+    """Spanning tree edges (coarse_id, reach, gap, low, high) of blocks of any size, from `core` (_with_core).
+
+    In each round every component of a block finds its lightest edge to another one; the chosen edges join components, so
+    their number at least halves.
+    """
+
+    def lightest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        gaps = _cross_distances(left, right)
+        own, other = left["core_distance"].to_numpy(), right["core_distance_"].to_numpy()
+        reach = np.maximum(gaps, np.maximum(own[:, None], other[None, :]))
+        one, two = left["component"].to_numpy(), right["component_"].to_numpy()
+        reach[one[:, None] == two[None, :]] = np.inf
+        rows, ids = left["row_id"].to_numpy(), right["row_id_"].to_numpy()
+        low, high = np.minimum(rows[:, None], ids[None, :]), np.maximum(rows[:, None], ids[None, :])
+        open_ = np.isfinite(reach)
+        for key in (reach, gaps, low, high):
+            best = np.where(open_, key, np.inf).min(axis=1)
+            open_ &= key == best[:, None]
+        at = np.flatnonzero(open_.any(axis=1))
+        to = open_[at].argmax(axis=1)
+        return pd.DataFrame(
+            {
+                "coarse_id": left["coarse_id"].to_numpy()[at], "component": one[at], "reach": reach[at, to],
+                "gap": gaps[at, to], "low": low[at, to], "high": high[at, to], "other": two[to],
+            }
+        )
+
+    schema = "coarse_id long, component long, reach double, gap double, low long, high long, other long"
+    names = core.select("row_id", F.col("row_id").alias("component"))
+    edges = []
+    while True:
+        found = _against_block(core.join(names, "row_id"), lightest, schema, chunk)
+        best = found.groupBy("coarse_id", "component").agg(F.min(F.struct("reach", "gap", "low", "high", "other")).alias("e"))
+        best = cut_lineage(best.select("coarse_id", "component", "e.*"))
+        if best.isEmpty():
+            break
+        edges.append(best.select("coarse_id", "reach", "gap", "low", "high").distinct())
+        joined = connected_components(best.select(F.col("component").alias("a"), F.col("other").alias("b")))
+        joined = joined.select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        names = cut_lineage(names.join(joined, "component").select("row_id", F.col("joined").alias("component")))
+    return reduce(DataFrame.unionByName, edges)
+
+
+def _leaf_clusters(edges: list[tuple[float, float, int, int]], core: np.ndarray, weights: np.ndarray, min_size: int):
+    """Leaf cluster (-1 for noise) and membership probability of every point, from the spanning tree."""
     n = len(core)
     size = list(map(int, weights)) + [0] * (n - 1)
     height = np.zeros(2 * n - 1)
@@ -181,7 +249,7 @@ def _leaf_clusters(mutual: np.ndarray, gaps: np.ndarray, core: np.ndarray, weigh
             x = top[x]
         return x
 
-    for i, (level, _, a, b) in enumerate(_spanning_tree(mutual, gaps)):
+    for i, (level, _, a, b) in enumerate(edges):
         node, a, b = n + i, find(a), find(b)
         children[node], height[node], size[node] = (a, b), level, size[a] + size[b]
         top[a] = top[b] = node
@@ -231,53 +299,63 @@ def _leaf_clusters(mutual: np.ndarray, gaps: np.ndarray, core: np.ndarray, weigh
     return labels, probability
 
 
+def _block_labels(rows: pd.DataFrame, edges: list, core: np.ndarray, min_size: int) -> pd.DataFrame:
+    """Labels of a block whose `rows` (coarse_id, row_id, weight) are in order of row_id."""
+    labels, probability = _leaf_clusters(edges, core, rows["weight"].to_numpy(), min_size)
+    firsts = pd.unique(labels[labels >= 0])
+    local = {int(c): i for i, c in enumerate(firsts)}
+    return pd.DataFrame(
+        {
+            "block_id": rows["coarse_id"],
+            "row_id": rows["row_id"],
+            "local_id": [local.get(int(c), OUTLIER) for c in labels],
+            "probability": probability,
+        }
+    )
+
+
 def density_labels(points: DataFrame, settings: DensitySettings = DensitySettings()) -> DataFrame:
     """(coarse_id, row_id, local_id, probability) for rows (row_id, vec, coarse_id); -1 is noise.
 
-    Blocks below `min_cluster_size` rows become one cluster. The returned coarse_id differs from the input
-    for blocks that had to be split.
+    Blocks below `min_cluster_size` rows become one cluster. `chunk` bounds the matrix of one task; labels do not depend
+    on it.
     """
-    distinct = cut_lineage(weighted_points(points))
-    oversized = distinct.groupBy("coarse_id").count().filter(F.col("count") > settings.max_block)
-    if not oversized.isEmpty():
-        blocks = split_large(distinct.select("row_id", "vec", "coarse_id"), settings.max_block)
-        regrouped = distinct.select("row_id", "weight").join(blocks, "row_id")
-        sizes = regrouped.groupBy("coarse_id").agg(F.sum("weight").alias("block_size"))
-        renamed = regrouped.join(sizes, "coarse_id")
-        moved = distinct.select("row_id", F.col("coarse_id").alias("old_id"))
-        owner = renamed.select("row_id", "coarse_id", "weight", "vec", "block_size").join(moved, "row_id")
-        distinct = cut_lineage(owner)
-    else:
-        distinct = distinct.withColumn("old_id", F.col("coarse_id"))
+    distinct = weighted_points(points)
+    counts = distinct.groupBy("coarse_id").agg(F.count("*").alias("block_points"))
+    distinct = cut_lineage(distinct.join(counts, "coarse_id"))
     min_size, min_samples = settings.min_cluster_size, settings.min_samples
 
     def cluster(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("row_id")
-        weights = block["weight"].to_numpy()
         gaps = _distances(np.stack(block["vec"].to_numpy()).astype(float))
-        core = _core(gaps, weights, min_samples)
+        core = _core(gaps, block["weight"].to_numpy(), min_samples)
         mutual = np.maximum(gaps, np.maximum(core[:, None], core[None, :]))
-        labels, probability = _leaf_clusters(mutual, gaps, core, weights, min_size)
-        firsts = pd.unique(labels[labels >= 0])
-        local = {int(c): i for i, c in enumerate(firsts)}
-        return pd.DataFrame(
-            {
-                "block_id": block["coarse_id"],
-                "row_id": block["row_id"],
-                "local_id": [local.get(int(c), OUTLIER) for c in labels],
-                "probability": probability,
-            }
-        )
+        return _block_labels(block, _spanning_tree(mutual, gaps), core, min_size)
+
+    def from_tree(block: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("row_id")
+        ids = block["row_id"].to_numpy()
+        ends = [np.searchsorted(ids, edges[c].to_numpy()) for c in ("low", "high")]
+        tree = sorted(zip(edges["reach"].tolist(), edges["gap"].tolist(), *(e.tolist() for e in ends)))
+        return _block_labels(block, tree, block["core_distance"].to_numpy(), min_size)
 
     schema = "block_id long, row_id long, local_id int, probability double"
-    dense = distinct.filter(F.col("block_size") >= min_size).groupBy("coarse_id").applyInPandas(cluster, schema)
+    wide = distinct.filter(F.col("block_size") >= min_size)
     whole = distinct.filter(F.col("block_size") < min_size).select(
         F.col("coarse_id").alias("block_id"), "row_id", F.lit(0).alias("local_id"), F.lit(1.0).alias("probability")
     )
-    results = cut_lineage(dense.unionByName(whole))
-    copies = distinct.select(F.col("old_id").alias("coarse_id"), "row_id", "vec", "weight")
-    spread = _spread(points, copies, results, ["block_id", "local_id", "probability"])
-    return spread.select(F.col("block_id").alias("coarse_id"), "row_id", "local_id", "probability")
+    found = wide.filter(F.col("block_points") <= settings.chunk).groupBy("coarse_id").applyInPandas(cluster, schema)
+    results = found.unionByName(whole)
+    large = wide.filter(F.col("block_points") > settings.chunk)
+    if not large.isEmpty():
+        core = cut_lineage(_with_core(large.drop("block_points"), min_samples, settings.chunk))
+        narrow = core.select("coarse_id", "row_id", "weight", "core_distance")
+        tree = _tree_edges(core, settings.chunk)
+        grown = narrow.groupBy("coarse_id").cogroup(tree.groupBy("coarse_id")).applyInPandas(from_tree, schema)
+        results = results.unionByName(grown)
+    results = cut_lineage(results)
+    spread = _spread(points, distinct.select("coarse_id", "row_id", "vec", "weight"), results, ["local_id", "probability"])
+    return spread.select("coarse_id", "row_id", "local_id", "probability")
 
 
 def global_ids(labels: DataFrame) -> DataFrame:

@@ -77,12 +77,14 @@ def test_reachability_of_chunked_blocks(spark):
             assert got[i] == pytest.approx((core[i], reach), abs=1e-6)
 
 
-def test_large_blocks_are_split_before_the_dense_step(spark):
-    points = np.random.default_rng(3).normal(size=(300, 4))
-    df = frame(spark, points, coarse_id=np.arange(300) % 2)
-    rows = density.density_labels(df, density.DensitySettings(max_block=40)).collect()
-    assert sorted(r["row_id"] for r in rows) == list(range(300))
-    assert max(np.unique([r["coarse_id"] for r in rows], return_counts=True)[1]) <= 40
+def test_labels_do_not_depend_on_the_chunk(spark, blobs):
+    points = np.concatenate([blobs[0], np.random.default_rng(3).normal(size=(60, blobs[0].shape[1])), blobs[0][:5]])
+    df = frame(spark, points, coarse_id=np.arange(len(points)) % 2)
+    whole = density.density_labels(df, density.DensitySettings(chunk=2000)).collect()
+    for chunk in (25,):
+        cut = density.density_labels(df, density.DensitySettings(chunk=chunk)).collect()
+        assert sorted(cut) == sorted(whole)
+    assert {r["local_id"] for r in whole} > {-1, 0}
 
 
 def test_split_large_keeps_rows_and_bounds_blocks(spark):
