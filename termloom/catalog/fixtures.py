@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.functions.text import EDGE_SPACE, SPACE
+from termloom.operators.validate import split_valid
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,9 +46,8 @@ CLEAN_FILTER = "length(keyword) <= 200 and trim(keyword) <> '' and p_tag not in
 
 
 def clean_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        table(spark, sf, "part").selectExpr(*_KEYWORD_COLUMNS, "p_partkey % 10 as p_tag").filter(CLEAN_FILTER)
-    ).drop("p_tag")
+    """The valid keywords by the rules; the SQL twin names them by how `_KEYWORD_COLUMNS` makes them."""
+    return split_valid(keywords(spark, sf))[0]
 
 
 CLEAN_SQL = (

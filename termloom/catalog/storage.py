@@ -96,17 +96,18 @@ _PAGE_ITEM = """'{"link": ' || case when page_id % 5 = 0 then 'null' when page_i
 
 @query(
     "A5_serp_responses",
-    """select 'k' || page_id % 40 as keyword, coalesce(string_agg(case when page_id % 5 > 1 then url end, '|' order by page_id), '')
- as urls, string_agg('T' || page_id, '|' order by page_id) as titles, 'Why k' || page_id % 40 || '?' as people_also_ask,
- '' as related_searches, count(*)::int as organic, sum(page_id % 10)::bigint as positions from pages
- where page_id % 40 <> 7 group by page_id % 40 union all select 'k7', '', '', '', '', 0, 0 from pages where page_id = 7""",
+    """with p as (select *, page_id // 10 as k from pages) select 'k' || k as keyword,
+ coalesce(string_agg(case when page_id % 5 > 1 then url end, '|' order by page_id), '') as urls,
+ string_agg('T' || page_id, '|' order by page_id) as titles, 'Why k' || k || '?' as people_also_ask,
+ '' as related_searches, count(*)::int as organic, sum(page_id % 10)::bigint as positions from p
+ where k % 40 <> 7 group by k union all select distinct 'k' || k, '', '', '', '', 0, 0 from p where k % 40 = 7""",
 )
 def _(spark, sf):
     items = table(spark, sf, "pages").select(
-        (F.col("page_id") % 40).alias("k"), "page_id", F.expr(_PAGE_ITEM.replace("varchar(10)", "string")).alias("item")
+        F.expr("page_id div 10 as k"), "page_id", F.expr(_PAGE_ITEM.replace("varchar(10)", "string")).alias("item")
     )
     joined = items.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("page_id", "item"))).alias("items"))
-    text = F.when(F.col("k") == 7, "<html>busy</html>").otherwise(
+    text = F.when(F.col("k") % 40 == 7, "<html>busy</html>").otherwise(
         F.format_string(
             '{"organic": [%s], "peopleAlsoAsk": [{"question": "Why k%d?"}, {"question": ""}], "relatedSearches": [{"query": ""}]}',
             F.array_join("items.item", ", "),

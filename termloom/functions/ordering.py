@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from termloom.session import cut_lineage
 
 CHUNK = 1_000_000
+MOST_CHUNKS = 100_000
 
 
-def _chunk_of(order_col: str, chunk: int) -> Column:
-    return F.expr(f"`{order_col}` div {chunk}")
+def _chunk_of(order_col: str, chunk: int | Column) -> Column:
+    if isinstance(chunk, int):
+        return F.expr(f"`{order_col}` div {chunk}")
+    return F.floor(F.col(order_col) / chunk)
 
 
-def _offsets(df: DataFrame, order_col: str, by: list[str], weight: Column, chunk: int) -> DataFrame:
+def sparse_chunk(df: DataFrame, order_col: str) -> Column:
+    """A chunk width for order values of any spread, such as hashes: at most about MOST_CHUNKS chunks."""
+    spread = F.max(order_col).cast("double") / MOST_CHUNKS - F.min(order_col).cast("double") / MOST_CHUNKS
+    return df.agg(F.coalesce(F.greatest(F.ceil(spread), F.lit(CHUNK)), F.lit(CHUNK)).cast("double").alias("width")).scalar()
+
+
+def _offsets(df: DataFrame, order_col: str, by: list[str], weight: Column, chunk: int | Column) -> DataFrame:
     totals = df.groupBy(*by, _chunk_of(order_col, chunk).alias("_chunk")).agg(F.sum(weight).alias("_total"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
@@ -27,9 +36,12 @@ def _offsets(df: DataFrame, order_col: str, by: list[str], weight: Column, chunk
 
 
 def with_row_index(
-    df: DataFrame, order_col: str, name: str, by: list[str] | None = None, chunk: int = CHUNK
+    df: DataFrame, order_col: str, name: str, by: list[str] | None = None, chunk: int | Column = CHUNK
 ) -> DataFrame:
-    """Add the 1-based position in `order_col` order, per `by` group when given. `order_col` must be unique there."""
+    """Add the 1-based position in `order_col` order, per `by` group when given. `order_col` must be unique there.
+
+    `chunk` suits dense order values; give `sparse_chunk` for others.
+    """
     by = by or []
     offsets = _offsets(df, order_col, by, F.lit(1), chunk)
     inside = Window.partitionBy(*by, "_chunk").orderBy(order_col)

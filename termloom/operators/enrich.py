@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.numbers import ratio
-from termloom.functions.ordering import with_row_index
+from termloom.functions.ordering import sparse_chunk, with_row_index
 
 METRICS_TTL = "7 days"
 SERP_TTL = "24 hours"
@@ -128,8 +128,9 @@ def top_by_volume(keywords: DataFrame, n: int = 20) -> DataFrame:
 
 
 def request_batches(keywords: DataFrame, size: int) -> DataFrame:
-    """(batch, keywords): request payloads of `size` consecutive keywords in row order."""
-    numbered = with_row_index(keywords.select("row_id", "keyword"), "row_id", "index")
+    """(batch, keywords): request payloads of `size` consecutive keywords in row order, whatever the spread of row_id."""
+    rows = keywords.select("row_id", "keyword")
+    numbered = with_row_index(rows, "row_id", "index", chunk=sparse_chunk(rows, "row_id"))
     batch = F.floor((F.col("index") - 1) / size) + 1
     return (
         numbered.groupBy(batch.alias("batch"))

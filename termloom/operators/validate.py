@@ -53,6 +53,7 @@ def validation_warnings(df: DataFrame, rules: ValidationRules = ValidationRules(
         F.coalesce(F.avg(F.when(valid, F.length("keyword"))), F.lit(0.0)).alias("avg_length"),
         (F.count_if(valid) - F.count_distinct(F.when(valid, F.lower("keyword")))).alias("potential_duplicates"),
     )
+    # The warning texts.
     return facts.select(
         "*",
         F.when(F.col("filtered") > 0, F.format_string("%d keywords were filtered out", "filtered")).alias(

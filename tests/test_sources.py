@@ -1,7 +1,9 @@
 import pytest
 
+from termloom.operators.enrich import request_batches
 from termloom.sources.delimited import detect_delimiter, detect_format, detect_roles, preview, project_roles, read_delimited
 from termloom.sources.responses import parse_labels, parse_metrics, parse_serps
+from termloom.sources.tables import JobTables
 
 
 def write(tmp_path, text, encoding="utf-8"):
@@ -21,6 +23,27 @@ def test_delimiters(spark, tmp_path, sep):
     ]
 
 
+def test_batches_of_hashed_row_ids(spark):
+    rows = spark.range(1000).selectExpr("xxhash64(id) as row_id", "cast(id as string) as keyword")
+    got = sorted(request_batches(rows, 30).collect())
+    assert [b.batch for b in got] == list(range(1, 35)) and [len(b.keywords) for b in got] == [30] * 33 + [10]
+    order = [r.keyword for r in rows.orderBy("row_id").collect()]
+    assert [k for b in got for k in b.keywords] == order
+
+
+def test_job_tables_delete_and_reinsert(spark, tmp_path):
+    tables = JobTables(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "x", 5), (2, "x", 6)], "row_id long, keyword string, search_volume long")
+    tables.insert_keywords("a", rows)
+    changes = spark.createDataFrame([("x", 7, 1), ("x", 3, 2)], "keyword string, search_volume long, step int")
+    tables.update_keywords("a", changes, sequence="step")
+    assert [r.search_volume for r in tables.read("keywords").collect()] == [3, 3]
+    tables.delete_job("a")
+    assert tables.read("keywords").count() == 0
+    tables.insert_keywords("a", rows.limit(1))
+    assert tables.read("keywords").count() == 1
+
+
 def test_delimiter_of_all_lines(spark):
     def found(*lines):
         return detect_delimiter(spark.createDataFrame([(x,) for x in lines], "value string"))
