@@ -233,9 +233,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 def keep_quality(
     docs: DataFrame, labels: DataFrame, threshold: float, label: str = "quality", max_rows: int = MAX_ROWS
 ) -> DataFrame:
-    """The rows of `docs`, all columns, whose score is at least `threshold`; learnt from the rows that `labels` marks."""
-    marked = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    intercept, rules = fit_rules(training_rows(text_statistics(marked), labels, label, max_rows))
+    """The rows of `docs`, all columns, whose score is at least `threshold`; learnt from the rows that `labels` marks.
+
+    Texts are read twice and never shuffled: labels join the statistics.
+    """
+    intercept, rules = fit_rules(training_rows(text_statistics(docs), labels, label, max_rows))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
     scored = with_statistics(packed)
     return scored.filter(score_column(intercept, rules) >= threshold).select("_row.*")
