@@ -73,6 +73,30 @@ def test_near_duplicate_classes_match_brute_force(spark):
     assert kept == sorted(set(got.values()))
 
 
+def test_mixed_buckets_lose_no_link(spark, monkeypatch):
+    """Copies of one text with up to 14 edits, some of them copied again: no centre is near to all."""
+    import termloom.llm.icws_dedup as icws
+
+    monkeypatch.setattr(icws, "BLOCK", 8)
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = rng.choices(vocabulary, k=150)
+    texts = []
+    for _ in range(70):
+        text = list(base)
+        for _ in range(rng.randint(0, 14)):
+            text[rng.randrange(len(text))] = rng.choice(vocabulary)
+        texts.append(text)
+    for text in texts[:30]:
+        again = list(text)
+        again[rng.randrange(len(again))] = "again"
+        texts.append(again)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and len(set(want.values())) > 5
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     got = Counter((r.doc_id, r.class_id) for r in near_duplicates(awkward).collect())
     assert got == Counter({(1, 1): 1, (2, 1): 1, (3, 3): 1, (4, 4): 1, (5, 5): 2, (6, 6): 1, (None, None): 1, (8, 8): 1, (9, 8): 1, (10, 10): 1})
