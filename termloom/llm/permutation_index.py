@@ -77,6 +77,12 @@ def footrule(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.abs(others - one).sum(axis=1, dtype=np.int64)
 
 
+def cosines(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Cosine of each pair of rows in double precision; rows are scaled first."""
+    one, other = (v / np.abs(v).max(axis=1, keepdims=True) for v in (one, other))
+    return (one * other).sum(axis=1) / (np.sqrt((one * one).sum(axis=1)) * np.sqrt((other * other).sum(axis=1)))
+
+
 def build_index(vectors: DataFrame, pivots: int = PIVOTS, ordered: int = ORDERED) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Entries (node, vector, order) of distinct vectors `vectors` (node, vector), the pivots and the sampled orders."""
     by_hash = vectors.orderBy(F.xxhash64("vector"), "node").select("vector").limit(SAMPLE).collect()
@@ -104,25 +110,30 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, ordered: int = ORDERED
 
 def _blocks(entries: DataFrame, size: int, name: str) -> DataFrame:
     """Entries posted under each of their nearest pivots, packed in blocks of about `size`: pivot, nodes, orders."""
-    posted = entries.select("node", "order", F.explode("nearest").alias("pivot"))
+    posted = entries.select("node", "order", "vector", F.explode("nearest").alias("pivot"))
     counts = posted.groupBy("pivot").count()  # at most PIVOTS rows
     splits = F.broadcast(counts.select("pivot", F.ceil(F.col("count") / size).cast("long").alias("splits")))
     numbered = posted.join(splits, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("splits")))
-    packed = numbered.groupBy("pivot", "block").agg(F.collect_list(F.struct("node", "order")).alias(name))
+    packed = numbered.groupBy("pivot", "block").agg(F.collect_list(F.struct("node", "order", "vector")).alias(name))
     return packed.drop("block")
 
 
-def candidates(queries: DataFrame, entries: DataFrame, pivots: int, sample: np.ndarray, share: float) -> DataFrame:
-    """(query, node) of all entries within each query's radius that share one of its nearest pivots. No query meets itself."""
+def candidates(
+    queries: DataFrame, entries: DataFrame, pivots: int, sample: np.ndarray, share: float, best: int
+) -> DataFrame:
+    """(query, node, score) of entries within each query's radius that share one of its nearest pivots, the query left out.
+
+    All of them are scored where they are found; the `best` of each block leave it, so each query's `best` do.
+    """
     files = _blocks(entries, BLOCK, "posted")
     asked = _blocks(queries, QUERY_BLOCK, "asked")
     shared = entries.sparkSession.sparkContext.broadcast(places_of(sample, pivots))
 
-    def unpack(lists: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    def unpack(lists: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         fields = lists.values
         nodes = fields.field("node").to_numpy()
         orders = np.frombuffer(b"".join(fields.field("order").to_pylist()), np.int16)
-        return nodes, orders.reshape(len(nodes), -1)
+        return nodes, orders.reshape(len(nodes), -1), _matrix(fields.field("vector"), len(nodes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         radii: dict[int, int] = {}
@@ -131,10 +142,10 @@ def candidates(queries: DataFrame, entries: DataFrame, pivots: int, sample: np.n
         for batch in batches:
             for i in range(batch.num_rows):
                 pivot = batch.column("pivot")[i].as_py()
-                q_nodes, q_orders = unpack(batch.column("asked")[i])
-                x_nodes, x_orders = unpack(batch.column("posted")[i])
+                q_nodes, q_orders, q_vectors = unpack(batch.column("asked")[i])
+                x_nodes, x_orders, x_vectors = unpack(batch.column("posted")[i])
                 q_places, x_places = places_of(q_orders, pivots), places_of(x_orders, pivots)
-                found_q, found_x = [], []
+                found_q, found_x, found_score = [], [], []
                 for q in range(len(q_nodes)):
                     node = int(q_nodes[q])
                     if node not in radii:
@@ -145,13 +156,17 @@ def candidates(queries: DataFrame, entries: DataFrame, pivots: int, sample: np.n
                     # the pair belongs to the first of the query's pivots that also posts the entry
                     nearer = q_orders[q][: int(q_places[q][pivot])].astype(np.int64)
                     near &= (x_places[:, nearer] >= POSTED).all(axis=1) & (x_nodes != node)
-                    found_x.append(x_nodes[near])
-                    found_q.append(np.full(len(found_x[-1]), node))
+                    nodes, score = x_nodes[near], cosines(q_vectors[q : q + 1], x_vectors[near])
+                    top = np.lexsort((nodes, -score))[:best]
+                    found_x.append(nodes[top])
+                    found_score.append(score[top])
+                    found_q.append(np.full(len(top), node))
+                found = (found_q, found_x, found_score)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found_q)), pa.array(np.concatenate(found_x))], names=["query", "node"]
+                    [pa.array(np.concatenate(x)) for x in found], names=["query", "node", "score"]
                 )
 
-    return asked.join(files, "pivot").mapInArrow(search, "query long, node long")
+    return asked.join(files, "pivot").mapInArrow(search, "query long, node long, score double")
 
 
 def nearest(
@@ -174,9 +189,8 @@ def nearest(
     # the smallest ids of each distinct vector
     ids = cut_lineage(own.join(distinct.select("key", "node"), "key").select("node", "id"))
     asked = entries.join(asking.select(F.col("query").alias("node")).distinct(), "node", "left_semi")
-    pairs = candidates(asked, entries, len(pivots), sample, max(share, min(1.0, LEAST / total)))
-    pairs = pairs.unionByName(asked.select(F.col("node").alias("query"), "node"))
-    scored = _scored(pairs, entries)
+    found = candidates(asked, entries, len(pivots), sample, max(share, min(1.0, LEAST / total)), k + 1)
+    scored = found.unionByName(_self_scored(asked))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     lists = scored.join(ids, "node").select("query", "id", "score").withColumn("place", F.row_number().over(best))
     lists = cut_lineage(lists.filter(F.col("place") <= k + 1))
@@ -187,23 +201,14 @@ def nearest(
     )
 
 
-def _scored(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """query, node and the cosine of their vectors."""
-    vectors = entries.select("node", "vector")
-    both = pairs.join(vectors, "node").join(
-        vectors.select(F.col("node").alias("query"), F.col("vector").alias("query_vector")), "query"
-    )
+def _self_scored(asked: DataFrame) -> DataFrame:
+    """query, node and score of each query entry with itself: its copies are candidates too."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                one, other = (_matrix(part.column(c), part.num_rows) for c in ("query_vector", "vector"))
-                one, other = (v / np.abs(v).max(axis=1, keepdims=True) for v in (one, other))
-                dot = (one * other).sum(axis=1)
-                norms = np.sqrt((one * one).sum(axis=1)) * np.sqrt((other * other).sum(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("query"), part.column("node"), pa.array(dot / norms)], names=["query", "node", "score"]
-                )
+            if batch.num_rows:
+                own = _matrix(batch.column("vector"), batch.num_rows)
+                node = batch.column("node")
+                yield pa.RecordBatch.from_arrays([node, node, pa.array(cosines(own, own))], names=["query", "node", "score"])
 
-    return both.mapInArrow(score, "query long, node long, score double")
+    return asked.select("node", "vector").mapInArrow(score, "query long, node long, score double")
