@@ -97,6 +97,34 @@ def test_mixed_buckets_lose_no_link(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 5
 
 
+def repeated_lines(tag: str, times: int, singles: int, edited: int) -> str:
+    """A line of ten words, repeated, before words that stand once, some of them edited under `tag`."""
+    line = " ".join(f"line{i}" for i in range(10))
+    return " ".join([line] * times + [f"{tag if i < edited else ''}single{i}" for i in range(singles)])
+
+
+def test_samples_agree_as_often_as_texts_with_repeats_are_similar():
+    """One shingle with most of the weight, few shingles, and frequent shingles of lower weight."""
+    import pyarrow as pa
+
+    import termloom.llm.icws_dedup as icws
+
+    none = icws.Weights(np.zeros(0, np.uint64), np.zeros(0), 100)
+    for times, again, singles, edited in ((30, 30, 64, 30), (100, 100, 204, 50), (40, 46, 0, 0), (1, 1, 20, 4)):
+        agree, like = [], []
+        for trial in range(60):
+            one = pa.array([repeated_lines(f"a{trial}", times, singles, edited).replace("line", f"line{trial}")])
+            other = pa.array([repeated_lines(f"b{trial}", again, singles, edited).replace("line", f"line{trial}")])
+            features = [icws.Features(text) for text in (one, other)]
+            several = features[0].feature[::2]
+            for weights in (none, icws.Weights(several, np.full(len(several), 40), 100)):
+                a, b = (icws.samples(f, weights.of(f))[0] for f in features)
+                agree.append((a == b).mean())
+                like.append(icws.weighted_jaccard(one, other, weights)[0])
+        assert abs(np.mean(agree) - np.mean(like)) < 0.02
+        assert np.std(np.array(agree) - like) < 1.3 * np.sqrt(0.25 / a.size)
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     got = Counter((r.doc_id, r.class_id) for r in near_duplicates(awkward).collect())
     assert got == Counter({(1, 1): 1, (2, 1): 1, (3, 3): 1, (4, 4): 1, (5, 5): 2, (6, 6): 1, (None, None): 1, (8, 8): 1, (9, 8): 1, (10, 10): 1})
