@@ -125,6 +125,34 @@ def test_samples_agree_as_often_as_texts_with_repeats_are_similar():
         assert np.std(np.array(agree) - like) < 1.3 * np.sqrt(0.25 / a.size)
 
 
+def test_linked_texts_with_repeats_are_likely_pairs():
+    import pyarrow as pa
+
+    import termloom.llm.icws_dedup as icws
+
+    weights = icws.Weights(np.zeros(0, np.uint64), np.zeros(0), 100)
+    for times, again, singles, edited in ((30, 30, 64, 30), (20, 20, 104, 18), (40, 46, 64, 0), (400, 400, 304, 150)):
+        for trial in range(30):
+            one = pa.array([repeated_lines(f"a{trial}", times, singles, edited).replace("line", f"line{trial}")])
+            other = pa.array([repeated_lines(f"b{trial}", again, singles, edited).replace("line", f"line{trial}")])
+            assert icws.weighted_jaccard(one, other, weights)[0] >= 0.8
+            a, b = (icws.samples(f, weights.of(f))[1] for f in (icws.Features(one), icws.Features(other)))
+            assert icws.likely(a, b, 0.8).all()
+
+
+def test_classes_of_texts_with_repeats_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for group in range(30):
+        times = rng.choice([5, 30, 100])
+        for copy in range(4):
+            text = repeated_lines(f"e{group}_{copy}x", times + rng.choice([0, 1, times // 7]), 2 * times, rng.randint(0, times))
+            rows.append((len(rows), text.replace("line", f"line{group}x").replace(" single", f" single{group}x")))
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and 40 < len(set(want.values())) < 110
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     got = Counter((r.doc_id, r.class_id) for r in near_duplicates(awkward).collect())
     assert got == Counter({(1, 1): 1, (2, 1): 1, (3, 3): 1, (4, 4): 1, (5, 5): 2, (6, 6): 1, (None, None): 1, (8, 8): 1, (9, 8): 1, (10, 10): 1})
