@@ -9,18 +9,18 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.ordering import with_running_total
+from termloom.functions.ordering import sparse_chunk, with_row_index, with_running_total
 from termloom.functions.vectors import distance, mean_vectors, squared_distance
 from termloom.operators.similarity import nearest_centroid
 from termloom.session import cut_lineage
 
-FANOUT = 32
-DISTANCE_ROUNDS = 3
 PART_ROWS = 10_000
+MATRIX_CELLS = 4_000_000
 FIT_PARTITION_BYTES = 128 << 20
 
 
@@ -108,84 +108,91 @@ def inertia(points: DataFrame, centroids: DataFrame, key: str = "cluster_id") ->
 def split_large(points: DataFrame, max_size: int = 500, iterations: int = 3, next_id: int | None = None) -> DataFrame:
     """(row_id, vec, coarse_id) with every block of more than `max_size` rows split, repeatedly if need be.
 
-    All oversized blocks are split in the same jobs: seeds are the rows with the lowest hash of each block, a
-    few Lloyd steps move them, and sub-block 0 keeps the id while the others get new ids in block order. A
-    block takes at most 32 parts per round; what three rounds leave oversized, such as many copies of one vector, is
-    cut by row hash.
+    Copies of a vector are one weighted point. All oversized blocks are split by distance in the same jobs, into
+    size // max_size + 1 parts: seeds are the points with the lowest hash of each block, a few Lloyd steps move them, and
+    sub-block 0 keeps the id while the others get new ids in block order. This goes on until a block is small enough or
+    one point, whose copies are then cut in row_id order.
     """
-    points = cut_lineage(points.select("row_id", "vec", F.col("coarse_id").cast("long").alias("coarse_id")))
+    rows = cut_lineage(points.select("row_id", "vec", F.col("coarse_id").cast("long").alias("coarse_id")))
     if next_id is None:
-        next_id = (points.agg(F.max("coarse_id")).first()[0] or 0) + 1
-    rounds = 0
+        next_id = (rows.agg(F.max("coarse_id")).first()[0] or 0) + 1
+    folded = rows.groupBy("coarse_id", "vec").agg(F.min("row_id").alias("row_id"), F.count("*").alias("weight"))
+    folded = cut_lineage(folded.withColumn("origin", F.col("coarse_id")).withColumn("whole", F.lit(False)))
     while True:
-        sizes = points.groupBy("coarse_id").count().filter(F.col("count") > max_size)
-        big = cut_lineage(
-            sizes.select("coarse_id", "count", F.least(F.floor(F.col("count") / max_size) + 1, F.lit(FANOUT)).alias("k"))
-        )
+        sizes = folded.filter("not whole").groupBy("coarse_id").agg(F.sum("weight").alias("size"), F.count("*").alias("count"))
+        wanted = F.least(F.floor(F.col("size") / max_size) + 1, F.col("count"))
+        big = cut_lineage(sizes.filter((F.col("size") > max_size) & (F.col("count") > 1)).withColumn("k", wanted).drop("size"))
         if big.isEmpty():
-            return points
-        oversized = points.join(big, "coarse_id")
-        if rounds < DISTANCE_ROUNDS:
-            split = _split_by_distance(oversized, iterations)
-        else:
-            split = _split_by_hash(oversized, rounds)
-        rounds += 1
-        ids = with_running_total(
-            big.withColumn("_new", F.col("k") - 1), "coarse_id", "_new", "_earlier"
-        ).select("coarse_id", "_earlier")
-        renamed = split.join(ids, "coarse_id").select(
-            "row_id",
-            "vec",
-            F.when(F.col("sub") == 0, F.col("coarse_id"))
-            .otherwise(F.lit(next_id) + F.col("_earlier") + F.col("sub") - 1)
-            .cast("long")
-            .alias("coarse_id"),
-        )
+            break
+        split = cut_lineage(_split_by_distance(folded.join(big, "coarse_id"), iterations))
+        # points that differ by less than rounding stay together and are cut like copies
+        whole = split.groupBy("coarse_id").agg((F.min("sub") == F.max("sub")).alias("whole"))
+        split = split.join(whole, "coarse_id")
+        rest = folded.join(big.select("coarse_id"), "coarse_id", "left_anti")
+        folded = cut_lineage(rest.unionByName(_renamed(split, big, next_id, rest.columns)))
         next_id += big.agg(F.sum(F.col("k") - 1)).first()[0]
-        points = cut_lineage(points.join(big.select("coarse_id"), "coarse_id", "left_anti").select(
-            "row_id", "vec", "coarse_id"
-        ).unionByName(renamed))
-
-
-def _split_by_hash(oversized: DataFrame, salt: int) -> DataFrame:
-    return oversized.withColumn("sub", F.pmod(F.xxhash64("row_id", F.lit(salt)), F.col("k")))
+    placed = rows.withColumnRenamed("coarse_id", "origin").join(folded.select("origin", "vec", "coarse_id"), ["origin", "vec"])
+    placed = cut_lineage(placed.select("row_id", "vec", "coarse_id"))
+    counts = placed.groupBy("coarse_id").agg(F.count("*").alias("size")).filter(F.col("size") > max_size)
+    big = cut_lineage(counts.select("coarse_id", F.ceil(F.col("size") / max_size).alias("k")))
+    if big.isEmpty():
+        return placed
+    copies = cut_lineage(placed.join(big.select("coarse_id"), "coarse_id"))
+    ordered = with_row_index(copies, "row_id", "place", ["coarse_id"], sparse_chunk(copies, "row_id"))
+    cut = ordered.withColumn("sub", F.floor((F.col("place") - 1) / max_size))
+    rest = placed.join(big.select("coarse_id"), "coarse_id", "left_anti").select("row_id", "vec", "coarse_id")
+    return cut_lineage(rest.unionByName(_renamed(cut, big, next_id, rest.columns)))
+
+
+def _renamed(split: DataFrame, big: DataFrame, next_id: int, columns: list[str]) -> DataFrame:
+    """`columns` of the rows of split blocks; sub-block 0 keeps the id of its block, the others get ids from `next_id`."""
+    ids = with_running_total(big.withColumn("_new", F.col("k") - 1), "coarse_id", "_new", "_earlier")
+    new_id = F.lit(next_id) + F.col("_earlier") + F.col("sub") - 1
+    renamed = F.when(F.col("sub") == 0, F.col("coarse_id")).otherwise(new_id).cast("long")
+    return split.join(ids.select("coarse_id", "_earlier"), "coarse_id").withColumn("coarse_id", renamed).select(*columns)
 
 
 def _split_by_distance(oversized: DataFrame, iterations: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("coarse_id").orderBy(F.xxhash64("row_id"), "row_id"))
     seeds = (
         oversized.select("coarse_id", "row_id", "vec", "k", rank.alias("rank"))
-        .filter(F.col("rank") <= FANOUT)
         .filter(F.col("rank") <= F.col("k"))
         .select("coarse_id", (F.col("rank") - 1).cast("long").alias("sub"), F.col("vec").alias("centroid"))
     )
+    mean = Summarizer.mean(array_to_vector(F.col("vec")), F.col("weight").cast("double"))
     for step in range(iterations + 1):
         seeds = cut_lineage(seeds)
         labelled = _nearest_seed(oversized, seeds)
         if step < iterations:
-            seeds = mean_vectors(labelled, ["coarse_id", "sub"], "vec").drop("size")
+            moved = labelled.groupBy("coarse_id", "sub").agg(mean.alias("mean"))
+            seeds = moved.select("coarse_id", "sub", vector_to_array("mean").alias("centroid"))
     return labelled
 
 
-def _nearest_seed(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rows with the nearest of the few seeds of their block. Blocks are cut into parts of bounded rows."""
-    placed = rows.select("coarse_id", "row_id", "vec", "k", F.ceil(F.col("count") / PART_ROWS).alias("parts"))
+def _nearest_seed(points: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Points with the nearest seed of their block. A block is cut into parts of PART_ROWS points, or as many as it has
+    seeds, so that copies of seeds are no more than points."""
+    parts_of = F.ceil(F.col("count") / F.greatest(F.col("k"), F.lit(PART_ROWS)))
+    placed = points.select("coarse_id", "row_id", "vec", "weight", "origin", parts_of.alias("parts"))
     left = placed.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")))
-    parts = rows.select("coarse_id", F.ceil(F.col("count") / PART_ROWS).alias("parts")).distinct()
+    parts = placed.select("coarse_id", "parts").distinct()
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     right = seeds.join(parts, "coarse_id").select(
         F.col("coarse_id").alias("block"), "sub", "centroid", F.explode(every).alias("of_part")
     )
 
     def label(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
-        block = block[["coarse_id", "row_id", "vec", "k"]]
+        block = block[["coarse_id", "row_id", "vec", "weight", "origin"]]
         if not len(block):
             return block.assign(sub=[])
         centers = centers.sort_values("sub")
         c = np.stack(centers["centroid"].to_numpy())
-        x = np.stack(block["vec"].to_numpy())
-        nearest = ((c**2).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
-        return block.assign(sub=centers["sub"].to_numpy()[nearest])
-
-    schema = "coarse_id long, row_id long, vec array<double>, k long, sub long"
+        middle = c.mean(axis=0)
+        c = c - middle
+        x = np.stack(block["vec"].to_numpy()) - middle
+        step = max(1, MATRIX_CELLS // len(c))
+        nearest = [((c**2).sum(axis=1) - 2 * x[i : i + step] @ c.T).argmin(axis=1) for i in range(0, len(x), step)]
+        return block.assign(sub=centers["sub"].to_numpy()[np.concatenate(nearest)])
+
+    schema = "coarse_id long, row_id long, vec array<double>, weight long, origin long, sub long"
     return left.groupBy("coarse_id", "part").cogroup(right.groupBy("block", "of_part")).applyInPandas(label, schema)

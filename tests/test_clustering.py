@@ -96,6 +96,25 @@ def test_split_large_keeps_rows_and_bounds_blocks(spark):
     assert max(sizes) <= 60
 
 
+def test_split_large_keeps_neighbours_together(spark):
+    """Many copies of 0 between other values: blocks are intervals, and only the copies are cut, in row_id order."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([np.zeros(300), rng.normal(size=60), 1e6 + rng.normal(size=60)])
+    rng.shuffle(values)
+    df = frame(spark, values[:, None], coarse_id=np.zeros(len(values)))
+    out = coarse.split_large(df, max_size=20).collect()
+    assert sorted(r["row_id"] for r in out) == list(range(len(values)))
+    blocks = {}
+    for r in out:
+        blocks.setdefault(r["coarse_id"], []).append(r["row_id"])
+    assert max(map(len, blocks.values())) <= 20
+    copies = sorted((rows for rows in blocks.values() if not values[rows].any()), key=min)
+    assert sorted(r for rows in copies for r in rows) == list(np.flatnonzero(values == 0))
+    assert all(max(a) < min(b) for a, b in zip(copies, copies[1:]))
+    others = sorted((values[rows].min(), values[rows].max()) for rows in blocks.values() if values[rows].any())
+    assert all(a[1] < b[0] for a, b in zip(others, others[1:]))
+
+
 def test_fit_is_stable_under_partitioning(spark, blobs):
     points, _ = blobs
     df = frame(spark, points)
