@@ -12,7 +12,8 @@ joined, which gives the ids of the whole text. Cuts in use:
 A chunk that is one word of Latin letters is what normalizer and pre-tokenizer would hand to the file's model, but for the
 byte alphabet, so it goes to the model at once. Every other chunk takes the whole way through the library.
 
-Names of special tokens in a text are ordinary text.
+Names of special tokens in a text are found as the library finds them, by encoding the texts that hold one whole; with
+`names` off they are ordinary text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from termloom.llm.textbytes import LOWER, ragged, text_bytes
 
@@ -36,24 +38,27 @@ _KIND[65:91] = _KIND[97:123] = 1
 # One word of letters whose normal form is itself.
 _PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, cut: str, names: bool = True) -> Encoder:
     """The worker's encoder for a file; Python workers are reused, so its cache serves many tasks."""
-    key = (path, cut)
+    key = (path, cut, names)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, cut)
+        _encoders[key] = Encoder(path, cut, names)
     return _encoders[key]
 
 
 class Encoder:
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, names: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not names
+        # contents of special tokens; they match the text as it stands, others any case of it
+        added = self.tokenizer.get_added_tokens_decoder().values() if names else []
+        self.names = [(t.content, t.normalized) for t in added]
         self.cut = {"spaces": _space_cuts, "words": _word_cuts}[cut]
         self.lowers = cut == "spaces"
         self.model = self.tokenizer.model
@@ -72,6 +77,22 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's first id."""
+        named = np.zeros(len(column), bool)
+        for name, normalized in self.names:
+            found = pc.match_substring(column, name, ignore_case=normalized)
+            named |= pc.fill_null(found, False).to_numpy(zero_copy_only=False)
+        if not named.any():
+            return self._encode(column)
+        at = np.flatnonzero(named)
+        whole = self.tokenizer.encode_batch_fast(column.take(pa.array(at)).to_pylist(), add_special_tokens=False)
+        ids, offsets = self._encode(pc.if_else(pa.array(named), pa.scalar("", column.type), column))
+        added = [e.ids for e in whole]
+        lengths = np.diff(offsets)
+        ids = np.insert(ids, np.repeat(offsets[at], [len(a) for a in added]), np.concatenate(added).astype(np.uint32))
+        lengths[at] = [len(a) for a in added]
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
         if self.lowers:
             data = LOWER[data]

@@ -24,9 +24,7 @@ TEXT = st.text(alphabet="aB cé 'sS.!\n\t0É́ſµ×— 　日<|>", max_size=40
 
 
 def direct(file: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(file))
 
 
 @pytest.mark.parametrize("file", FILES)
