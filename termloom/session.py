@@ -52,7 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step.step_path = path
+    return step
+
+
+def drop_steps(*steps: DataFrame) -> None:
+    """Delete the folders of steps that `cut_lineage` wrote. Nothing may read them any more, later results included."""
+    for step in steps:
+        hadoop = step.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(step.step_path)
+        hadoop.getFileSystem(step.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
 def store_bucketed(df: DataFrame, key: str) -> DataFrame:
