@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 8192
 SHINGLE_WORDS = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -28,7 +29,8 @@ IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
 
 def pieces(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `limit` bytes in `columns`, so that the arrays made from a slice stay small.
+    """The same rows in slices of about `limit` bytes in `columns` and at most PIECE_ROWS rows, so that the arrays made from a
+    slice stay small.
 
     A row longer than `limit` is a slice of its own.
     """
@@ -38,7 +40,7 @@ def pieces(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = PIECE_
         row = 0
         while row < batch.num_rows:
             before = ends[row - 1] if row else 0
-            stop = max(row + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            stop = max(row + 1, min(row + PIECE_ROWS, int(np.searchsorted(ends, before + limit, side="right"))))
             yield batch.slice(row, stop - row)
             row = stop
 

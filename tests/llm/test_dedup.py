@@ -77,7 +77,7 @@ def test_mixed_buckets_lose_no_link(spark, monkeypatch):
     """Copies of one text with up to 14 edits, some of them copied again: no centre is near to all."""
     import termloom.llm.icws_dedup as icws
 
-    monkeypatch.setattr(icws, "BLOCK", 8)
+    monkeypatch.setattr(icws, "BLOCK_BYTES", 6000)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(3000)]
     base = rng.choices(vocabulary, k=150)
@@ -118,7 +118,7 @@ def test_samples_agree_as_often_as_texts_with_repeats_are_similar():
             features = [icws.Features(text) for text in (one, other)]
             several = features[0].feature[::2]
             for weights in (none, icws.Weights(several, np.full(len(several), 40), 100)):
-                a, b = (icws.samples(f, weights.of(f))[0] for f in features)
+                a, b = (icws.samples(f, weights.of(f)) for f in features)
                 agree.append((a == b).mean())
                 like.append(icws.weighted_jaccard(one, other, weights)[0])
         assert abs(np.mean(agree) - np.mean(like)) < 0.02
@@ -136,7 +136,8 @@ def test_linked_texts_with_repeats_are_likely_pairs():
             one = pa.array([repeated_lines(f"a{trial}", times, singles, edited).replace("line", f"line{trial}")])
             other = pa.array([repeated_lines(f"b{trial}", again, singles, edited).replace("line", f"line{trial}")])
             assert icws.weighted_jaccard(one, other, weights)[0] >= 0.8
-            a, b = (icws.samples(f, weights.of(f))[1] for f in (icws.Features(one), icws.Features(other)))
+            both = (icws.samples(f, weights.of(f)) for f in (icws.Features(one), icws.Features(other)))
+            a, b = (icws.mix(s).astype(np.uint8) for s in both)
             assert icws.likely(a, b, 0.8).all()
 
 
@@ -153,6 +154,64 @@ def test_classes_of_texts_with_repeats_match_brute_force(spark):
     assert got == want and 40 < len(set(want.values())) < 110
 
 
+def edited_copies(count: int) -> list[tuple[int, str]]:
+    """Copies of one text of 120 words with one to five edits."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(count):
+        text = list(base)
+        for _ in range(rng.randint(1, 5)):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(5000)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_links_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """What leaves the comparison of blocks is bounded by components, not by pairs; classes are those of all pairs."""
+    import termloom.llm.icws_dedup as icws
+
+    monkeypatch.setattr(icws, "BLOCK_BYTES", 64_000)
+    counted = []
+    original = icws.joining_links
+
+    def counting(members, *rest):
+        links = original(members, *rest)
+        held = members.groupBy("bucket").agg({"component": "approx_count_distinct"}).count()
+        counted.append((links.count(), members.select("component").distinct().count(), held))
+        return links
+
+    monkeypatch.setattr(icws, "joining_links", counting)
+    for count in (250, 500, 1000):
+        rows = edited_copies(count)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+        if count <= 500:
+            assert got == brute_classes(rows)
+        links, components_, _ = counted[-1]
+        assert links < 40 * components_
+    assert counted[2][0] < 6 * max(counted[0][0], 20)
+
+
+def test_many_short_texts_in_one_batch(spark):
+    """More texts in a batch than a row number has bits for beside a shingle."""
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(20_000)] + [(20_000 + i, f"A{i} b{i}, c{i} d{i} e{i}") for i in range(19_000, 20_000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: i if i < 20_000 else i - 20_000 for i, _ in rows}
+
+
+def test_keeping_one_of_rows_with_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, "A, b", "y"), (None, None, None)], "doc_id long, text string, `a.b` string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b", "x"), (None, None, None)]
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     got = Counter((r.doc_id, r.class_id) for r in near_duplicates(awkward).collect())
     assert got == Counter({(1, 1): 1, (2, 1): 1, (3, 3): 1, (4, 4): 1, (5, 5): 2, (6, 6): 1, (None, None): 1, (8, 8): 1, (9, 8): 1, (10, 10): 1})

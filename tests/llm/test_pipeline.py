@@ -51,5 +51,5 @@ def test_registration():
 
     names = set(entry.queries())
     assert "pipeline" in names and set(catalog.builders()) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.builders()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.builders()) == list(range(1, 14))
     assert set(catalog.oracles()) <= set(entry.oracle_sql())
