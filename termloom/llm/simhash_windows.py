@@ -3,7 +3,9 @@
 An item and a text are compared by shingles of five words (an item with fewer words is one shingle of all its words). For an
 item of n words every window of n words of a text is a possible copy. A window is reported when its weighted Jaccard
 similarity with the item, over shingles with their counts, is at least `similarity`. Weights lie between 1 (shingles of
-every item) and 2 (shingles of one item or none): 1 + ln(items / items with it) / ln(items).
+every item) and 2: 1 + ln(items / items with it) / ln(items) for shingles of at least two items and of more than the share
+COMMON of all, 2 for others. So at most (mean shingles per item) / COMMON shingles have a weight of their own; they are counted
+over all items and are part of every block.
 
 How windows are found, none of which loses a window that reaches the similarity:
 * windows need as many shingles that occur in some item as the similarity and the weight bounds imply; only these windows
@@ -15,7 +17,8 @@ How windows are found, none of which loses a window that reaches the similarity:
 The fingerprint radius is the one statistical step: 20 of 64 bits is more than three standard deviations beyond the
 distance expected at similarity 0.8.
 
-Items come as a table and are processed in blocks of bounded size (`ITEM_BYTES` each), one pass over the texts per block.
+Items come as a table and are processed in blocks of bounded size (`ITEM_BYTES` each), one after the other, one pass over the
+texts per block. Results do not depend on the blocks.
 
 Defined cases: null or empty items and texts match nothing; a repeated item row counts once per item_id; each row of a
 repeated text is reported; for one row and item the most similar window is reported, the first of equals.
@@ -32,20 +35,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.textbytes import SHINGLE_WORDS, Words, pieces, ragged, shingles, short_shingles
+from termloom.session import cut_lineage
 
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 8
 ITEM_BYTES = 16 << 20
 WEIGHT_UNIT = 64
+COMMON = 0.001
 
 HITS = "doc_id long, item_id long, first_word long, end_word long, similarity double"
 
 
+class Frequent:
+    """The shingles with a weight below the greatest, ascending, and their weights."""
+
+    def __init__(self, shingles_: np.ndarray, holders: np.ndarray, items: int):
+        order = np.argsort(shingles_)
+        n = max(items, 2)
+        weights = np.rint((1 + np.log(n / holders[order]) / np.log(n)) * WEIGHT_UNIT)
+        self.shingles = shingles_[order]
+        self.weights = np.clip(weights, WEIGHT_UNIT, 2 * WEIGHT_UNIT).astype(np.int64)
+
+
 class Items:
     """Fingerprints, shingles and lookup tables of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], similarity: float, radius: int):
+    def __init__(self, ids: list[int], texts: list[str], similarity: float, radius: int, frequent: Frequent):
         self.similarity, self.radius = similarity, radius
         words = Words(pa.array(texts, pa.string()))
         hashes, _, offsets = shingles(words)
@@ -55,11 +71,9 @@ class Items:
         self.shingle_words = np.minimum(self.words, SHINGLE_WORDS)
         self.shingles = [hashes[offsets[k] : offsets[k + 1]] for k in kept]
         found = [np.unique(s, return_counts=True) for s in self.shingles]
-        self.known, holders = np.unique(np.concatenate([f[0] for f in found]) if found else hashes[:0], return_counts=True)
-        n = max(len(kept), 2)
-        weights = 1 + np.log(n / holders) / np.log(n)
-        self.weights = np.append(np.clip(np.rint(weights * WEIGHT_UNIT), WEIGHT_UNIT, 2 * WEIGHT_UNIT), 2 * WEIGHT_UNIT)
-        self.weights = self.weights.astype(np.int64)
+        self.known = np.unique(np.concatenate([frequent.shingles, *(f[0] for f in found)]))
+        self.weights = np.full(len(self.known) + 1, 2 * WEIGHT_UNIT, np.int64)
+        self.weights[np.searchsorted(self.known, frequent.shingles)] = frequent.weights
         self.places = [np.searchsorted(self.known, f[0]) for f in found]
         self.counts = [f[1] for f in found]
         self.totals = [int((self.weights[p] * c).sum()) for p, c in zip(self.places, self.counts)]
@@ -93,7 +107,9 @@ class Items:
 
     def compare(self, item: int, places: np.ndarray, weights: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and a window, given as places among the known shingles."""
-        counts = np.bincount(places[places < len(self.known)], minlength=len(self.known))[self.places[item]]
+        own, counts = np.unique(places, return_counts=True)
+        at = np.minimum(np.searchsorted(own, self.places[item]), len(own) - 1)
+        counts = np.where(own[at] == self.places[item], counts[at], 0)
         shared = int((np.minimum(counts, self.counts[item]) * self.weights[self.places[item]]).sum())
         return shared / (self.totals[item] + int(weights.sum()) - shared)
 
@@ -177,17 +193,44 @@ def _row_hits(row: int, hashes, hit, offsets, sizes, items: Items, best: dict) -
                     best[row, item] = (similarity, low + start)
 
 
-def item_blocks(items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> list[Items]:
+def frequent_shingles(table: DataFrame) -> Frequent:
+    """Frequent shingles of all items (item_id, text)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            hashes, _, offsets = shingles(Words(piece.column("text")))
+            row = np.repeat(np.arange(piece.num_rows), np.diff(offsets))
+            order = np.lexsort((hashes, row))
+            hashes, row = hashes[order], row[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+            some = np.count_nonzero(np.diff(offsets))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes[first].view(np.int64)), pa.nulls(int(first.sum()), pa.int64())], names=["shingle", "items"]
+            )
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([some])], names=["shingle", "items"])
+
+    counted = table.select("text").mapInArrow(read, "shingle long, items long")
+    counted = cut_lineage(counted.groupBy("shingle").agg(F.count("*").alias("holders"), F.sum("items").alias("items")))
+    items = counted.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]
+    found = counted.filter(F.col("shingle").isNotNull() & (F.col("holders") > max(1.0, COMMON * items))).toPandas()
+    return Frequent(found["shingle"].to_numpy(np.int64).view(np.uint64), found["holders"].to_numpy(np.int64), items)
+
+
+def item_blocks(items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> Iterator[Items]:
     """The items (item_id, text) in blocks of at most about ITEM_BYTES of text, each small enough to be broadcast."""
     table = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").distinct()
     size = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if not size:
+        return
+    frequent = frequent_shingles(table)
     blocks = size // ITEM_BYTES + 1
     numbered = table.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    out = []
     for block in range(blocks):
         rows = numbered.filter(F.col("block") == block).select("item_id", "text").toPandas()
-        out.append(Items(rows["item_id"].tolist(), rows["text"].tolist(), similarity, radius))
-    return [b for b in out if len(b.ids)]
+        held = Items(rows["item_id"].tolist(), rows["text"].tolist(), similarity, radius, frequent)
+        if len(held.ids):
+            yield held
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
