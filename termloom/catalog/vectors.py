@@ -232,6 +232,31 @@ def _(spark, sf):
     return rounded(density.density_labels(points), "probability")
 
 
+# Groups of five rows next to one another, far from all others; five rows cannot hold two clusters of three.
+PLANTED = """planted as (select e.vec_id as row_id, list_transform(range(1, len(e.embedding) + 1),
+ lambda i: 0.01 * e.embedding[i]::double + 100 * g.embedding[i]::double) as vec, e.vec_id // 5 as grp
+ from embeddings e join embeddings g on g.vec_id = (e.vec_id // 5) * 5)"""
+
+
+def planted_groups(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    lead = rows.filter("vec_id % 5 = 0").select(F.expr("vec_id div 5").alias("grp"), F.col("embedding").alias("lead"))
+    vec = F.zip_with("embedding", "lead", lambda own, g: 0.01 * own.cast("double") + 100 * g.cast("double"))
+    return rows.withColumn("grp", F.expr("vec_id div 5")).join(lead, "grp").select(F.col("vec_id").alias("row_id"), vec.alias("vec"))
+
+
+@query(
+    "H1c_planted_groups",
+    f"""with {PLANTED}, counted as (select row_id, count(*) over w as n, min(row_id) over w as least from planted
+ window w as (partition by grp)) select row_id, case when n >= 3 then least else -1 end as least_row from counted""",
+)
+def _(spark, sf):
+    points = planted_groups(spark, sf).withColumn("coarse_id", F.lit(0).cast("long"))
+    labels = cut_lineage(density.density_labels(points, density.DensitySettings(chunk=100)))
+    least = labels.filter("local_id >= 0").groupBy("local_id").agg(F.min("row_id").alias("least_row"))
+    return labels.join(least, "local_id", "left").select("row_id", F.coalesce("least_row", F.lit(-1)).alias("least_row"))
+
+
 @query(
     "H3_global_ids",
     f"""with {LOCAL_SQL}, ids as (select coarse_id, local_id, row_number() over (order by coarse_id, local_id) - 1 as id

@@ -1,14 +1,14 @@
 """Density clustering inside coarse blocks.
 
 Copies of a vector are first folded into one weighted point, so a block never holds repeated vectors. A block of at most
-`chunk` points is one distance matrix in one task. A larger block is never cut: its spanning tree grows in rounds of
-distributed minima over pairs of chunks, and only the tree, an edge per point, meets in one task. Edges have a total order
+`chunk` points is one distance matrix in one task. A larger block is never cut and never meets in a task: its points are dealt
+to metric cells (metric_cells), a point looks for neighbours and for edges only in cells that can hold nearer ones, the spanning
+tree grows in rounds, and labels are read from the tree's edges by joins and components (density_tree). Edges have a total order
 (reachability, distance, row ids), so the tree, and with it every label, is the same for every chunk size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from termloom.functions.numbers import ratio
 from termloom.functions.ordering import with_running_total
 from termloom.operators.assemble import OUTLIER
+from termloom.operators.density_tree import leaf_labels
 from termloom.operators.merge import connected_components
+from termloom.operators.metric_cells import SLACK, against_pivots, deal_cells, describe_cells, gaps_between, matrix_of, meet
 from termloom.operators.sizing import broadcast_if_small
 from termloom.session import cut_lineage
 
@@ -48,17 +50,12 @@ def weighted_points(points: DataFrame) -> DataFrame:
     return copies.join(sizes, "coarse_id")
 
 
-# Distances are compared at this many decimals, so that matrices of different shapes agree.
-DECIMALS = 9
-
-
-def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :]
-    return np.round(np.sqrt(np.maximum(squares - 2 * a @ b.T, 0)), DECIMALS)
+# A block larger than `chunk` points has cells of about chunk / CELLS points.
+CELLS = 8
 
 
 def _distances(vectors: np.ndarray) -> np.ndarray:
-    gaps = _gaps(vectors, vectors)
+    gaps = gaps_between(vectors, vectors)
     np.fill_diagonal(gaps, 0)
     return gaps
 
@@ -71,26 +68,9 @@ def _core(gaps: np.ndarray, weights: np.ndarray, min_samples: int) -> np.ndarray
     return np.take_along_axis(gaps, order, axis=1)[np.arange(len(gaps)), enough.argmax(axis=1)]
 
 
-def _against_block(rows: DataFrame, match: Callable, schema: str, max_block: int) -> DataFrame:
-    """Apply `match(left, right)` to every pair of chunks of a block; a chunk holds about `max_block` points."""
-    sizes = rows.groupBy("coarse_id").agg(F.ceil(F.count("*") / max_block).alias("chunks"))
-    placed = rows.join(sizes, "coarse_id").withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.col("chunks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    left = placed.withColumn("against", F.explode(every))
-    right = placed.select(
-        *[F.col(c).alias(f"{c}_") for c in rows.columns], F.col("chunk").alias("against_"), F.explode(every).alias("chunk_")
-    )
-    return (
-        left.groupBy("coarse_id", "chunk", "against")
-        .cogroup(right.groupBy("coarse_id_", "chunk_", "against_"))
-        .applyInPandas(match, schema)
-    )
-
-
 def _cross_distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Distances between two chunks, infinite between a point and itself."""
-    a, b = (np.stack(v.to_numpy()).astype(float) for v in (left["vec"], right["vec_"]))
-    gaps = _gaps(a, b)
+    """Distances between visitors and members of a cell, infinite between a point and itself."""
+    gaps = gaps_between(matrix_of(left["vec"]), matrix_of(right["vec_"]))
     gaps[left["row_id"].to_numpy()[:, None] == right["row_id_"].to_numpy()[None, :]] = np.inf
     return gaps
 
@@ -98,54 +78,106 @@ def _cross_distances(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
 def reachability(points: DataFrame, min_samples: int = 2, max_block: int = 2000) -> DataFrame:
     """Core distance and smallest mutual reachability to another row, per row.
 
-    Exact for blocks of any size: chunks of a block are matched pairwise, and each pair keeps only the few
-    nearest candidates of a point, then its single best one.
+    Exact for blocks of any size: a point visits the cells that can hold a nearer row than the nearest it knows.
     """
     distinct = cut_lineage(weighted_points(points))
     core = cut_lineage(_with_core(distinct, min_samples, max_block))
+    others = core.select(F.col("row_id").alias("nearest_id"), F.col("core_distance").alias("other_core"))
+    known = core.join(others, "nearest_id", "left")
+    reach = F.greatest("core_distance", "other_core", "nearest_gap")
+    sure = (F.col("weight") > 1) | (reach <= F.col("core_distance"))
+    known = known.withColumn("bound", F.when(sure, F.lit(None)).otherwise(F.coalesce(reach, F.lit(float("inf")))))
+    known = cut_lineage(known.drop("other_core"))
 
     def nearest_reach(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own, other = left["core_distance"].to_numpy(), right["core_distance_"].to_numpy()
         mutual = np.maximum(_cross_distances(left, right), np.maximum(own[:, None], other[None, :]))
-        best = np.where(left["weight"].to_numpy() > 1, own, mutual.min(axis=1))
-        return pd.DataFrame({"row_id": left["row_id"], "nearest": best})
+        return pd.DataFrame({"row_id": left["row_id"], "nearest": mutual.min(axis=1)})
+
+    cells = describe_cells(known, F.min("core_distance").alias("least_core_"))
+    visits = cell_visits(known.filter("bound is not null"), cells, own_cell=True)
+    best = meet(visits, known, known, nearest_reach, "row_id long, nearest double", ["vec", "core_distance"])
+    best = best.groupBy("row_id").agg(F.min("nearest").alias("nearest"))
+    measured = known.join(best, "row_id", "left").withColumn("nearest", F.coalesce("nearest", "core_distance"))
+    return _spread(points, distinct, measured.select("coarse_id", "row_id", "core_distance", "nearest"), ["core_distance", "nearest"])
+
+
+def cell_visits(points: DataFrame, cells: DataFrame, own_cell: bool = False) -> DataFrame:
+    """(row_id, cell, part) of the cell parts that may hold a row within `bound` of a point. A part is left out if its radius and
+    least core distance, where `cells` tells it, put every member beyond the bound, or, where `component` is told, if all its
+    members are of the point's component."""
+
+    def within(block: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        gaps = gaps_between(matrix_of(block["vec"]), matrix_of(centres["pivot_"])) - centres["radius_"].to_numpy()[None, :]
+        if "least_core_" in centres:
+            gaps = np.maximum(gaps, centres["least_core_"].to_numpy()[None, :])
+        open_ = gaps <= block["bound"].to_numpy(float)[:, None] + SLACK
+        if "one_component_" in centres:
+            open_ &= block["component"].to_numpy()[:, None] != centres["one_component_"].fillna(-1).to_numpy(np.int64)[None, :]
+        if not own_cell:
+            open_ &= (block["cell"].to_numpy()[:, None] != centres["cell_"].to_numpy()[None, :]) | (
+                block["part"].to_numpy()[:, None] != centres["part_"].to_numpy()[None, :]
+            )
+        row, cell = np.nonzero(open_)
+        return pd.DataFrame(
+            {"row_id": block["row_id"].to_numpy()[row], "cell": centres["cell_"].to_numpy()[cell], "part": centres["part_"].to_numpy()[cell]}
+        )
 
-    best = _against_block(core, nearest_reach, "row_id long, nearest double", max_block)
-    measured = core.join(best.groupBy("row_id").agg(F.min("nearest").alias("nearest")), "row_id")
-    return _spread(points, distinct, measured, ["core_distance", "nearest"])
+    return against_pivots(points, cells, within, "row_id long, cell long, part long")
 
 
 def _with_core(distinct: DataFrame, min_samples: int, max_block: int) -> DataFrame:
-    """Weighted points with their core distance."""
+    """Weighted points with their core distance, cell, part, to_pivot, and the nearest other point (nearest_id, nearest_gap).
+
+    The rows of a point's own cell bound its core distance; then it visits the other cells that can hold a nearer row.
+    """
 
     def nearest_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         gaps = _cross_distances(left, right)
         order = np.argsort(gaps, axis=1, kind="stable")[:, :min_samples]
-        rows = np.arange(len(left))[:, None]
-        return pd.DataFrame(
+        found = pd.DataFrame(
             {
                 "row_id": np.repeat(left["row_id"].to_numpy(), order.shape[1]),
-                "gap": gaps[rows, order].ravel(),
+                "gap": gaps[np.arange(len(left))[:, None], order].ravel(),
                 "weight": right["weight_"].to_numpy()[order].ravel(),
+                "other": right["row_id_"].to_numpy()[order].ravel(),
             }
         )
-
-    found = _against_block(distinct, nearest_rows, "row_id long, gap double, weight long", max_block)
-    near = found.filter(F.col("gap") < float("inf")).groupBy("row_id").agg(
-        F.array_sort(F.collect_list(F.struct("gap", "weight"))).alias("near")
+        return found[np.isfinite(found["gap"])]
+
+    dealt = deal_cells(distinct, max(max_block // CELLS, 8))
+    placed = cut_lineage(distinct.join(dealt, "row_id"))
+    schema, columns = "row_id long, gap double, weight long, other long", ["vec", "weight"]
+    near = cut_lineage(meet(placed.select("row_id", "cell", "part"), placed, placed, nearest_rows, schema, columns))
+    bounded = placed.join(_reached(near, placed, min_samples).withColumnRenamed("gap", "bound"), "row_id", "left")
+    bounded = bounded.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    visits = cell_visits(bounded, describe_cells(placed))
+    near = cut_lineage(near.unionByName(meet(visits, placed, placed, nearest_rows, schema, columns)))
+    nearest = near.groupBy("row_id").agg(F.min(F.struct("gap", "other")).alias("n"))
+    core = placed.join(_reached(near, placed, min_samples, whole=True), "row_id", "left").join(nearest, "row_id", "left")
+    return core.select(
+        "coarse_id", "row_id", "vec", "weight", F.coalesce("gap", F.lit(0.0)).alias("core_distance"), "cell", "part", "to_pivot",
+        F.col("n.other").alias("nearest_id"), F.col("n.gap").alias("nearest_gap"),
     )
-    copies = F.col("weight") - 1
+
+
+def _reached(near: DataFrame, placed: DataFrame, min_samples: int, whole: bool = False) -> DataFrame:
+    """(row_id, gap): distance at which `min_samples` other rows are reached, copies counted, among the rows in `near`.
+
+    Where fewer are there, the farthest one if `whole` (all rows of the block have been seen), else nothing.
+    """
+    found = near.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("gap", F.col("weight").alias("rows")))).alias("near"))
+    found = placed.select("row_id", "weight", "block_size").join(found, "row_id")
     wanted = F.least(F.lit(min_samples), F.col("block_size") - 1)
     reached = F.aggregate(
         "near",
-        F.struct(copies.alias("seen"), F.lit(0.0).alias("gap")),
+        F.struct((F.col("weight") - 1).alias("seen"), F.lit(0.0).alias("gap")),
         lambda at, n: F.when(at["seen"] >= wanted, at).otherwise(
-            F.struct((at["seen"] + n["weight"]).alias("seen"), n["gap"].alias("gap"))
+            F.struct((at["seen"] + n["rows"]).alias("seen"), n["gap"].alias("gap"))
         ),
     )
-    return distinct.join(near, "row_id", "left").select(
-        "coarse_id", "row_id", "vec", "weight", F.coalesce(reached["gap"], F.lit(0.0)).alias("core_distance")
-    )
+    enough = found.select("row_id", reached.alias("at"), wanted.alias("wanted"))
+    return enough.filter(F.lit(whole) | (F.col("at.seen") >= F.col("wanted"))).select("row_id", F.col("at.gap").alias("gap"))
 
 
 def _spread(points: DataFrame, distinct: DataFrame, results: DataFrame, columns: list[str]) -> DataFrame:
@@ -191,11 +223,12 @@ def _spanning_tree(mutual: np.ndarray, gaps: np.ndarray) -> list[tuple[float, fl
     return sorted(edges)
 
 
-def _tree_edges(core: DataFrame, chunk: int) -> DataFrame:
+def _tree_edges(core: DataFrame) -> DataFrame:
     """Spanning tree edges (coarse_id, reach, gap, low, high) of blocks of any size, from `core` (_with_core).
 
     In each round every component of a block finds its lightest edge to another one; the chosen edges join components, so
-    their number at least halves.
+    their number at least halves. A component knows an edge before it searches: to a point's nearest neighbour, or into the
+    cell that holds another component nearest by; its points visit only cells that can hold a lighter one.
     """
 
     def lightest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -203,13 +236,12 @@ def _tree_edges(core: DataFrame, chunk: int) -> DataFrame:
         own, other = left["core_distance"].to_numpy(), right["core_distance_"].to_numpy()
         reach = np.maximum(gaps, np.maximum(own[:, None], other[None, :]))
         one, two = left["component"].to_numpy(), right["component_"].to_numpy()
-        reach[one[:, None] == two[None, :]] = np.inf
+        open_ = (one[:, None] != two[None, :]) & np.isfinite(gaps)
         rows, ids = left["row_id"].to_numpy(), right["row_id_"].to_numpy()
         low, high = np.minimum(rows[:, None], ids[None, :]), np.maximum(rows[:, None], ids[None, :])
-        open_ = np.isfinite(reach)
         for key in (reach, gaps, low, high):
-            best = np.where(open_, key, np.inf).min(axis=1)
-            open_ &= key == best[:, None]
+            most = np.inf if key.dtype.kind == "f" else np.iinfo(key.dtype).max
+            open_ &= key == np.where(open_, key, most).min(axis=1)[:, None]
         at = np.flatnonzero(open_.any(axis=1))
         to = open_[at].argmax(axis=1)
         return pd.DataFrame(
@@ -219,11 +251,31 @@ def _tree_edges(core: DataFrame, chunk: int) -> DataFrame:
             }
         )
 
+    def known_bound(block: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        gaps = gaps_between(matrix_of(block["vec"]), matrix_of(centres["pivot_"])) + centres["radius_"].to_numpy()[None, :]
+        reach = np.maximum(gaps, np.maximum(block["core_distance"].to_numpy()[:, None], centres["most_core_"].to_numpy()[None, :]))
+        reach[block["component"].to_numpy()[:, None] == centres["one_component_"].fillna(-1).to_numpy(np.int64)[None, :]] = np.inf
+        least = block.assign(bound=reach.min(axis=1)).groupby("component", as_index=False)["bound"].min()
+        return least[["component", "bound"]]
+
     schema = "coarse_id long, component long, reach double, gap double, low long, high long, other long"
     names = core.select("row_id", F.col("row_id").alias("component"))
+    nearest = core.select("row_id", "nearest_id", "nearest_gap", "core_distance")
+    nearest = nearest.join(core.select(F.col("row_id").alias("nearest_id"), F.col("core_distance").alias("other_core")), "nearest_id")
+    nearest = cut_lineage(nearest.select("row_id", "nearest_id", F.greatest("core_distance", "other_core", "nearest_gap").alias("bound")))
     edges = []
     while True:
-        found = _against_block(core.join(names, "row_id"), lightest, schema, chunk)
+        state = cut_lineage(core.drop("nearest_id", "nearest_gap").join(names, "row_id"))
+        one = F.when(F.min("component") == F.max("component"), F.min("component")).alias("one_component_")
+        cells = describe_cells(state, F.min("core_distance").alias("least_core_"), F.max("core_distance").alias("most_core_"), one)
+        cells = cut_lineage(cells)
+        ends = nearest.join(names, "row_id").join(names.select(F.col("row_id").alias("nearest_id"), F.col("component").alias("to")), "nearest_id")
+        bounds = ends.filter("component <> to").select("component", "bound")
+        bounds = bounds.unionByName(against_pivots(state, cells, known_bound, "component long, bound double"))
+        bounds = bounds.groupBy("component").agg(F.min("bound").alias("bound")).filter(F.col("bound") < float("inf"))
+        searching = state.join(bounds, "component")
+        visits = cell_visits(searching.filter(F.col("core_distance") <= F.col("bound") + SLACK), cells, own_cell=True)
+        found = meet(visits, state, state, lightest, schema, ["coarse_id", "vec", "core_distance", "component"])
         best = found.groupBy("coarse_id", "component").agg(F.min(F.struct("reach", "gap", "low", "high", "other")).alias("e"))
         best = cut_lineage(best.select("coarse_id", "component", "e.*"))
         if best.isEmpty():
@@ -332,13 +384,6 @@ def density_labels(points: DataFrame, settings: DensitySettings = DensitySetting
         mutual = np.maximum(gaps, np.maximum(core[:, None], core[None, :]))
         return _block_labels(block, _spanning_tree(mutual, gaps), core, min_size)
 
-    def from_tree(block: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("row_id")
-        ids = block["row_id"].to_numpy()
-        ends = [np.searchsorted(ids, edges[c].to_numpy()) for c in ("low", "high")]
-        tree = sorted(zip(edges["reach"].tolist(), edges["gap"].tolist(), *(e.tolist() for e in ends)))
-        return _block_labels(block, tree, block["core_distance"].to_numpy(), min_size)
-
     schema = "block_id long, row_id long, local_id int, probability double"
     wide = distinct.filter(F.col("block_size") >= min_size)
     whole = distinct.filter(F.col("block_size") < min_size).select(
@@ -349,9 +394,7 @@ def density_labels(points: DataFrame, settings: DensitySettings = DensitySetting
     large = wide.filter(F.col("block_points") > settings.chunk)
     if not large.isEmpty():
         core = cut_lineage(_with_core(large.drop("block_points"), min_samples, settings.chunk))
-        narrow = core.select("coarse_id", "row_id", "weight", "core_distance")
-        tree = _tree_edges(core, settings.chunk)
-        grown = narrow.groupBy("coarse_id").cogroup(tree.groupBy("coarse_id")).applyInPandas(from_tree, schema)
+        grown = leaf_labels(core, cut_lineage(_tree_edges(core)), min_size)
         results = results.unionByName(grown)
     results = cut_lineage(results)
     spread = _spread(points, distinct.select("coarse_id", "row_id", "vec", "weight"), results, ["local_id", "probability"])
