@@ -121,6 +121,34 @@ def _(spark, sf):
     return rounded(labels, "distance")
 
 
+# Thirteen groups far apart and narrow: k-means finds them whatever the seeds, if it has enough centroids.
+FAR_GROUPS = """far as (select e.vec_id as row_id, list_transform(range(1, len(e.embedding) + 1),
+ lambda i: 0.001 * e.embedding[i]::double + case when i = 1 + e.vec_id % 13 then 1000 else 0 end) as vec, e.vec_id % 13 as grp from embeddings e)"""
+
+
+def far_groups(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    shifted = F.transform("embedding", lambda v, i: 0.001 * v.cast("double") + F.when(i == F.col("vec_id") % 13, 1000).otherwise(0))
+    return rows.select(F.col("vec_id").alias("row_id"), shifted.alias("vec"))
+
+
+def _no_group_mixed(blocks):
+    """Per group its rows and whether a block holds rows of another one."""
+    per_block = blocks.groupBy("coarse_id").agg(F.count_distinct(F.col("row_id") % 13).alias("groups"), F.count("*").alias("size"))
+    return (
+        blocks.join(per_block, "coarse_id")
+        .groupBy((F.col("row_id") % 13).alias("grp"))
+        .agg(F.count("*").alias("n"), F.max("groups").alias("groups"), F.bool_and(F.col("size") <= 60).alias("bounded"))
+    )
+
+
+@query("G2_tree_blocks", "select vec_id % 13 as grp, count(*) as n, 1::bigint as groups, true as bounded from embeddings group by 1")
+def _(spark, sf):
+    points = far_groups(spark, sf)
+    tree = coarse.fit_tree(points, coarse.TreeSettings(max_block=60, branching=32))
+    return _no_group_mixed(coarse.route(points, tree))
+
+
 @query(
     "G3_nearest_assignment",
     f"""with {FX2}, {centroids_sql('fx', 'label', 'lc')} select row_id, lc.label::bigint as coarse_id,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.ordering import sparse_chunk, with_row_index, with_running_total
 from termloom.functions.vectors import distance, mean_vectors, squared_distance
+from termloom.operators.metric_cells import against_pivots, gaps_between, matrix_of
 from termloom.operators.similarity import nearest_centroid
 from termloom.session import cut_lineage
 
@@ -124,7 +125,7 @@ def split_large(points: DataFrame, max_size: int = 500, iterations: int = 3, nex
         big = cut_lineage(sizes.filter((F.col("size") > max_size) & (F.col("count") > 1)).withColumn("k", wanted).drop("size"))
         if big.isEmpty():
             break
-        split = cut_lineage(_split_by_distance(folded.join(big, "coarse_id"), iterations))
+        split = cut_lineage(_split_by_distance(folded.join(big, "coarse_id"), iterations)[0])
         # points that differ by less than rounding stay together and are cut like copies
         whole = split.groupBy("coarse_id").agg((F.min("sub") == F.max("sub")).alias("whole"))
         split = split.join(whole, "coarse_id")
@@ -152,13 +153,26 @@ def _renamed(split: DataFrame, big: DataFrame, next_id: int, columns: list[str])
     return split.join(ids.select("coarse_id", "_earlier"), "coarse_id").withColumn("coarse_id", renamed).select(*columns)
 
 
-def _split_by_distance(oversized: DataFrame, iterations: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("coarse_id").orderBy(F.xxhash64("row_id"), "row_id"))
-    seeds = (
-        oversized.select("coarse_id", "row_id", "vec", "k", rank.alias("rank"))
-        .filter(F.col("rank") <= F.col("k"))
-        .select("coarse_id", (F.col("rank") - 1).cast("long").alias("sub"), F.col("vec").alias("centroid"))
-    )
+# Rows with low hashes that are looked at for each wanted seed, on average; fewer than two are found once in 10^6 blocks.
+SEED_CANDIDATES = 10
+
+
+def _seeds(oversized: DataFrame) -> DataFrame:
+    """(coarse_id, sub, centroid): the k points with the lowest hash of each block. Only points below a hash bound that about
+    SEED_CANDIDATES * k points pass are ranked, without their vectors."""
+    hashed = F.xxhash64("row_id")
+    share = F.pmod(hashed, F.lit(1 << 30)) / (1 << 30)
+    few = oversized.select("coarse_id", "row_id", "k", hashed.alias("h"), share.alias("share"), "count")
+    few = few.filter(F.col("share") * F.col("count") < SEED_CANDIDATES * F.col("k"))
+    rank = F.row_number().over(Window.partitionBy("coarse_id").orderBy("share", "h", "row_id"))
+    chosen = few.select("coarse_id", "row_id", "k", rank.alias("rank")).filter(F.col("rank") <= F.col("k"))
+    chosen = chosen.select("row_id", (F.col("rank") - 1).cast("long").alias("sub"))
+    return oversized.join(chosen, "row_id").select("coarse_id", "sub", F.col("vec").alias("centroid"))
+
+
+def _split_by_distance(oversized: DataFrame, iterations: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of `oversized` with `sub`, their nearest seed after a few Lloyd steps, and the seeds (coarse_id, sub, centroid)."""
+    seeds = _seeds(oversized)
     mean = Summarizer.mean(array_to_vector(F.col("vec")), F.col("weight").cast("double"))
     for step in range(iterations + 1):
         seeds = cut_lineage(seeds)
@@ -166,7 +180,90 @@ def _split_by_distance(oversized: DataFrame, iterations: int) -> DataFrame:
         if step < iterations:
             moved = labelled.groupBy("coarse_id", "sub").agg(mean.alias("mean"))
             seeds = moved.select("coarse_id", "sub", vector_to_array("mean").alias("centroid"))
-    return labelled
+    return labelled, seeds
+
+
+@dataclass(frozen=True)
+class TreeSettings:
+    """A node of more than `max_block` rows is split into at most `branching` children."""
+
+    max_block: int = 5000
+    branching: int = 32
+    iterations: int = 5
+
+
+TREE = "node long, parent long, level int, centroid array<double>, coarse_id int"
+
+
+def fit_tree(points: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """A k-means tree over all rows (row_id, vec): TREE, one row per node but the root; coarse_id numbers the leaves.
+
+    Nodes of one level are split by the same jobs, each by Lloyd steps over its own rows, so a level costs rows x branching
+    distances and the number of blocks follows the number of rows. Children of node p are p * branching + 1 + sub; the root is
+    0. Copies of a vector are one weighted point and stay in one leaf, however many; so do points that no distance tells apart.
+    A tree of one block has one row, the mean.
+    """
+    spark = points.sparkSession
+    copies = points.groupBy("vec").agg(F.min("row_id").alias("row_id"), F.count("*").alias("weight"))
+    rows = cut_lineage(copies.select(F.lit(0).cast("long").alias("coarse_id"), "row_id", "vec", "weight", F.lit(0).cast("long").alias("origin")))
+    nodes = spark.createDataFrame([], TREE).drop("coarse_id")
+    branching, level = settings.branching, 0
+    while True:
+        level += 1
+        sizes = rows.groupBy("coarse_id").agg(F.sum("weight").alias("size"), F.count("*").alias("count"))
+        wanted = F.least(F.lit(branching), F.ceil(2 * F.col("size") / settings.max_block), F.col("count"))
+        big = sizes.filter((F.col("size") > settings.max_block) & (F.col("count") > 1)).withColumn("k", wanted.cast("long"))
+        big = cut_lineage(big.drop("size"))
+        if big.isEmpty():
+            break
+        labelled, seeds = _split_by_distance(rows.join(big, "coarse_id"), settings.iterations)
+        labelled = cut_lineage(labelled)
+        # a child that holds its whole node cannot be split by distance
+        parts = labelled.groupBy("coarse_id").agg(F.count_distinct("sub").alias("parts"))
+        told = cut_lineage(labelled.join(parts.filter("parts > 1"), "coarse_id"))
+        child = F.col("coarse_id") * branching + 1 + F.col("sub")
+        used = told.select("coarse_id", "sub").distinct()
+        grown = seeds.join(used, ["coarse_id", "sub"]).select(
+            child.alias("node"), F.col("coarse_id").alias("parent"), F.lit(level).alias("level"), "centroid"
+        )
+        nodes = cut_lineage(nodes.unionByName(grown))
+        rows = cut_lineage(told.select(child.alias("coarse_id"), "row_id", "vec", "weight", "origin"))
+    if nodes.isEmpty():
+        mean = mean_vectors(points.withColumn("cluster_id", F.lit(0)), ["cluster_id"], "vec")
+        whole = [F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("parent"), F.lit(1).alias("level")]
+        return cut_lineage(mean.select(*whole, "centroid", F.lit(0).alias("coarse_id")))
+    leaves = nodes.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("node")
+    leaves = cut_lineage(leaves)
+    numbered = with_row_index(leaves, "node", "place", chunk=sparse_chunk(leaves, "node"))
+    numbered = numbered.select("node", (F.col("place") - 1).cast("int").alias("coarse_id"))
+    return cut_lineage(nodes.join(numbered, "node", "left").select("node", "parent", "level", "centroid", "coarse_id"))
+
+
+def route(points: DataFrame, tree: DataFrame) -> DataFrame:
+    """(row_id, coarse_id, distance): rows (row_id, vec) go down the tree to the nearest child of each node, ties to the lowest.
+
+    Rows the tree was fitted on reach the block they were fitted into.
+    """
+
+    def nearest(block: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        centres = centres.sort_values("child_")
+        gaps = gaps_between(matrix_of(block["vec"]), matrix_of(centres["pivot_"]))
+        at = gaps.argmin(axis=1)
+        return pd.DataFrame({"row_id": block["row_id"], "child": centres["child_"].to_numpy()[at], "distance": gaps.min(axis=1)})
+
+    children = tree.select(F.col("parent").alias("coarse_id_"), F.col("node").alias("child_"), F.col("centroid").alias("pivot_"))
+    at = points.select("row_id", F.lit(0).cast("long").alias("coarse_id"), "vec")
+    ended = None
+    for level in range(1, (tree.agg(F.max("level")).first()[0] or 0) + 1):
+        here = children.join(tree.filter(F.col("level") == level).select(F.col("node").alias("child_")), "child_")
+        placed = against_pivots(at, here.select("coarse_id_", "child_", "pivot_"), nearest, "row_id long, child long, distance double")
+        placed = placed.join(tree.select(F.col("node").alias("child"), F.col("coarse_id").alias("leaf")), "child")
+        placed = cut_lineage(placed)
+        done = placed.filter("leaf is not null").select("row_id", F.col("leaf").alias("coarse_id"), "distance")
+        ended = done if ended is None else ended.unionByName(done)
+        open_ = placed.filter("leaf is null").select("row_id", F.col("child").alias("coarse_id"))
+        at = points.select("row_id", "vec").join(open_, "row_id")
+    return ended if ended is not None else points.select("row_id", F.lit(None).cast("int").alias("coarse_id"), F.lit(0.0).alias("distance")).limit(0)
 
 
 def _nearest_seed(points: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import coarse, density, labels, merge, outliers, overlap
 from termloom.operators.assemble import cluster_info, cluster_report, run_summary
+from termloom.operators.coarse import TreeSettings
 from termloom.operators.dedup import keep_best
 from termloom.operators.embed import Provider, align_vectors, embed_texts, hashed_ngrams
 from termloom.operators.label_choice import choose_labels
@@ -18,7 +19,11 @@ from termloom.session import cut_lineage, store_bucketed
 
 @dataclass(frozen=True)
 class RunSettings:
+    """Blocks come from flat k-means while its number of clusters is below the bound of `coarse`, and from the k-means tree
+    beyond it, so that they stay small however many rows there are."""
+
     coarse: coarse.CoarseSettings = field(default_factory=coarse.CoarseSettings)
+    tree: TreeSettings = field(default_factory=TreeSettings)
     density: density.DensitySettings = field(default_factory=density.DensitySettings)
     rules: ValidationRules = field(default_factory=ValidationRules)
     merge_threshold: float = merge.MERGE_THRESHOLD
@@ -51,14 +56,23 @@ def clean(raw: DataFrame, rules: ValidationRules = ValidationRules()) -> DataFra
     return keep_best(valid).drop("canonical", "first_row_id")
 
 
+def coarse_blocks(points: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
+    """(row_id, coarse_id) of flat k-means or, beyond its bound, of the k-means tree."""
+    rows, bound = points.count(), settings.coarse.max_clusters
+    if rows <= bound**2 * settings.coarse.cluster_ratio:
+        found = coarse.assign(points, coarse.fit_centroids(points, settings.coarse))
+    else:
+        found = coarse.route(points, coarse.fit_tree(points, settings.tree))
+    return found.select("row_id", F.col("coarse_id").cast("long").alias("coarse_id"))
+
+
 def cluster_labels(points: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
     """(row_id, cluster_id) after the coarse, density and merge steps; -1 marks outliers.
 
     Only narrow label tables are stored between steps. `points` should be bucketed by row_id, so that joining
     labels to it moves no vectors.
     """
-    centroids = coarse.fit_centroids(points, settings.coarse)
-    blocks = cut_lineage(coarse.assign(points, centroids).select("row_id", "coarse_id"))
+    blocks = cut_lineage(coarse_blocks(points, settings))
     fine = density.density_labels(points.join(blocks, "row_id"), settings.density)
     numbered = cut_lineage(density.global_ids(fine).select("row_id", "cluster_id"))
     merged = merge.merge_clusters(points.join(numbered, "row_id"), settings.merge_threshold)
