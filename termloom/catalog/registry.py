@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["cleaning", "metrics", "vectors", "overlap", "labels", "storage", "reports", "runs"]
+MODULES = ["cleaning", "metrics", "vectors", "overlap", "labels", "storage", "reports", "runs", "job"]
 
 _builders: dict[str, Builder] = {}
 _oracles: dict[str, str] = {}
