@@ -49,8 +49,71 @@ def encoder(path: str, cut: str, names: bool = True) -> Encoder:
     return _encoders[key]
 
 
-class Encoder:
+class ChunkCache:
+    """Ids of texts cut in chunks; `_encoded` gives the ids of chunks not seen before."""
+
+    def __init__(self):
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts = np.zeros(1024, np.int64)
+        self.lengths = np.zeros(1024, np.int64)
+        self.pool = np.zeros(4096, np.uint32)
+        self.used = 0
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def ids_of(self, data: np.ndarray, offsets: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of `data`, cut at the ascending places `edges`, and the offsets of each text's first id."""
+        if not len(edges):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        bounds = np.append(edges, len(data)).astype(np.int64)
+        chunks = pa.LargeStringArray.from_buffers(
+            len(edges), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))
+        ).dictionary_encode()
+        places = self._places(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        lengths = self.lengths[places]
+        ids = self.pool[ragged(self.starts[places], lengths)]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, before[np.searchsorted(edges, offsets)]
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        get = self.known.get
+        places = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        missing = np.flatnonzero(places < 0).tolist()
+        if len(self.known) + len(missing) > CACHE_CHUNKS:
+            # start anew with the chunks of this call, which hold the common ones
+            held = np.flatnonzero(places >= 0)
+            starts, lengths, pool = self.starts[places[held]], self.lengths[places[held]], self.pool
+            self._reset()
+            places[held] = self._add([chunks[i] for i in held.tolist()], lengths, pool[ragged(starts, lengths)])
+        if missing:
+            new = [chunks[i] for i in missing]
+            ids = self._encoded(new)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
+            places[missing] = self._add(new, lengths, flat)
+        return places
+
+    def _add(self, chunks: list[str], lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The places of new chunks, whose ids are `flat`."""
+        first, stop = len(self.known), len(self.known) + len(chunks)
+        self.starts = _grown(self.starts, stop)
+        self.lengths = _grown(self.lengths, stop)
+        self.pool = _grown(self.pool, self.used + len(flat))
+        self.starts[first:stop] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first:stop] = lengths
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.known.update(zip(chunks, range(first, stop)))
+        return np.arange(first, stop)
+
+
+class Encoder(ChunkCache):
     def __init__(self, path: str, cut: str, names: bool = True):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,14 +129,6 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1024, np.int64)
-        self.lengths = np.zeros(1024, np.int64)
-        self.pool = np.zeros(4096, np.uint32)
-        self.used = 0
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's first id."""
@@ -102,40 +157,7 @@ class Encoder:
         kind = _KIND[data]
         cuts[1:-1] |= kind[1:] * kind[:-1] == 2
         edges = np.flatnonzero(cuts[:-1])
-        if not len(edges):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        bounds = np.append(edges, len(data)).astype(np.int64)
-        chunks = pa.LargeStringArray.from_buffers(
-            len(edges), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))
-        ).dictionary_encode()
-        places = self._places(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
-        lengths = self.lengths[places]
-        ids = self.pool[ragged(self.starts[places], lengths)]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, before[np.searchsorted(edges, offsets)]
-
-    def _places(self, chunks: list[str]) -> np.ndarray:
-        if len(self.known) + len(chunks) > CACHE_CHUNKS:
-            self._reset()
-        get = self.known.get
-        places = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        missing = np.flatnonzero(places < 0)
-        if len(missing):
-            ids = self._encoded([chunks[i] for i in missing])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
-            first, stop = len(self.known), len(self.known) + len(ids)
-            self.starts = _grown(self.starts, stop)
-            self.lengths = _grown(self.lengths, stop)
-            self.pool = _grown(self.pool, self.used + len(flat))
-            self.starts[first:stop] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[first:stop] = lengths
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.known.update(zip((chunks[i] for i in missing), range(first, stop)))
-            places[missing] = np.arange(first, stop)
-        return places
-
+        return self.ids_of(data, offsets, edges)
 
     def _encoded(self, chunks: list[str]) -> list[list[int]]:
         plain, tokenize = _PLAIN.fullmatch, self.model.tokenize

@@ -32,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.bpe import encoder
+from termloom.llm.bpe import ChunkCache, encoder
 from termloom.llm.textbytes import pieces, ragged, text_bytes
 from termloom.session import cut_lineage
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 EXPANDED = 4 << 20
 PER_DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -123,8 +124,8 @@ class Pair:
         for entry, i in whole.items():
             entries[i] = bytes(shown[ord(c)] if ord(c) in shown else ord(c) for c in entry)
         self.bytes_a = Vocabulary(entries)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        model = self.b
+        model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.b = PieceEncoder(model)
         self.bytes_b = Vocabulary(
             [
                 bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
@@ -132,11 +133,32 @@ class Pair:
             ]
         )
 
-    def encode_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.b.encode(texts, num_threads=1)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for one in found for i in one), np.int64, int(lengths.sum()))
-        return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+class PieceEncoder(ChunkCache):
+    """Ids of a space and a text by a `sentencepiece` model, which adds that space.
+
+    Where no piece has its space mark behind another character, no piece reaches from one run of spaces with the word behind it
+    into the next, so each such chunk is encoded once per worker. Other models see whole texts.
+    """
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.closed = not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.vocab_size()))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`data`: the bytes of a space and its text, text by text; all ids and the offsets of each text's first id."""
+        cuts = np.zeros(len(data) + 1, bool)
+        cuts[offsets] = True
+        if self.closed:
+            space = data == 32
+            cuts[1:-1] |= space[1:] & ~space[:-1]
+        return self.ids_of(data, offsets, np.flatnonzero(cuts[:-1]))
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        found = self.model.encode([c[1:] for c in chunks], num_threads=1)
+        alone = [self.model.piece_to_id("▁")]
+        return [alone if c == " " and self.closed else ids for c, ids in zip(chunks, found)]
 
 
 class Aligned:
@@ -147,8 +169,8 @@ class Aligned:
         spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string()))
         data, byte_offsets = text_bytes(spaced)
         ids_a, offsets_a = pair.a.encode(spaced)
-        ids_b, offsets_b = pair.encode_b(text.to_pylist())
-        ids_a = ids_a.astype(np.int64)
+        ids_b, offsets_b = pair.b.encode(data, byte_offsets)
+        ids_a, ids_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
         good = np.diff(byte_offsets) > 1
         for ids, offsets, words in ((ids_a, offsets_a, pair.bytes_a), (ids_b, offsets_b, pair.bytes_b)):
             good &= _spell(ids, offsets, words, data, byte_offsets)
@@ -237,7 +259,7 @@ def alignment_links(docs: DataFrame, path_a: str, path_b: str, kind: str = "over
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(path_a, path_b)
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", limit=SLICE_BYTES):
             found = Aligned(piece.column("text"), pair)
             links = found.shared_groups() if kind == "group" else found.overlap()
             a, b, shared = links.rows, links.indices, links.data
@@ -266,7 +288,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BY
         block = TaskContext.get().partitionId() << 32
         waiting: list[tuple] = []
         held = 0
-        for piece in pieces(batches, "text", limit=min(block_bytes, 2 << 20)):
+        for piece in pieces(batches, "text", limit=min(block_bytes, SLICE_BYTES)):
             found = Aligned(piece.column("text"), pair)
             a, b = found.ending_together()
             links = np.searchsorted(a, found.offsets_a)

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
+SMALL_PIECE = 1 << 20  # where many arrays are held per byte
 PIECE_ROWS = 8192
 SHINGLE_WORDS = 5
 
