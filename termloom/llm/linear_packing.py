@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.bpe import encoder
-from termloom.llm.textbytes import pieces, ragged
+from termloom.llm.textbytes import SMALL_PIECE, pieces, ragged
 from termloom.llm.token_files import crc32_of_runs
 from termloom.session import cut_lineage
 
@@ -52,7 +52,7 @@ def cut_tokens(
         coder = encoder(tokenizer, cut)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", limit=SMALL_PIECE):
             ids, offsets = coder.encode(batch.column("text"))
             ids = np.insert(ids, offsets[1:], np.uint32(end_id))
             offsets = offsets + np.arange(len(offsets))

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.textbytes import Words, mix, pieces, prefix_hashes, span_hashes
+from termloom.llm.textbytes import SMALL_PIECE, Words, mix, pieces, prefix_hashes, span_hashes
 from termloom.session import cut_lineage
 
 MAX_ROWS = 40_000
@@ -62,7 +62,7 @@ def with_statistics(rows: DataFrame) -> DataFrame:
     others = [c for c in rows.columns if c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", limit=SMALL_PIECE):
             values = _statistics(piece.column("text"))
             columns = [*(piece.column(c) for c in others), *(pa.array(v) for v in values)]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, *FEATURES])
