@@ -67,26 +67,42 @@ def with_running_total(df: DataFrame, order_col: str, value_col: str, name: str,
     )
 
 
-def exact_median(df: DataFrame, value_col: str, accuracy: int = 10_000) -> DataFrame:
-    """One-row exact median. A quantile sketch brackets the middle; only bracketed values are ordered."""
-    value = F.col(value_col)
-    slack = 4.0 / accuracy
-    bounds = df.select(
-        F.percentile_approx(value, F.lit(0.5 - slack), accuracy).alias("lo"),
-        F.percentile_approx(value, F.lit(0.5 + slack), accuracy).alias("hi"),
-        F.count(value).alias("n"),
-    )
-    bounds = cut_lineage(bounds)
-    lo, hi, n = (bounds.select(c).scalar() for c in ("lo", "hi", "n"))
-    below = df.filter(value < lo).agg(F.count("*")).scalar()
-    bracketed = df.filter(value.between(lo, hi)).groupBy(value.alias("v")).count()
-    upto = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("v"))
-    ranked = bracketed.select("v", "count", (below + upto).alias("last")).withColumn(
-        "first", F.col("last") - F.col("count") + 1
-    )
-    lower, upper = F.floor((n + 1) / 2), F.floor((n + 2) / 2)
+def exact_median(df: DataFrame, value_col: str, borders: int = 256, small: int = 4_096) -> DataFrame:
+    """One-row exact median of the non-null values.
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("v")))
-
-    return ranked.agg(((at(lower) + at(upper)) / 2).alias("median"))
+    Histograms over quantile borders narrow the interval that holds the middle until it has at most `small` distinct
+    values. The driver sees one histogram per round and the values of the last interval.
+    """
+    spark = df.sparkSession
+    values = df.filter(F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("v")).agg(F.count("*").alias("n"))
+    values = cut_lineage(values)
+    facts = values.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct")).first()
+    if not facts["rows"]:
+        return spark.createDataFrame([(None,)], "median double")
+    ranks = [(facts["rows"] + 1) // 2, (facts["rows"] + 2) // 2]
+    part, distinct, below = values, facts["distinct"], 0
+    while distinct > small:
+        shares = [F.lit(i / borders) for i in range(1, borders)]
+        cuts = F.array_distinct(F.percentile_approx("v", F.array(*shares), 10 * borders)).alias("cuts")
+        cuts = part.agg(cuts).first()["cuts"]
+        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v"))).alias("at")
+        histogram = part.groupBy(at).agg(
+            F.sum("n").alias("n"), F.count("*").alias("distinct"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        )
+        before, held = below, []
+        for bucket in histogram.orderBy("at").collect():
+            if any(before < rank <= before + bucket["n"] for rank in ranks):
+                held.append(bucket)
+            elif not held:
+                below = before + bucket["n"]
+            before += bucket["n"]
+        if len(held) == 2:  # the middle is the border of two buckets
+            part = part.filter(F.col("v").isin(held[0]["hi"], held[1]["lo"]))
+            below += held[0]["n"] - part.filter(F.col("v") == held[0]["hi"]).agg(F.sum("n")).first()[0]
+            break
+        part, distinct = part.filter(F.col("v").between(held[0]["lo"], held[0]["hi"])), held[0]["distinct"]
+    middle, last = [], below
+    for v, n in part.orderBy("v").collect():
+        middle += [v for rank in ranks if last < rank <= last + n]
+        last += n
+    return spark.createDataFrame([(float(middle[0] + middle[1]) / 2,)], "median double")

@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.session import cut_lineage
+
 PART_ROWS = 5_000
+# Visitors of a cell part that one task holds; a part visited by more is met in several tasks.
+VISITORS = 10_000
 MATRIX_CELLS = 4_000_000
 # Distances are compared at this many decimals, so that matrices of different shapes agree.
 DECIMALS = 9
@@ -84,9 +88,15 @@ def describe_cells(placed: DataFrame, *facts) -> DataFrame:
 def meet(visits: DataFrame, visitors: DataFrame, placed: DataFrame, match: Callable, schema: str, columns: list[str]) -> DataFrame:
     """`match(visitors, members)` for every cell part that is visited. `visits`: row_id, cell, part; `columns` are carried on
     both sides, those of members end in `_`."""
-    left = visits.join(visitors.select("row_id", *columns), "row_id")
-    right = placed.select(
-        F.col("cell").alias("cell_"), F.col("part").alias("part_"), F.col("row_id").alias("row_id_"), *[F.col(c).alias(f"{c}_") for c in columns]
+    visits = cut_lineage(visits)
+    sizes = visits.groupBy("cell", "part").agg(F.ceil(F.count("*") / VISITORS).alias("pieces"))
+    left = visits.join(F.broadcast(sizes) if _few(sizes) else sizes, ["cell", "part"])
+    left = left.withColumn("piece", F.pmod(F.xxhash64("row_id", F.lit(11)), F.col("pieces"))).drop("pieces")
+    left = left.join(visitors.select("row_id", *columns), "row_id")
+    every = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
+    right = placed.join(sizes, ["cell", "part"]).select(
+        F.col("cell").alias("cell_"), F.col("part").alias("part_"), F.explode(every).alias("piece_"),
+        F.col("row_id").alias("row_id_"), *[F.col(c).alias(f"{c}_") for c in columns],
     )
 
     def run(block: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
@@ -95,4 +105,5 @@ def meet(visits: DataFrame, visitors: DataFrame, placed: DataFrame, match: Calla
         step = max(1, MATRIX_CELLS // len(members))
         return pd.concat([match(block.iloc[i : i + step], members) for i in range(0, len(block), step)])
 
-    return left.groupBy("cell", "part").cogroup(right.groupBy("cell_", "part_")).applyInPandas(run, schema)
+    met = left.groupBy("cell", "part", "piece").cogroup(right.groupBy("cell_", "part_", "piece_"))
+    return met.applyInPandas(run, schema)

@@ -1,8 +1,8 @@
 """Nearest-centroid search and thresholded similarity pairs as distributed block products.
 
-A side is broadcast only when its counted size fits the budget. Beyond it both sides are cut into blocks of
-bounded bytes and matched block against block; each task emits one best match per row, or only the pairs that
-reach the threshold.
+A side is broadcast only when its counted size fits the budget. Beyond it vectors are dealt to metric cells
+(metric_cells) and matched only with cells that the triangle inequality leaves open; each task emits one best match
+per row, or only the pairs that reach the threshold. On vectors without structure few cells are left out.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.vectors import norm, unit
+from termloom.operators.metric_cells import against_pivots, deal_cells, describe_cells, gaps_between, matrix_of, meet
 from termloom.session import BROADCAST_BYTES, cut_lineage
 
 BLOCK_BYTES = 32 << 20
-CENTROID_BLOCK_BYTES = 256 << 20
 SCORE_CELLS = 1 << 22
-PIVOTS = 64
+TIE_DECIMALS = 12
+# Distances of nearly equal vectors are off by less than this.
+REACH_SLACK = 1e-6
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -71,7 +74,7 @@ def nearest_centroid(
     if n == 0:
         return points.select(id_col, F.lit(0).cast("long").alias("cluster_id"), F.lit(0.0).alias("score")).limit(0)
     if n * dim * 8 > budget:
-        return _nearest_in_blocks(points, centroids, id_col, metric, n, dim, schema, budget)
+        return _nearest_in_cells(points, centroids, id_col, metric, n, dim, schema, budget)
 
     listed = centroids.orderBy("cluster_id").select("cluster_id", "centroid").toPandas()
     side = points.sparkSession.sparkContext.broadcast(
@@ -88,29 +91,55 @@ def nearest_centroid(
     return points.mapInPandas(score, schema)
 
 
-def _nearest_in_blocks(points, centroids, id_col, metric, n, dim, schema, budget) -> DataFrame:
-    blocks = math.ceil(n * dim * 8 / max(dim * 8, min(CENTROID_BLOCK_BYTES, budget)))
-    parts = max(1, math.ceil(points.count() * dim * 8 / BLOCK_BYTES))
-    left = points.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-    )
-    right = (
-        centroids.select(F.col("cluster_id").cast("long").alias("cluster_id"), "centroid")
-        .withColumn("block", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+def _unit_points(df: DataFrame, id_col: str, vec_col: str, scaled: bool = True) -> DataFrame:
+    vec = F.col(vec_col).cast("array<double>")
+    return df.select(
+        F.lit(0).cast("long").alias("coarse_id"),
+        F.col(id_col).cast("long").alias("row_id"),
+        (unit(vec) if scaled else vec).alias("vec"),
     )
 
-    def score(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(block):
-            return pd.DataFrame({id_col: [], "cluster_id": [], "score": []})
-        block = block.sort_values("cluster_id")
-        best, value = _best_matches(
-            _matrix(rows["vec"]), block["cluster_id"].to_numpy(), _matrix(block["centroid"]), metric
+
+def _in_cells(points: DataFrame, n: int, dim: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Points with their cells and the cells' facts. Cells hold about sqrt(n) points, and no part exceeds the block budget."""
+    per_cell = max(1, min(math.isqrt(n) + 1, min(BLOCK_BYTES, budget) // max(1, 2 * dim * 8)))
+    points = cut_lineage(points)
+    placed = cut_lineage(points.join(deal_cells(points, per_cell), "row_id"))
+    return placed, cut_lineage(describe_cells(placed))
+
+
+def _nearest_in_cells(points, centroids, id_col, metric, n, dim, schema, budget) -> DataFrame:
+    """A point is compared only with the cells of centroids that can hold one nearer than the nearest pivot."""
+    cosine = metric == "cosine"
+    targets = cut_lineage(_unit_points(centroids, "cluster_id", "centroid", cosine))
+    rows = cut_lineage(_unit_points(points, id_col, "vec", cosine))
+    zero = None
+    if cosine:  # the angle to a zero vector is not a distance, but its cosine is always 0
+        empty = norm(F.col("vec")) == 0
+        zero = targets.filter(empty).agg(F.min("row_id")).first()[0]
+        targets = targets.filter(~empty)
+    placed, cells = _in_cells(targets, n, dim, budget)
+
+    def open_cells(block: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        gaps = gaps_between(matrix_of(block["vec"]), matrix_of(centres["pivot_"]))
+        least = gaps - centres["radius_"].to_numpy()[None, :]
+        row, cell = np.nonzero(least <= gaps.min(axis=1)[:, None] + REACH_SLACK)
+        return pd.DataFrame(
+            {"row_id": block["row_id"].to_numpy()[row], "cell": centres["cell_"].to_numpy()[cell], "part": centres["part_"].to_numpy()[cell]}
         )
-        return pd.DataFrame({id_col: rows[id_col], "cluster_id": best, "score": value})
 
-    scored = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(score, schema)
-    order = F.col("score") if metric == "cosine" else -F.col("score")
+    def best_member(block: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values("row_id_")
+        best, value = _best_matches(matrix_of(block["vec"]), members["row_id_"].to_numpy(), matrix_of(members["vec_"]), metric)
+        return pd.DataFrame({id_col: block["row_id"], "cluster_id": best, "score": value})
+
+    visits = against_pivots(rows, cells, open_cells, "row_id long, cell long, part long")
+    scored = meet(visits, rows, placed, best_member, schema, ["vec"])
+    if zero is not None:
+        scored = scored.unionByName(
+            rows.select(F.col("row_id").alias(id_col), F.lit(zero).alias("cluster_id"), F.lit(0.0).alias("score"))
+        )
+    order = F.round("score", TIE_DECIMALS) if cosine else -F.round("score", TIE_DECIMALS)
     best = F.max_by(F.struct("cluster_id", "score"), F.struct(order, -F.col("cluster_id")))
     return scored.groupBy(id_col).agg(best.alias("best")).select(id_col, "best.*")
 
@@ -118,14 +147,14 @@ def _nearest_in_blocks(points, centroids, id_col, metric, n, dim, schema, budget
 def similar_pairs(vectors: DataFrame, threshold: float, budget: int = BROADCAST_BYTES) -> DataFrame:
     """(id_a, id_b, similarity) for all id_a < id_b whose cosine reaches `threshold`.
 
-    `vectors` has cluster_id and centroid. Past the broadcast budget, vectors are grouped around pivots and a
-    pair of groups is compared only when the angle between pivots, less both group radii, allows the threshold.
+    `vectors` has cluster_id and centroid. Past the broadcast budget, vectors are dealt to metric cells whose number
+    follows n, and a vector is compared only with the cells that can hold one similar enough.
     """
     n, dim = _shape(vectors, "centroid")
     vectors = vectors.select(F.col("cluster_id").cast("long").alias("cluster_id"), "centroid")
     schema = "id_a long, id_b long, similarity double"
     if n * dim * 8 > budget:
-        return _pairs_in_blocks(vectors, threshold, dim, schema, budget)
+        return _pairs_in_cells(vectors, threshold, n, dim, schema, budget)
     if n == 0:
         return vectors.sparkSession.createDataFrame([], schema)
 
@@ -148,71 +177,33 @@ def similar_pairs(vectors: DataFrame, threshold: float, budget: int = BROADCAST_
     return vectors.repartition("cluster_id").mapInPandas(match, schema)
 
 
-def _pairs_in_blocks(vectors: DataFrame, threshold: float, dim: int, schema: str, budget: int) -> DataFrame:
-    spark = vectors.sparkSession
-    pivots = cut_lineage(
-        vectors.orderBy(F.xxhash64("cluster_id")).limit(PIVOTS).select("cluster_id", "centroid")
-    )
-    cells = _cells(vectors, pivots)
-    rows_per_block = max(1, min(BLOCK_BYTES, budget) // (dim * 8))
-    facts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("score").alias("least")).collect()
-    centers = {r["cluster_id"]: np.asarray(r["centroid"], dtype=float) for r in pivots.collect()}
-    radius = {r["cell"]: math.acos(max(-1.0, min(1.0, r["least"]))) for r in facts}
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    allowed = []
-    for p in radius:
-        for q in radius:
-            u, v = centers[p], centers[q]
-            lengths = np.linalg.norm(u) * np.linalg.norm(v)
-            angle = math.acos(max(-1.0, min(1.0, float(u @ v / lengths)))) if p != q and lengths > 0 else 0.0
-            if p <= q and (lengths == 0 or angle - radius[p] - radius[q] <= reach):
-                allowed.append((p, q))
-    cell_pairs = spark.createDataFrame(allowed, "cell long, other long")
-    block_counts = spark.createDataFrame(
-        [(r["cell"], math.ceil(r["n"] / rows_per_block)) for r in facts], "cell long, blocks long"
-    )
-    blocked = cells.join(F.broadcast(block_counts), "cell").select(
-        "cluster_id", "centroid", "cell", F.pmod(F.xxhash64("cluster_id"), F.col("blocks")).alias("block")
-    )
-    numbers = block_counts.select(
-        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    )
-    tasks = (
-        numbers.join(cell_pairs, "cell")
-        .join(numbers.select(F.col("cell").alias("other"), F.col("block").alias("other_block")), "other")
-        .filter("cell < other or block <= other_block")
-    )
-    key = ["cell", "block", "other", "other_block"]
-    left = blocked.join(tasks, ["cell", "block"])
-    right = blocked.select(
-        "cluster_id", "centroid", F.col("cell").alias("other"), F.col("block").alias("other_block")
-    ).join(tasks, ["other", "other_block"])
-
-    def match(key: tuple, a_rows: pd.DataFrame, b_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(a_rows) or not len(b_rows):
-            return pd.DataFrame({"id_a": [], "id_b": [], "similarity": []})
-        a_ids, b_ids = a_rows["cluster_id"].to_numpy(), b_rows["cluster_id_"].to_numpy()
-        scores = _unit_rows(_matrix(a_rows["centroid"])) @ _unit_rows(_matrix(b_rows["centroid_"])).T
+def _pairs_in_cells(vectors: DataFrame, threshold: float, n: int, dim: int, schema: str, budget: int) -> DataFrame:
+    """Unit vectors reach the threshold when they are at most sqrt(2 - 2 threshold) apart, so a vector visits the cells whose
+    radius lets a member be that near. Of two parts only the members of the earlier one visit."""
+    placed, cells = _in_cells(_unit_points(vectors, "cluster_id", "centroid"), n, dim, budget)
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + REACH_SLACK
+
+    def open_cells(block: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        gaps = gaps_between(matrix_of(block["vec"]), matrix_of(centres["pivot_"]))
+        cell, part = block["cell"].to_numpy()[:, None], block["part"].to_numpy()[:, None]
+        other, other_part = centres["cell_"].to_numpy()[None, :], centres["part_"].to_numpy()[None, :]
+        later = (cell < other) | ((cell == other) & (part <= other_part))
+        row, at = np.nonzero((gaps - centres["radius_"].to_numpy()[None, :] <= reach) & later)
+        return pd.DataFrame(
+            {"row_id": block["row_id"].to_numpy()[row], "cell": other[0][at], "part": other_part[0][at]}
+        )
+
+    def match(block: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        a_ids, b_ids = block["row_id"].to_numpy(), members["row_id_"].to_numpy()
+        scores = matrix_of(block["vec"]) @ matrix_of(members["vec_"]).T
         keep = scores >= threshold
-        if key[:2] == key[2:]:
-            keep &= a_ids[:, None] < b_ids[None, :]
+        own = (block["own_cell"].to_numpy() == members["cell_"].iloc[0]) & (block["own_part"].to_numpy() == members["part_"].iloc[0])
+        keep &= ~own[:, None] | (a_ids[:, None] < b_ids[None, :])
         i, j = np.nonzero(keep)
         low, high = np.minimum(a_ids[i], b_ids[j]), np.maximum(a_ids[i], b_ids[j])
         return pd.DataFrame({"id_a": low, "id_b": high, "similarity": scores[i, j]})
 
-    return (
-        left.select("cluster_id", "centroid", *key)
-        .groupBy(*key)
-        .cogroup(right.select(*[F.col(c).alias(f"{c}_") for c in ("cluster_id", "centroid", *key)]).groupBy(
-            *[f"{c}_" for c in key]
-        ))
-        .applyInPandas(match, schema)
-    )
-
-
-def _cells(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Each vector with the pivot closest by angle and their cosine."""
-    found = nearest_centroid(
-        vectors.select(F.col("cluster_id").alias("member"), F.col("centroid").alias("vec")), pivots, "member"
-    ).select(F.col("member").alias("cluster_id"), F.col("cluster_id").alias("cell"), "score")
-    return cut_lineage(vectors.join(found, "cluster_id").select("cluster_id", "centroid", "cell", "score"))
+    visits = against_pivots(placed, cells, open_cells, "row_id long, cell long, part long")
+    visitors = placed.withColumnsRenamed({"cell": "own_cell", "part": "own_part"})
+    members = placed.withColumns({"own_cell": F.col("cell"), "own_part": F.col("part")})
+    return meet(visits, visitors, members, match, schema, ["vec", "own_cell", "own_part"])

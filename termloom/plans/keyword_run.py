@@ -14,7 +14,7 @@ from termloom.operators.dedup import keep_best
 from termloom.operators.embed import Provider, align_vectors, embed_texts, hashed_ngrams
 from termloom.operators.label_choice import choose_labels
 from termloom.operators.validate import ValidationRules, split_valid
-from termloom.session import cut_lineage, store_bucketed
+from termloom.session import cut_lineage, drop_bucketed, store_bucketed
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,9 @@ def run(
     reassigned = outliers.reassign_outliers(labelled, settings.outlier_threshold, settings.aggressive)
     final = cut_lineage(outliers.apply_reassignment(first, reassigned))
     members = cut_lineage(keywords.join(final, "row_id"))
-    quality = cluster_info(points.join(final, "row_id"), validations).select("cluster_id", "quality_score")
+    info = cluster_info(points.join(final, "row_id"), validations)
+    quality = cut_lineage(info.select("cluster_id", "quality_score"))
+    drop_bucketed(points)
 
     analyses = cut_lineage(labels.analyze_clusters(members, list(settings.brands)))
     choices = labels.label_candidates(analyses)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
 
@@ -64,14 +65,32 @@ def drop_steps(*steps: DataFrame) -> None:
         hadoop.getFileSystem(step.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
 
-def store_bucketed(df: DataFrame, key: str) -> DataFrame:
+BUCKET_BYTES = 128 << 20
+MOST_BUCKETS = 100_000
+
+
+def store_bucketed(df: DataFrame, key: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write `df` bucketed by `key` into the shared folder and return the table.
 
-    Joins of other tables on `key` then shuffle only the other side.
+    Joins of other tables on `key` then shuffle only the other side. The number of buckets follows the counted bytes, but
+    there are enough of them for the cores at hand. `drop_bucketed` removes the table.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    elements = [F.coalesce(F.size(c), F.lit(0)) * 8 for c, kind in df.dtypes if kind.startswith("array")]
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = sum([*elements, *texts], F.lit(8 * len(df.columns))).cast("long")
+    counted = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-counted // bucket_bytes)))
     name = f"stored_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
-    writer.option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    writer.option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.table_name, table.step_path = name, path
+    return table
+
+
+def drop_bucketed(table: DataFrame) -> None:
+    """Remove a table of `store_bucketed` from the catalog and its files. Nothing may read it any more."""
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.table_name}")
+    drop_steps(table)

@@ -1,9 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from termloom import session
+from termloom.functions import ordering
 from termloom.functions.ordering import exact_median, with_row_index, with_running_total
-from termloom.operators import coarse, density, merge, outliers
+from termloom.operators import coarse, density, merge, outliers, similarity
 from termloom.operators.projection import project_2d
 from termloom.operators.similarity import nearest_centroid, similar_pairs
 
@@ -149,6 +152,61 @@ def test_nearest_and_pairs_equal_brute_force(spark):
     assert nearest_centroid(points, empty).count() == 0 and similar_pairs(empty, 0.5).count() == 0
 
 
+def test_cells_leave_out_far_vectors(spark, monkeypatch):
+    """Blobs of 60 vectors: results equal brute force, and few of all possible copies and comparisons are made."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    cents = (centres[:, None] + 0.02 * rng.normal(size=(20, 60, 16))).reshape(-1, 16)
+    cents[7], cents[300], cents[301] = cents[450], 0, 0
+    rows = centres[rng.integers(0, 20, 500)] + 0.02 * rng.normal(size=(500, 16))
+    rows[3], rows[4] = 0, cents[7]
+    seen = {}
+    original = similarity.against_pivots
+
+    def counting(points, pivots, match, schema):
+        found = original(points, pivots, match, schema)
+        seen["visits"], seen["cells"], seen["points"] = found.count(), pivots.count(), points.count()
+        return found
+
+    monkeypatch.setattr(similarity, "against_pivots", counting)
+    centroids = frame(spark, cents).select(F.col("row_id").alias("cluster_id"), F.col("vec").alias("centroid"))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    close = unit(cents) @ unit(cents).T
+    pairs = {(r["id_a"], r["id_b"]): r["similarity"] for r in similar_pairs(centroids, 0.9, budget=20_000).collect()}
+    assert set(pairs) == {(i, j) for i, j in zip(*np.nonzero(np.triu(close >= 0.9, 1)))}
+    assert all(abs(close[p] - s) < 1e-9 for p, s in pairs.items())
+    assert seen["visits"] < 0.2 * seen["points"] * seen["cells"] / 2
+    got = {r["row_id"]: (r["cluster_id"], r["score"]) for r in nearest_centroid(frame(spark, rows), centroids, budget=20_000).collect()}
+    sims = np.round(unit(rows) @ unit(cents).T, 12)
+    assert {i: g[0] for i, g in got.items()} == {i: int(np.argmax(s)) for i, s in enumerate(sims)}
+    assert np.allclose([got[i][1] for i in range(500)], sims.max(axis=1))
+    assert seen["visits"] < 0.2 * seen["points"] * seen["cells"]
+    opposite = frame(spark, -rows[5:6])
+    assert [(r["cluster_id"], r["score"]) for r in nearest_centroid(opposite, centroids.filter("cluster_id in (300, 301)"), budget=1).collect()] == [(300, 0)]
+
+
+def test_median_by_histograms(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.permutation(20_001), rng.permutation(20_000), np.repeat([5, 9], 6_000), np.r_[np.zeros(9_000), rng.normal(size=9_000)],
+                   rng.lognormal(0, 40, 15_000), np.r_[[7] * 3], np.r_[1, 2, 1e300, -1e300]):
+        df = spark.createDataFrame(pd.DataFrame({"v": values.astype(float)})).unionByName(spark.sql("select cast(null as double) v"))
+        assert ordering.exact_median(df, "v", borders=40, small=30).first()[0] == np.median(values)
+    assert ordering.exact_median(df.limit(0), "v").first()[0] is None
+    million = spark.range(1_000_000).selectExpr("(id * 7919) % 1000003 as v")
+    asked = million.agg(F.median("v")).first()[0]
+    assert ordering.exact_median(million, "v").first()[0] == asked
+
+
+def test_buckets_follow_bytes_and_go(spark):
+    rows = spark.range(1000).selectExpr("id as row_id", "array_repeat(1.5D, 100) as vec")
+    table = session.store_bucketed(rows, "row_id", bucket_bytes=50_000)
+    shown = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe extended {table.table_name}").collect()}
+    assert shown["Num Buckets"] == "17" and table.count() == 1000
+    session.drop_bucketed(table)
+    assert not spark.catalog.tableExists(table.table_name)
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(9)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)]
