@@ -35,6 +35,11 @@ def _read_members(members: DataFrame, limit: int | None) -> DataFrame:
     return first_members(members, limit) if limit else clustered(members).withColumn("position", F.col("row_id"))
 
 
+def _place() -> Column:
+    """`position` and `pos` as one number: a minimum of structs would sort every row before it aggregates."""
+    return F.col("position").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("pos")
+
+
 def themes(members: DataFrame, limit: int | None = None) -> DataFrame:
     """(cluster_id, theme) from the two most frequent words of all members, ties to the earliest word.
 
@@ -42,14 +47,15 @@ def themes(members: DataFrame, limit: int | None = None) -> DataFrame:
 
     Clusters without a countable word are absent.
     """
-    tokens = F.regexp_extract_all(F.lower("keyword"), F.lit(f"({WORD}+)"), F.lit(1))
+    whole = F.lit(f"(?<!{WORD})([a-z]{{3,}}+)(?!{WORD})")
+    tokens = F.regexp_extract_all(F.lower("keyword"), whole, F.lit(1))
     spread = _read_members(members, limit).select(
         "cluster_id", "position", F.posexplode(tokens).alias("pos", "word")
     )
     counted = (
-        spread.filter(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(STOP_WORDS))
+        spread.filter(~F.col("word").isin(STOP_WORDS))
         .groupBy("cluster_id", "word")
-        .agg(F.count("*").alias("n"), F.min(F.struct("position", "pos")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(_place()).alias("first"))
     )
     order = Window.partitionBy("cluster_id").orderBy(F.desc("n"), "first")
     best = counted.withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
@@ -76,9 +82,9 @@ def common_phrases(members: DataFrame, limit: int | None = None) -> DataFrame:
         .select("cluster_id", "position", F.posexplode(F.concat(grams(2), grams(3))).alias("pos", "phrase"))
     )
     counted = spread.groupBy("cluster_id", "phrase").agg(
-        F.count("*").alias("n"), F.min(F.struct("position", "pos")).alias("first")
+        F.count("*").alias("n"), F.min(_place()).alias("first")
     )
-    negated = F.struct("n", -F.col("first.position"), -F.col("first.pos"))
+    negated = F.struct("n", -F.col("first"))
     best = counted.groupBy("cluster_id").agg(F.max_by("phrase", negated).alias("phrase"), F.max("n").alias("n"))
     return best.filter(F.col("n") >= PHRASE_MINIMUM).select("cluster_id", "phrase")
 
