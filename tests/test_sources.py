@@ -44,6 +44,36 @@ def test_job_tables_delete_and_reinsert(spark, tmp_path):
     assert tables.read("keywords").count() == 1
 
 
+def test_update_that_fails_is_never_seen(spark, tmp_path, monkeypatch):
+    """Rows of an update count only once its version is listed; until then reads give the rows before."""
+    tables = JobTables(spark, str(tmp_path / "old"))
+    rows = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "row_id long, keyword string, search_volume long")
+    tables.insert_keywords("a", rows)
+    tables.insert_keywords("b", rows)
+    change = spark.createDataFrame([("x", 9)], "keyword string, search_volume long")
+    original = tables._write
+
+    def lost(name, df):
+        if name == "commits":
+            raise RuntimeError("driver lost")
+        original(name, df)
+
+    def volumes(of, job):
+        return sorted((r.keyword, r.search_volume) for r in of.keywords(job).collect())
+
+    monkeypatch.setattr(tables, "_write", lost)
+    with pytest.raises(RuntimeError):
+        tables.update_keywords("a", change)
+    monkeypatch.undo()
+    assert volumes(tables, "a") == volumes(tables, "b") == [("x", 5), ("y", 6)]
+    tables.update_keywords("a", change)
+    tables.insert_keywords("a", rows.limit(1).selectExpr("3L as row_id", "'z' as keyword", "1L as search_volume"))
+    assert volumes(tables, "a") == [("x", 9), ("y", 6), ("z", 1)] and volumes(tables, "b") == [("x", 5), ("y", 6)]
+    tables.compact("keywords", str(tmp_path / "new"))
+    new = JobTables(spark, str(tmp_path / "new"))
+    assert volumes(new, "a") == [("x", 9), ("y", 6), ("z", 1)] and new._stored("keywords").count() == 5
+
+
 def test_delimiter_of_all_lines(spark):
     def found(*lines):
         return detect_delimiter(spark.createDataFrame([(x,) for x in lines], "value string"))
