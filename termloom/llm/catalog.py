@@ -59,15 +59,20 @@ def _remainder(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document is kept from learning; one without an id always is."""
+    return F.coalesce(_remainder(modulus) == remainder, F.lit(True))
+
+
 QUALITY_THRESHOLD = 0.3
 
 
 def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt = _table(spark, sf_dir, "labels").filter(_remainder(5) != 0)
+    learnt = _table(spark, sf_dir, "labels").filter(~_held_out(5, 0))
     scored = score_documents(_table(spark, sf_dir, "documents"), learnt)
     return scored.select(
         "doc_id",
-        (_remainder(5) == 0).alias("held_out"),
+        _held_out(5, 0).alias("held_out"),
         "score",
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
     )
@@ -89,9 +94,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    profiles = language_profiles(docs.filter(_remainder(4) != 2))
+    profiles = language_profiles(docs.filter(~_held_out(4, 2)))
     return predict_languages(docs, profiles).select(
-        "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score"
+        "doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score"
     )
 
 

@@ -8,7 +8,8 @@ an n-gram that the language lacks costs the profile length. The nearest language
 Language counts are sums over all training rows: each task adds up its own rows, Spark adds up the tasks.
 
 Defined cases: text null or without a letter: `und`, score 0; training rows with null language or text teach nothing;
-without any training row every prediction is `und`. Repeated rows count and are predicted each.
+without any training row every prediction is `und`. Repeated rows count and are predicted each. Grams of equal
+frequency are placed by their code, in documents as in languages.
 """
 
 from __future__ import annotations
@@ -104,7 +105,9 @@ def language_profiles(rows: DataFrame, size: int = LANGUAGE_GRAMS) -> DataFrame:
     columns = rows.filter("lang is not null and text is not null").select("lang", "text")
     counts = columns.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("place", place - 1).filter(F.col("place") < size).select("lang", "gram", "place")
+    # the filter is on the bare row number, so that each task passes on at most `size` grams of a language
+    ranked = counts.withColumn("place", place).filter(F.col("place") <= size)
+    return ranked.select("lang", "gram", (F.col("place") - 1).alias("place"))
 
 
 def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -156,13 +159,7 @@ def _nearest(texts: list[str], names: list[str], known: np.ndarray, places: np.n
         return best, score
     row, gram, n = _grams([t.lower() for t in texts], np.arange(rows))
     starts = np.searchsorted(row, np.arange(rows + 1))
-    # order by row, falling count, rising gram, as one integer per gram
-    index = np.arange(len(row)) - starts[row]
-    by_gram = np.lexsort((gram, row))
-    order_in_row = np.empty(len(row), np.int64)
-    order_in_row[by_gram] = index
-    packed = (row << np.int64(46)) | ((np.int64(1 << 24) - np.minimum(n, (1 << 24) - 1)) << np.int64(21)) | order_in_row
-    order = np.argsort(packed, kind="stable")
+    order = np.lexsort((gram, -n, row))
     place = np.arange(len(row)) - starts[row[order]]
     top = place < document_size
     order, place = order[top], place[top]

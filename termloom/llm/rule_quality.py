@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.textbytes import SMALL_PIECE, Words, mix, pieces, prefix_hashes, span_hashes
+from termloom.llm.textbytes import SMALL_PIECE, Words, by_name, mix, pieces, prefix_hashes, span_hashes
 from termloom.session import cut_lineage
 
 MAX_ROWS = 40_000
@@ -238,6 +238,6 @@ def keep_quality(
     Texts are read twice and never shuffled: labels join the statistics.
     """
     intercept, rules = fit_rules(training_rows(text_statistics(docs), labels, label, max_rows))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(F.struct(*by_name(docs.columns)).alias("_row"), F.col("text").cast("string").alias("text"))
     scored = with_statistics(packed)
     return scored.filter(score_column(intercept, rules) >= threshold).select("_row.*")

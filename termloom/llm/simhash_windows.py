@@ -267,6 +267,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, similarity: float = SI
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs`, all columns, whose text holds no item. One pass per block of items, no shuffle."""
     context = docs.sparkSession.sparkContext
+    names = docs.columns
+    # Spark passes columns to Python by name and cannot do so if a name holds a dot
+    docs = docs.toDF(*[name if name == "text" else f"_{k}" for k, name in enumerate(names)])
     for block in item_blocks(items, similarity, radius):
         shared = context.broadcast(block)
 
@@ -277,4 +280,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
                 yield piece.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*names)

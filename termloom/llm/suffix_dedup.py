@@ -8,18 +8,20 @@ input. Matches never cross documents. The work is spread by content, so that no
    windows with one anchor are one occurrence; the bytes they cover are its context.
 2. Equal contexts around equal anchors: all occurrences but the first are removed. Tasks resolve their own repeats first, so a
    context reaches the shuffle at most once per chunk of a task, however many copies there are. An anchor with very many
-   different contexts in a chunk is not gathered by anchor at all (step 4).
+   different contexts in a chunk is not gathered by anchor at all (step 4). Contexts are told apart by 64-bit hashes, and
+   collisions are found: inside a chunk the bytes of each removed range are compared with those of its first occurrence, and
+   between chunks the SHA-256 of both. If any pair differs, the whole search starts again with other hashes.
 3. Different contexts around one anchor: a suffix sort of the contexts from the anchor on. Prefix polynomial hashes and binary
    search give the length of two suffixes' common part, so a comparison takes a logarithmic number of steps; mergesort
    orders them, and neighbours' common lengths split the order into runs that agree on what a window holds after its anchor.
-   Within a run, hashes of the bytes before the anchor tell equal windows. Every match is verified byte by byte.
+   Within a run, hashes of the bytes before the anchor tell equal windows. These matches are verified byte by byte.
 4. Anchors with more than `MOST_CONTEXTS` contexts: their windows become rows and an aggregation by the window's bytes finds
    the first of each, with partial aggregation before the shuffle.
 5. The removed ranges meet their texts by document.
 
 Defined cases: null and empty texts have no bytes; texts shorter than a window lose nothing; documents with equal or null ids
-are put in order of id (null first) and then of text, and the later of two equal rows is a repeat; an empty table gives no
-rows.
+are put in order of id (null first) and then of a hash of the text, and the later of two equal rows is a repeat; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.textbytes import BASE_INVERSE, mix, pieces, powers, prefix_hashes, ragged, span_hashes, text_bytes
-from termloom.session import cut_lineage
+from termloom.llm.textbytes import BASE_INVERSE, by_name, mix, pieces, powers, prefix_hashes, ragged, span_hashes, text_bytes
+from termloom.session import cut_lineage, drop_steps
 
 WINDOW = 100
 GRAM = 24
@@ -41,14 +43,17 @@ CHUNK_BYTES = 48 << 20
 CHUNK_CONTEXTS = 512
 MOST_CONTEXTS = 4096
 PARTS_PER_PARTITION = 6
+PART_BYTES = 16 << 20
+CONTEXT_BITS = 64
 
-REMOVED, COMPARE, SPREAD, MARK = 0, 1, 2, 3
+REMOVED, COMPARE, SPREAD, MARK, CLASH, VERIFY = 0, 1, 2, 3, 4, 5
 POSITION_BITS = 24
 
 ENTRY = np.dtype(
     [("key", "<u8"), ("context", "<u8"), ("place", "<i8"), ("low", "<i8"), ("n", "<i2"), ("at", "<i2"), ("kind", "<i2")]
 )
 FOUND = "kind int, key long, place long, low long, n int, at int"
+SOURCE = ", first long, first_low long"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -73,12 +78,21 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def occurrences(column: pa.Array) -> np.ndarray:
+def _letters(seed: int) -> np.ndarray:
+    """What each byte counts as in the hashes of one search."""
+    if seed == 0:
+        return np.arange(256, dtype=np.uint64)
+    return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def occurrences(column: pa.Array, seed: int = 0, context_bits: int = CONTEXT_BITS) -> np.ndarray:
     """Entries of all anchors of a column of texts, `place` holding the row.
 
-    A text longer than 2 ** POSITION_BITS bytes is cut into overlapping stretches, which share no window start.
+    `seed` picks the hashes; `context_bits` of the contexts' hashes are used. A text longer than 2 ** POSITION_BITS bytes is
+    cut into overlapping stretches, which share no window start.
     """
     data, offsets = text_bytes(column)
+    letters = _letters(seed)
     out, step = [], (1 << POSITION_BITS) - WINDOW
     # group whole rows, or stretches of one very long row, below the position limit
     begin = 0
@@ -86,17 +100,21 @@ def occurrences(column: pa.Array) -> np.ndarray:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + step, side="right")) - 1)
         for low in range(int(offsets[begin]), max(int(offsets[end]) - WINDOW + 1, int(offsets[begin])), step):
             high = min(int(offsets[end]), low + step + WINDOW - 1)
-            out.append(_stretch(data, offsets[begin : end + 1], begin, low, high))
+            out.append(_stretch(data, offsets[begin : end + 1], begin, low, high, letters))
         begin = end
-    return np.concatenate(out) if out else np.zeros(0, ENTRY)
+    entries = np.concatenate(out) if out else np.zeros(0, ENTRY)
+    entries["context"] >>= np.uint64(64 - context_bits)
+    return entries
 
 
-def _stretch(data: np.ndarray, offsets: np.ndarray, first_row: int, low: int, high: int) -> np.ndarray:
+def _stretch(
+    data: np.ndarray, offsets: np.ndarray, first_row: int, low: int, high: int, letters: np.ndarray
+) -> np.ndarray:
     """Entries of the windows inside data[low:high]."""
     part = data[low:high]
     if len(part) < WINDOW:
         return np.zeros(0, ENTRY)
-    prefix = prefix_hashes(part)
+    prefix = prefix_hashes(letters[part])
     grams = len(part) - GRAM + 1
     hashes = (prefix[GRAM:] - prefix[:-GRAM]) * powers(BASE_INVERSE, len(prefix))[:grams]
     position = np.uint64((1 << POSITION_BITS) - 1)
@@ -123,11 +141,44 @@ def _stretch(data: np.ndarray, offsets: np.ndarray, first_row: int, low: int, hi
 
 
 def _firsts(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted entries, and which of them come first among those of equal key and context."""
-    entries = entries[np.lexsort((entries["low"], entries["place"], entries["context"], entries["key"]))]
+    """Order of the entries by key, context and place, and for each in this order the first one of its key and context."""
+    order = np.lexsort((entries["low"], entries["place"], entries["context"], entries["key"]))
+    entries = entries[order]
     first = np.ones(len(entries), bool)
     first[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["context"][1:] != entries["context"][:-1])
-    return entries, first
+    return order, np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+
+
+def _copied(later: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in which occurrences and their sources go on side by side: the entry each begins with, and its starts."""
+    if not len(later):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((later["low"], later["place"]))
+    later, source = later[order], source[order]
+    stop = later["low"] + later["n"]
+    shift = later["low"] - source["low"]
+    new = np.ones(len(later), bool)
+    new[1:] = (later["place"][1:] != later["place"][:-1]) | (source["place"][1:] != source["place"][:-1])
+    new[1:] |= (shift[1:] != shift[:-1]) | (later["low"][1:] != stop[:-1])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(later)) - 1
+    return order[begin], stop[end] - later["low"][begin]
+
+
+def _same_shape(one: np.ndarray, other: np.ndarray) -> bool:
+    return bool(((one["n"] == other["n"]) & (one["at"] == other["at"])).all())
+
+
+def _same_bytes(entries: np.ndarray, source: np.ndarray, text_at: np.ndarray, raw: bytearray) -> bool:
+    """Whether each entry's context equals the bytes of its source, texts beginning at `text_at` of `raw`."""
+    later = np.flatnonzero(source != np.arange(len(source)))
+    one, other = entries[later], entries[source[later]]
+    if not _same_shape(one, other):
+        return False
+    at, n = _copied(one, other)
+    a = (text_at[later[at]] + one["low"][at]).tolist()
+    b = (text_at[source[later[at]]] + other["low"][at]).tolist()
+    return all(raw[x : x + size] == raw[y : y + size] for x, y, size in zip(a, b, (n + WINDOW - 1).tolist()))
 
 
 def _contexts_per_key(entries: np.ndarray) -> np.ndarray:
@@ -156,38 +207,46 @@ def _merged(entries: np.ndarray) -> np.ndarray:
     return out
 
 
-def find_occurrences(docs: DataFrame, parts: int, chunk_contexts: int = CHUNK_CONTEXTS) -> DataFrame:
+def find_occurrences(
+    docs: DataFrame, parts: int, chunk_contexts: int = CHUNK_CONTEXTS, seed: int = 0, context_bits: int = CONTEXT_BITS
+) -> DataFrame:
     """(part, entries): packed entries of every chunk of texts, split by anchor; what a chunk can decide is decided.
 
     An anchor with more than `chunk_contexts` contexts in a chunk leaves a mark in place of these, so that the contexts of
-    other chunks join them.
+    other chunks join them. A chunk whose equal hashes do not mean equal bytes says so.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, texts, raw = [], [], bytearray()
         for piece in pieces(batches, "text"):
-            entries = occurrences(piece.column("text"))
+            entries = occurrences(piece.column("text"), seed, context_bits)
+            data, offsets = text_bytes(piece.column("text"))
+            texts.append(offsets[entries["place"]] + len(raw))
+            raw += data.tobytes()
             entries["place"] = piece.column("place").to_numpy()[entries["place"]]
             held.append(entries)
-            size += piece.column("text").nbytes
-            if size > CHUNK_BYTES:
-                yield _packed(np.concatenate(held), parts, chunk_contexts)
-                held, size = [], 0
+            if len(raw) > CHUNK_BYTES:
+                yield _packed(np.concatenate(held), np.concatenate(texts), raw, parts, chunk_contexts)
+                held, texts, raw = [], [], bytearray()
         if held:
-            yield _packed(np.concatenate(held), parts, chunk_contexts)
+            yield _packed(np.concatenate(held), np.concatenate(texts), raw, parts, chunk_contexts)
 
     return docs.select("place", F.col("text").cast("string")).mapInArrow(scan, "part int, entries binary")
 
 
-def _packed(entries: np.ndarray, parts: int, chunk_contexts: int) -> pa.RecordBatch:
-    entries, first = _firsts(entries)
+def _packed(entries: np.ndarray, text_at: np.ndarray, raw: bytearray, parts: int, chunk_contexts: int) -> pa.RecordBatch:
+    order, source = _firsts(entries)
+    entries = entries[order]
+    first = source == np.arange(len(source))
+    clash = entries[:0] if _same_bytes(entries, source, text_at[order], raw) else entries[:1].copy()
+    clash["kind"] = CLASH
     repeats, entries = _merged(entries[~first]), entries[first]
     repeats["kind"] = REMOVED
     entries["kind"] = np.where(_contexts_per_key(entries) > chunk_contexts, SPREAD, COMPARE)
     spread = entries[entries["kind"] == SPREAD]
     marks = spread[np.unique(spread["key"], return_index=True)[1]]
     marks["kind"] = MARK
-    everything = np.concatenate([repeats, entries, marks])
+    everything = np.concatenate([repeats, entries, marks, clash])
     by_key = (everything["kind"] == COMPARE) | (everything["kind"] == MARK)
     part = np.where(by_key, everything["key"], mix(everything["place"].astype(np.uint64))) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
@@ -199,36 +258,74 @@ def _packed(entries: np.ndarray, parts: int, chunk_contexts: int) -> pa.RecordBa
 
 
 def resolve_contexts(found: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """Rows of FOUND: removed ranges, and the occurrences whose windows must be compared."""
+    """Rows of FOUND and SOURCE: removed ranges, and the occurrences whose windows must be compared.
+
+    `first` and `first_low` say where the bytes of a range stand first, if that was decided here and not inside a chunk.
+    """
 
     def resolve(table: pa.Table) -> pa.Table:
         blobs = table.column("entries").to_pylist()
         entries = np.frombuffer(b"".join(blobs), ENTRY)
-        known = entries[entries["kind"] == REMOVED]
-        spread = entries[entries["kind"] == SPREAD]
-        compared, first = _firsts(entries[entries["kind"] == COMPARE])
-        later, compared = compared[~first].copy(), compared[first].copy()
-        later["kind"] = REMOVED
+        decided = entries[np.isin(entries["kind"], (REMOVED, SPREAD, CLASH))]
+        compared = entries[entries["kind"] == COMPARE]
+        order, source = _firsts(compared)
+        compared = compared[order].copy()
+        first = source == np.arange(len(source))
+        later, origin = compared[~first], compared[source[~first]]
+        clash = compared[:0] if _same_shape(later, origin) else later[:1].copy()
+        clash["kind"] = CLASH
+        at, n = _copied(later, origin)
+        later, origin = later[at], origin[at]
+        compared = compared[first]
         contexts = _contexts_per_key(compared)
         marked = np.isin(compared["key"], entries["key"][entries["kind"] == MARK])
         compared["kind"] = np.where(marked | (contexts > most_contexts), SPREAD, COMPARE)
-        out = np.concatenate([known, spread, _merged(later), compared[marked | (contexts > 1)]])
-        return pa.table(
-            {
-                "kind": out["kind"].astype(np.int32),
-                "key": out["key"].view(np.int64) if out["key"].flags.c_contiguous else out["key"].astype(np.int64),
-                "place": np.ascontiguousarray(out["place"]),
-                "low": np.ascontiguousarray(out["low"]),
-                "n": out["n"].astype(np.int32),
-                "at": out["at"].astype(np.int32),
-            }
-        )
+        out = np.concatenate([decided, clash, compared[marked | (contexts > 1)]])
+        nothing = pa.nulls(len(out), pa.int64())
+        return pa.concat_tables([
+            _found(out, out["kind"], out["n"]).append_column("first", nothing).append_column("first_low", nothing),
+            _found(later, np.full(len(later), REMOVED), n)
+            .append_column("first", pa.array(np.ascontiguousarray(origin["place"])))
+            .append_column("first_low", pa.array(np.ascontiguousarray(origin["low"]))),
+        ])
+
+    return found.groupBy("part").applyInArrow(resolve, FOUND + SOURCE)
+
+
+def _found(entries: np.ndarray, kind: np.ndarray, n: np.ndarray) -> pa.Table:
+    return pa.table(
+        {
+            "kind": kind.astype(np.int32),
+            "key": np.ascontiguousarray(entries["key"]).view(np.int64),
+            "place": np.ascontiguousarray(entries["place"]),
+            "low": np.ascontiguousarray(entries["low"]),
+            "n": n.astype(np.int32),
+            "at": entries["at"].astype(np.int32),
+        }
+    )
+
 
-    return found.groupBy("part").applyInArrow(resolve, FOUND)
+def copies_to_verify(found: DataFrame) -> DataFrame:
+    """Rows of FOUND of kind VERIFY: each range that was removed by hashes alone, and each of their first occurrences, once."""
+    copies = found.filter("first is not null")
+    both = copies.select("place", "low", "n").unionByName(copies.selectExpr("first as place", "first_low as low", "n"))
+    return both.distinct().selectExpr(f"{VERIFY} as kind", "0L as key", "place", "low", "n", "0 as at")
+
+
+def collided(found: DataFrame, contexts: DataFrame) -> bool:
+    """Whether equal hashes met different bytes anywhere."""
+    if not found.filter(F.col("kind") == CLASH).isEmpty():
+        return True
+    digests = contexts.filter(F.col("kind") == VERIFY)
+    own = digests.selectExpr("place", "low", "n", "bytes as own")
+    theirs = digests.selectExpr("place as first", "low as first_low", "n", "bytes as theirs")
+    copies = found.filter("first is not null").select("place", "low", "n", "first", "first_low")
+    met = copies.join(own, ["place", "low", "n"], "left").join(theirs, ["first", "first_low", "n"], "left")
+    return not met.filter(~F.coalesce(F.col("own") == F.col("theirs"), F.lit(False))).isEmpty()
 
 
 def contexts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`wanted` (FOUND) with the bytes of each context."""
+    """`wanted` (FOUND) with the bytes of each context; of ranges of kind VERIFY the SHA-256 of their bytes."""
     asked = wanted.groupBy("place").agg(F.collect_list(F.struct("kind", "key", "low", "n", "at")).alias("asked"))
     both = docs.select("place", F.col("text").cast("string")).join(asked, "place")
 
@@ -241,7 +338,11 @@ def contexts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             low, n = fields.field("low").to_numpy(), fields.field("n").to_numpy()
             begin = offsets[row] + low
             raw = data.tobytes()
-            cuts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + n + WINDOW - 1).tolist())]
+            verify = (fields.field("kind").to_numpy() == VERIFY).tolist()
+            cuts = [
+                hashlib.sha256(raw[a:b]).digest() if digest else raw[a:b]
+                for a, b, digest in zip(begin.tolist(), (begin + n + WINDOW - 1).tolist(), verify)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [*(fields.field(c) for c in ("kind", "key")), piece.column("place").take(pa.array(row)),
                  *(fields.field(c) for c in ("low", "n", "at")), pa.array(cuts, pa.binary())],
@@ -392,12 +493,28 @@ def spread_windows(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(
-    docs: DataFrame, chunk_contexts: int = CHUNK_CONTEXTS, most_contexts: int = MOST_CONTEXTS
+    docs: DataFrame,
+    chunk_contexts: int = CHUNK_CONTEXTS,
+    most_contexts: int = MOST_CONTEXTS,
+    context_bits: int = CONTEXT_BITS,
 ) -> DataFrame:
-    """place, low, n: runs of window starts whose windows also start earlier. `docs`: place (unique), text."""
-    parts = PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_lineage(resolve_contexts(find_occurrences(docs, parts, chunk_contexts), most_contexts))
-    contexts = cut_lineage(contexts_of(docs, found.filter(F.col("kind") != REMOVED)))
+    """place, low, n: runs of window starts whose windows also start earlier. `docs`: place (unique), text.
+
+    `context_bits` are those of the first search; one that met a collision is done again with other hashes of 64 bits.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    at_least = PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(at_least, -(-size // PART_BYTES))
+    seed = 0
+    while True:
+        entries = find_occurrences(docs, parts, chunk_contexts, seed, context_bits)
+        found = cut_lineage(resolve_contexts(entries, most_contexts))
+        compared = found.filter(F.col("kind").isin(COMPARE, SPREAD)).drop("first", "first_low")
+        contexts = cut_lineage(contexts_of(docs, compared.unionByName(copies_to_verify(found))))
+        if not collided(found, contexts):
+            break
+        drop_steps(found, contexts)
+        seed, context_bits = seed + 1, CONTEXT_BITS
     decided = found.filter(F.col("kind") == REMOVED).select("place", "low", "n")
     return decided.unionByName(compare_contexts(contexts, parts)).unionByName(spread_windows(contexts))
 
@@ -411,7 +528,7 @@ def remove_repeats(
     doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) instead.
     """
     others = [c for c in docs.columns if c != "text"]
-    row = F.struct(*(["doc_id"] if digest else others)).alias("_row")
+    row = F.struct(*by_name(["doc_id"] if digest else others)).alias("_row")
     rows = numbered(docs.select(row, F.col("doc_id").cast("long"), F.col("text").cast("string")))
     ranges = repeated_ranges(rows, chunk_contexts, most_contexts)
     gathered = ranges.groupBy("place").agg(F.collect_list(F.struct("low", "n")).alias("ranges"))
@@ -443,7 +560,7 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([piece.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
     done = both.mapInArrow(apply, schema)
-    return done if digest else done.select("_row.*", "text").select(*docs.columns)
+    return done if digest else done.select("_row.*", "text").select(*by_name(docs.columns))
 
 
 def _digest(doc_id: pa.Array, data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:

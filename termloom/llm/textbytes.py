@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 PIECE_BYTES = 2 << 20
 SMALL_PIECE = 1 << 20  # where many arrays are held per byte
@@ -46,6 +48,11 @@ def pieces(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = PIECE_
             row = stop
 
 
+def by_name(names: list[str]) -> list[Column]:
+    """Columns of these very names, which may hold dots and backticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each."""
     if isinstance(column, pa.ChunkedArray):

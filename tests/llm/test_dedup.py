@@ -267,6 +267,35 @@ def test_removed_bytes_match_brute_force(spark, chunk, most):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_removal(rows)
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_collisions_of_contexts_are_found(spark, monkeypatch, partitions):
+    rows = [(i, f"{t} {t} {i % 7}") for i, t in near_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions, "doc_id")
+    places = docs.withColumnRenamed("doc_id", "place")
+    searches = []
+    scan = suffix.find_occurrences
+    monkeypatch.setattr(suffix, "find_occurrences", lambda *a: searches.append(a[3:]) or scan(*a))
+
+    def removed(**bits):
+        ranges = suffix.repeated_ranges(places, **bits).collect()
+        return {(r.place, r.low + k) for r in ranges for k in range(r.n)}
+
+    assert removed(context_bits=1) == removed()
+    assert searches == [(0, 1), (1, 64), (0, 64)]
+
+
+def test_ranges_that_differ_from_their_source_are_a_collision(spark):
+    found = spark.createDataFrame(
+        [(suffix.REMOVED, 0, 2, 5, 1, 0, 1, 0), (suffix.REMOVED, 0, 3, 0, 1, 0, None, None)], suffix.FOUND + suffix.SOURCE
+    )
+    text = "".join(random.Random(6).choices("abc", k=100))
+    for last, clash in ((text[-1], False), ("-", True)):
+        docs = spark.createDataFrame([(1, text), (2, "-----" + text[:-1] + last), (3, text)], "place long, text string")
+        wanted = suffix.copies_to_verify(found)
+        assert sorted((r.place, r.low, r.n) for r in wanted.collect()) == [(1, 0, 1), (2, 5, 1)]
+        assert suffix.collided(found, suffix.contexts_of(docs, wanted)) is clash
+
+
 def test_removal_across_stretches_of_a_long_text(monkeypatch):
     import pyarrow as pa
 

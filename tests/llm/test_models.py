@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from tests.llm.conftest import AWKWARD
-from termloom.llm import catalog
+from termloom.llm import catalog, permutation_index
 from termloom.llm.permutation_index import nearest
 from termloom.llm.rank_language import MAX_GRAM, _grams, language_profiles, predict_languages
 from termloom.llm.rule_quality import FEATURES, fit_rules, keep_quality, score_documents, text_statistics, tree_rules
@@ -99,6 +100,39 @@ def test_profiles_and_distance_match_brute_force(spark):
     assert named == {1: "en", 2: "fr", 3: "und", 4: "und", 5: "und"}
 
 
+def test_distances_ties_and_scores_match_brute_force(spark):
+    rng = random.Random(9)
+    taught = [(lang, "".join(rng.choices("abcd ", k=300))) for lang in ("aa", "bb", "cc")] + [("dd", "zz yy"), ("ee", "zz yy")]
+    profiles = language_profiles(spark.createDataFrame(taught, "lang string, text string"), size=60)
+    places: dict = {}
+    for r in profiles.collect():
+        places.setdefault(r.lang, {})[r.gram] = r.place
+    texts = ["".join(rng.choices("abcdxy ", k=n)) for n in (1, 3, 8, 40, 400) for _ in range(6)] + ["zz yy", "", "77"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict_languages(docs, profiles, size=60, document_size=25).collect()}
+
+    def code(gram: str) -> int:
+        letters = [0 if c == " " else ord(c) for c in reversed(gram)]
+        return sum(c << 18 * k for k, c in enumerate(letters)) | len(gram) << 54
+
+    for i, text in enumerate(texts):
+        grams = {code(g): n for g, n in brute_grams(text).items()}
+        best = sorted(grams, key=lambda g: (-grams[g], g))[:25]
+        away = {
+            lang: sum(abs(at[g] - k) if g in at else 60 for k, g in enumerate(best)) for lang, at in sorted(places.items())
+        }
+        first, second = sorted(away.values())[:2]
+        want = min(away, key=lambda lang: (away[lang], lang)) if best else "und"
+        assert got[i][0] == want
+        assert abs(got[i][1] - ((second - first) / second if best and second else 0)) < 1e-9
+
+
+def test_each_task_passes_on_the_best_grams_only(spark):
+    rows = spark.createDataFrame([("en", "the cat")], "lang string, text string")
+    plan = language_profiles(rows, size=20)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_language_on_held_out_rows(spark, awkward, empty):
     rows = catalog.op6_rank_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
@@ -127,6 +161,24 @@ def test_neighbours_recall(spark):
     assert found >= 0.9 * 5 * len(got)
 
 
+def test_neighbours_recall_where_the_radius_rules(spark):
+    """20,000 vectors, so that SHARE of them, not LEAST candidates, sets the radius."""
+    assert permutation_index.SHARE * 20_000 >= permutation_index.LEAST
+    vectors = np.random.default_rng(3).normal(size=(20_000, 32))
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got: dict = {}
+    for r in nearest(table, lambda i: i % 200 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for q in range(0, 20_000, 200):
+        score = units @ units[q]
+        score[q] = -9
+        found += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+    assert len(got) == 100 and found >= 0.9 * 500
+
+
 def test_neighbours_of_copies_and_awkward_rows(spark):
     base = [[float(x) for x in np.random.default_rng(i).normal(size=6)] for i in range(12)]
     rows = [(i, base[i % 12], "x") for i in range(240)]

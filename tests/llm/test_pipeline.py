@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.conftest import shingles, words
 from termloom.llm import catalog
@@ -46,6 +49,24 @@ def test_stages(spark):
     assert len({r.sequence_id for r in packed}) <= 1.01 * total / 2048 + 1
 
 
+@pytest.mark.parametrize("rows", ["awkward", "empty"])
+def test_awkward_tables(request, spark, tmp_path, rows):
+    """Null and repeated ids, null, empty and very long texts, names that stages use inside or that hold a dot, no rows."""
+    docs = request.getfixturevalue(rows).withColumn("a.b", F.lit("kept"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = cut_lineage(stage(spark, seen, str(tmp_path)))
+        assert seen.columns == docs.columns and seen.filter("`a.b` <> 'kept'").isEmpty(), name
+    left = {r.doc_id for r in seen.collect()}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == left and all(0 <= r.offset <= 2048 - r.length for r in packed)
+    if rows == "awkward":
+        assert len({i for i in left if i in (8, 9)}) <= 1
+
+
 def test_registration():
     import __spark_entry__ as entry
 
