@@ -81,7 +81,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def _letters(seed: int) -> np.ndarray:
     """What each byte counts as in the hashes of one search."""
     if seed == 0:
-        return np.arange(256, dtype=np.uint64)
+        return np.arange(256, dtype=np.uint8)
     return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -226,19 +226,26 @@ def find_occurrences(
             entries["place"] = piece.column("place").to_numpy()[entries["place"]]
             held.append(entries)
             if len(raw) > CHUNK_BYTES:
-                yield _packed(np.concatenate(held), np.concatenate(texts), raw, parts, chunk_contexts)
-                held, texts, raw = [], [], bytearray()
+                yield _packed(held, texts, raw, parts, chunk_contexts)
         if held:
-            yield _packed(np.concatenate(held), np.concatenate(texts), raw, parts, chunk_contexts)
+            yield _packed(held, texts, raw, parts, chunk_contexts)
 
     return docs.select("place", F.col("text").cast("string")).mapInArrow(scan, "part int, entries binary")
 
 
-def _packed(entries: np.ndarray, text_at: np.ndarray, raw: bytearray, parts: int, chunk_contexts: int) -> pa.RecordBatch:
+def _packed(held: list, texts: list, raw: bytearray, parts: int, chunk_contexts: int) -> pa.RecordBatch:
+    """Entries of one chunk. `held`, `texts` and `raw` are emptied as soon as they are used, so that few copies are in memory."""
+    entries = np.concatenate(held)
+    held.clear()
     order, source = _firsts(entries)
     entries = entries[order]
+    text_at = np.concatenate(texts)[order]
+    texts.clear()
+    del order
     first = source == np.arange(len(source))
-    clash = entries[:0] if _same_bytes(entries, source, text_at[order], raw) else entries[:1].copy()
+    clash = entries[:0] if _same_bytes(entries, source, text_at, raw) else entries[:1].copy()
+    raw.clear()
+    del source, text_at
     clash["kind"] = CLASH
     repeats, entries = _merged(entries[~first]), entries[first]
     repeats["kind"] = REMOVED
