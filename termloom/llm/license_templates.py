@@ -4,7 +4,8 @@ Template mark-up: plain words are mandatory and must stand as given; `[[ ... ]]`
 m to n words of any kind. A template is accepted where a run of words of the text takes its automaton from the first to
 the final state: all mandatory words, in order, with nothing between them but the replaceable regions.
 
-Only places of a template's rarest entry word are tried, so a text without such words costs one comparison per word.
+Only places of the words a template can begin with are tried, so a text without such words costs one comparison per word.
+Words are compared by 64-bit hashes.
 
 Defined cases: a null or empty text has no word, no place and score 0; places may overlap and all count; labels are
 distinct, sorted and joined by commas; a repeated row gives a repeated result; other columns of the input are not read.
