@@ -3,8 +3,10 @@
 Copies of a vector are first folded into one weighted point, so a block never holds repeated vectors. A block of at most
 `chunk` points is one distance matrix in one task. A larger block is never cut and never meets in a task: its points are dealt
 to metric cells (metric_cells), a point looks for neighbours and for edges only in cells that can hold nearer ones, the spanning
-tree grows in rounds, and labels are read from the tree's edges by joins and components (density_tree). Edges have a total order
-(reachability, distance, row ids), so the tree, and with it every label, is the same for every chunk size.
+tree grows in rounds, and labels are read from the tree's edges by joins and components (density_tree). Where cells exclude next
+to nothing, sides of the block meet pairwise instead: neighbours come from every two sides, and the tree of the block is the tree
+of the edges in the trees of every two sides together. Edges have a total order (reachability, distance, row ids), so the tree,
+and with it every label, is the same for every chunk size and either way.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from termloom.functions.ordering import with_running_total
 from termloom.operators.assemble import OUTLIER
 from termloom.operators.density_tree import leaf_labels
 from termloom.operators.merge import connected_components
-from termloom.operators.metric_cells import SLACK, against_pivots, deal_cells, describe_cells, gaps_between, matrix_of, meet
+from termloom.operators.metric_cells import (
+    DECIMALS, SIDE_CELLS, SLACK, against_pivots, crowded, deal_cells, describe_cells, gaps_between, matrix_of, meet, meet_sides, pair_sides,
+    rounded_roots, square_gaps,
+)
 from termloom.operators.sizing import broadcast_if_small
 from termloom.session import cut_lineage
 
@@ -94,18 +99,20 @@ def reachability(points: DataFrame, min_samples: int = 2, max_block: int = 2000)
         mutual = np.maximum(_cross_distances(left, right), np.maximum(own[:, None], other[None, :]))
         return pd.DataFrame({"row_id": left["row_id"], "nearest": mutual.min(axis=1)})
 
-    cells = describe_cells(known, F.min("core_distance").alias("least_core_"))
-    visits = cell_visits(known.filter("bound is not null"), cells, own_cell=True)
-    best = meet(visits, known, known, nearest_reach, "row_id long, nearest double", ["vec", "core_distance"])
+    cells = cut_lineage(describe_cells(known, F.min("core_distance").alias("least_core_")))
+    searching = known.filter("bound is not null")
+    dense = crowded(searching, cells, _within(own_cell=True))
+    schema, columns = "row_id long, nearest double", ["vec", "core_distance"]
+    best = meet(cell_visits(searching.join(dense, "coarse_id", "left_anti"), cells, own_cell=True), known, known, nearest_reach, schema, columns)
+    if not dense.isEmpty():
+        best = best.unionByName(meet_sides(searching.join(dense, "coarse_id"), known, _least_reach, schema, columns))
     best = best.groupBy("row_id").agg(F.min("nearest").alias("nearest"))
     measured = known.join(best, "row_id", "left").withColumn("nearest", F.coalesce("nearest", "core_distance"))
     return _spread(points, distinct, measured.select("coarse_id", "row_id", "core_distance", "nearest"), ["core_distance", "nearest"])
 
 
-def cell_visits(points: DataFrame, cells: DataFrame, own_cell: bool = False) -> DataFrame:
-    """(row_id, cell, part) of the cell parts that may hold a row within `bound` of a point. A part is left out if its radius and
-    least core distance, where `cells` tells it, put every member beyond the bound, or, where `component` is told, if all its
-    members are of the point's component."""
+def _within(own_cell: bool):
+    """Which cell parts a point visits, as a match of `against_pivots` (cell_visits)."""
 
     def within(block: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         gaps = gaps_between(matrix_of(block["vec"]), matrix_of(centres["pivot_"])) - centres["radius_"].to_numpy()[None, :]
@@ -123,7 +130,54 @@ def cell_visits(points: DataFrame, cells: DataFrame, own_cell: bool = False) ->
             {"row_id": block["row_id"].to_numpy()[row], "cell": centres["cell_"].to_numpy()[cell], "part": centres["part_"].to_numpy()[cell]}
         )
 
-    return against_pivots(points, cells, within, "row_id long, cell long, part long")
+    return within
+
+
+def cell_visits(points: DataFrame, cells: DataFrame, own_cell: bool = False) -> DataFrame:
+    """(row_id, cell, part) of the cell parts that may hold a row within `bound` of a point. A part is left out if its radius and
+    least core distance, where `cells` tells it, put every member beyond the bound, or, where `component` is told, if all its
+    members are of the point's component."""
+    return against_pivots(points, cells, _within(own_cell), "row_id long, cell long, part long")
+
+
+def _slices(left: pd.DataFrame, right: pd.DataFrame):
+    """Slices of the rows of `left` with their squared distances to all rows of `right`, infinite between a point and itself."""
+    one, two = matrix_of(left["vec"]), matrix_of(right["vec_"])
+    own, other = left["row_id"].to_numpy(), right["row_id_"].to_numpy()
+    shared = np.isin(own, other).any()
+    step = max(1, SIDE_CELLS // len(two))
+    for i in range(0, len(one), step):
+        at = slice(i, i + step)
+        squares = square_gaps(one[at], two)
+        if shared:
+            squares[own[at, None] == other[None, :]] = np.inf
+        yield at, squares
+
+
+def _nearest_of_side(min_samples: int):
+    """The `min_samples` nearest members of every visitor, as a match of `meet_sides`."""
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, ids, weights = left["row_id"].to_numpy(), right["row_id_"].to_numpy(), right["weight_"].to_numpy()
+        found = []
+        for at, squares in _slices(left, right):
+            every = np.arange(len(squares))
+            for _ in range(min(min_samples, len(ids))):
+                nearest = squares.argmin(axis=1)
+                found.append((rows[at], rounded_roots(squares[every, nearest]), weights[nearest], ids[nearest]))
+                squares[every, nearest] = np.inf
+        gathered = pd.DataFrame({name: np.concatenate(part) for name, part in zip(("row_id", "gap", "weight", "other"), zip(*found))})
+        return gathered[np.isfinite(gathered["gap"])]
+
+    return match
+
+
+def _least_reach(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Smallest mutual reachability of every visitor to a member, as a match of `meet_sides`. A minimum can be rounded last."""
+    own, other = left["core_distance"].to_numpy(), right["core_distance_"].to_numpy()
+    least = [np.maximum(np.sqrt(np.maximum(squares, 0)), other[None, :]).min(axis=1) for _, squares in _slices(left, right)]
+    least = np.maximum(np.round(np.concatenate(least), DECIMALS), own)
+    return pd.DataFrame({"row_id": left["row_id"], "nearest": least})
 
 
 def _with_core(distinct: DataFrame, min_samples: int, max_block: int) -> DataFrame:
@@ -150,9 +204,16 @@ def _with_core(distinct: DataFrame, min_samples: int, max_block: int) -> DataFra
     schema, columns = "row_id long, gap double, weight long, other long", ["vec", "weight"]
     near = cut_lineage(meet(placed.select("row_id", "cell", "part"), placed, placed, nearest_rows, schema, columns))
     bounded = placed.join(_reached(near, placed, min_samples).withColumnRenamed("gap", "bound"), "row_id", "left")
-    bounded = bounded.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    visits = cell_visits(bounded, describe_cells(placed))
-    near = cut_lineage(near.unionByName(meet(visits, placed, placed, nearest_rows, schema, columns)))
+    bounded = cut_lineage(bounded.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+    cells = cut_lineage(describe_cells(placed))
+    dense = crowded(bounded, cells, _within(own_cell=False))
+    visits = cell_visits(bounded.join(dense, "coarse_id", "left_anti"), cells)
+    met = meet(visits, placed, placed, nearest_rows, schema, columns)
+    if not dense.isEmpty():
+        whole = placed.join(dense, "coarse_id")
+        near = near.join(whole.select("row_id"), "row_id", "left_anti")
+        met = met.unionByName(meet_sides(whole, whole, _nearest_of_side(min_samples), schema, columns))
+    near = cut_lineage(near.unionByName(met))
     nearest = near.groupBy("row_id").agg(F.min(F.struct("gap", "other")).alias("n"))
     core = placed.join(_reached(near, placed, min_samples, whole=True), "row_id", "left").join(nearest, "row_id", "left")
     return core.select(
@@ -223,12 +284,84 @@ def _spanning_tree(mutual: np.ndarray, gaps: np.ndarray) -> list[tuple[float, fl
     return sorted(edges)
 
 
+def _tree_of_points(rows: np.ndarray, vectors: np.ndarray, core: np.ndarray) -> list[tuple[float, float, int, int]]:
+    """Edges of the minimum spanning tree (reachability, distance, smaller row, larger row) without a matrix of distances.
+
+    Points that the tree has not reached stand in the first `n` places of all arrays.
+    """
+    rest, at, own = rows.copy(), vectors.copy(), core.copy()
+    squares = (at**2).sum(axis=1)
+    n = len(rest)
+    cost, near, via = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+    edges, pick = [], 0
+    while True:
+        row, vec, square, level = rest[pick], at[pick].copy(), squares[pick], own[pick]
+        n -= 1
+        for array in (rest, at, own, squares, cost, near, via):
+            array[pick] = array[n]
+        if not n:
+            return edges
+        gaps = rounded_roots(square + squares[:n] - 2 * (at[:n] @ vec))
+        reach = np.maximum(np.maximum(gaps, level), own[:n])
+        closer = reach < cost[:n]
+        tied = np.flatnonzero((reach == cost[:n]) & (gaps <= near[:n]))
+        if len(tied):
+            low, high = np.minimum(rest[tied], row), np.maximum(rest[tied], row)
+            was_low, was_high = np.minimum(rest[tied], via[tied]), np.maximum(rest[tied], via[tied])
+            closer[tied] = (gaps[tied] < near[tied]) | (low < was_low) | ((low == was_low) & (high < was_high))
+        changed = np.flatnonzero(closer)
+        cost[changed], near[changed], via[changed] = reach[changed], gaps[changed], row
+        first = np.flatnonzero(cost[:n] == cost[:n].min())
+        if len(first) > 1:
+            ends = np.minimum(rest[first], via[first]), np.maximum(rest[first], via[first])
+            first = first[np.lexsort((ends[1], ends[0], near[first]))]
+        pick = int(first[0])
+        edges.append((float(cost[pick]), float(near[pick]), int(min(rest[pick], via[pick])), int(max(rest[pick], via[pick]))))
+
+
+def _tree_by_sides(core: DataFrame) -> DataFrame:
+    """Spanning tree edges (coarse_id, reach, gap, low, high) of whole blocks, whatever their vectors.
+
+    An edge of a block's tree is in the tree of every part of the block that holds both its ends, so the trees of every two sides
+    together hold all of them. They have few edges a point; the tree of these is grown by joins.
+    """
+
+    def trees(sides: pd.DataFrame) -> pd.DataFrame:
+        rows, own = sides["row_id"].to_numpy(), sides["core_distance"].to_numpy(float)
+        edges = _tree_of_points(rows, matrix_of(sides["vec"]), own)
+        found = pd.DataFrame(edges, columns=["reach", "gap", "low", "high"])
+        found.insert(0, "coarse_id", sides["coarse_id"].iloc[0])
+        return found
+
+    schema = "coarse_id long, reach double, gap double, low long, high long"
+    edge = F.struct("reach", "gap", "low", "high")
+    joining = cut_lineage(pair_sides(core, trees, schema, ["vec", "core_distance"]).distinct())
+    joining = joining.withColumns({"a": F.col("low"), "b": F.col("high")})
+    edges = []
+    while True:
+        ends = joining.select("coarse_id", F.col("a").alias("component"), F.col("b").alias("other"), edge.alias("e"))
+        ends = ends.unionByName(ends.select("coarse_id", F.col("other").alias("component"), F.col("component").alias("other"), "e"))
+        best = ends.groupBy("component").agg(F.min(F.struct("e", "other", "coarse_id")).alias("b"))
+        best = cut_lineage(best.select("component", "b.other", "b.coarse_id", "b.e.*"))
+        edges.append(best.select("coarse_id", "reach", "gap", "low", "high").distinct())
+        joined = connected_components(best.select(F.col("component").alias("a"), F.col("other").alias("b")))
+        for side in ("a", "b"):
+            names = joined.select(F.col("id").alias(side), F.col("component").alias(f"{side}_"))
+            joining = joining.join(names, side).drop(side).withColumnRenamed(f"{side}_", side)
+        joining = joining.filter("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+        joining = joining.groupBy("coarse_id", "a", "b").agg(F.min(edge).alias("e"))
+        joining = cut_lineage(joining.select("coarse_id", "a", "b", "e.*"))
+        if joining.isEmpty():
+            return reduce(DataFrame.unionByName, edges)
+
+
 def _tree_edges(core: DataFrame) -> DataFrame:
     """Spanning tree edges (coarse_id, reach, gap, low, high) of blocks of any size, from `core` (_with_core).
 
     In each round every component of a block finds its lightest edge to another one; the chosen edges join components, so
     their number at least halves. A component knows an edge before it searches: to a point's nearest neighbour, or into the
-    cell that holds another component nearest by; its points visit only cells that can hold a lighter one.
+    cell that holds another component nearest by; its points visit only cells that can hold a lighter one. Blocks that turn out
+    crowded are left to `_tree_by_sides`.
     """
 
     def lightest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -263,7 +396,7 @@ def _tree_edges(core: DataFrame) -> DataFrame:
     nearest = core.select("row_id", "nearest_id", "nearest_gap", "core_distance")
     nearest = nearest.join(core.select(F.col("row_id").alias("nearest_id"), F.col("core_distance").alias("other_core")), "nearest_id")
     nearest = cut_lineage(nearest.select("row_id", "nearest_id", F.greatest("core_distance", "other_core", "nearest_gap").alias("bound")))
-    edges = []
+    edges, by_sides, points = [], [], core
     while True:
         state = cut_lineage(core.drop("nearest_id", "nearest_gap").join(names, "row_id"))
         one = F.when(F.min("component") == F.max("component"), F.min("component")).alias("one_component_")
@@ -273,8 +406,12 @@ def _tree_edges(core: DataFrame) -> DataFrame:
         bounds = ends.filter("component <> to").select("component", "bound")
         bounds = bounds.unionByName(against_pivots(state, cells, known_bound, "component long, bound double"))
         bounds = bounds.groupBy("component").agg(F.min("bound").alias("bound")).filter(F.col("bound") < float("inf"))
-        searching = state.join(bounds, "component")
-        visits = cell_visits(searching.filter(F.col("core_distance") <= F.col("bound") + SLACK), cells, own_cell=True)
+        searching = cut_lineage(state.join(bounds, "component").filter(F.col("core_distance") <= F.col("bound") + SLACK))
+        dense = crowded(searching, cells, _within(own_cell=True))
+        if not dense.isEmpty():
+            by_sides.append(dense)
+            core, state, searching = (df.join(dense, "coarse_id", "left_anti") for df in (core, state, searching))
+        visits = cell_visits(searching, cells, own_cell=True)
         found = meet(visits, state, state, lightest, schema, ["coarse_id", "vec", "core_distance", "component"])
         best = found.groupBy("coarse_id", "component").agg(F.min(F.struct("reach", "gap", "low", "high", "other")).alias("e"))
         best = cut_lineage(best.select("coarse_id", "component", "e.*"))
@@ -284,6 +421,9 @@ def _tree_edges(core: DataFrame) -> DataFrame:
         joined = connected_components(best.select(F.col("component").alias("a"), F.col("other").alias("b")))
         joined = joined.select(F.col("id").alias("component"), F.col("component").alias("joined"))
         names = cut_lineage(names.join(joined, "component").select("row_id", F.col("joined").alias("component")))
+    if by_sides:
+        left = reduce(DataFrame.unionByName, by_sides)
+        edges = [e.join(left, "coarse_id", "left_anti") for e in edges] + [_tree_by_sides(points.join(left, "coarse_id"))]
     return reduce(DataFrame.unionByName, edges)
 
 

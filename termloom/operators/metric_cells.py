@@ -3,6 +3,10 @@
 Rows of a block (coarse_id) are dealt to the nearest of a few pivots of the block, which are rows with low hashes. A cell knows
 its radius; by the triangle inequality a point at distance d of the pivot is no nearer than d - radius to any member. Cells with
 many members are cut in parts by hash, so what one task holds is bounded by `per_cell`.
+
+On vectors without structure radii exclude next to nothing, and one copy of a point per visited cell grows with the square of the
+block. Such blocks (`crowded`) are compared whole: rows are dealt to a few sides by hash, and every two sides meet in a task
+(`meet_sides`, `pair_sides`), so that a row is sent SIDES times whatever the vectors.
 """
 
 from __future__ import annotations
@@ -23,6 +27,12 @@ MATRIX_CELLS = 4_000_000
 # Distances are compared at this many decimals, so that matrices of different shapes agree.
 DECIMALS = 9
 SLACK = 1e-8
+# Blocks whose points would visit more cells than this, on average, are compared side by side.
+VISITS = 16
+# Rows of a side, until a block has SIDES of them; sides grow then, up to MOST_ROWS.
+SIDE_ROWS, SIDES, MOST_ROWS = 8_000, 8, 80_000
+# Distances that a task compares at once: few enough to stay in the processor's cache.
+SIDE_CELLS = 1_000_000
 
 
 def gaps_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,3 +117,81 @@ def meet(visits: DataFrame, visitors: DataFrame, placed: DataFrame, match: Calla
 
     met = left.groupBy("cell", "part", "piece").cogroup(right.groupBy("cell_", "part_", "piece_"))
     return met.applyInPandas(run, schema)
+
+
+def crowded(points: DataFrame, pivots: DataFrame, match: Callable) -> DataFrame:
+    """(coarse_id) of the blocks whose points would visit more than VISITS cells each. `match` as for `against_pivots`."""
+
+    def count(block: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"coarse_id": block["coarse_id"].iloc[:1], "visits": len(match(block, centres)), "rows": len(block)})
+
+    counted = against_pivots(points, pivots, count, "coarse_id long, visits long, rows long")
+    total = counted.groupBy("coarse_id").agg(F.sum("visits").alias("visits"), F.sum("rows").alias("rows"))
+    return cut_lineage(total.filter(F.col("visits") > VISITS * F.col("rows")).select("coarse_id"))
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """(coarse_id, sides): in how many sides the rows of a block are dealt."""
+    n = F.count("*")
+    sides = F.greatest(F.least(F.ceil(n / SIDE_ROWS), F.lit(SIDES)), F.ceil(n / MOST_ROWS))
+    return cut_lineage(rows.groupBy("coarse_id").agg(sides.cast("long").alias("sides")))
+
+
+def _tasks(n: int) -> int:
+    """Partitions for `n` groups of equal work: so many that few groups share one."""
+    return max(1, min(4 * n, 4000))
+
+
+def _every(sides: str):
+    return F.sequence(F.lit(0).cast("long"), F.col(sides) - 1)
+
+
+def _side(sides: str):
+    return F.pmod(F.xxhash64("row_id", F.lit(13)), F.col(sides))
+
+
+def meet_sides(visitors: DataFrame, members: DataFrame, match: Callable, schema: str, columns: list[str]) -> DataFrame:
+    """`match(visitors, members)` for every side of a block's visitors and every side of its members; `columns` are carried on
+    both sides, those of members end in `_`."""
+    counts = _sides(visitors).withColumnRenamed("sides", "left_sides").join(_sides(members).withColumnRenamed("sides", "right_sides"), "coarse_id")
+    counts = cut_lineage(counts)
+    tasks = _tasks(counts.agg(F.sum(F.col("left_sides") * F.col("right_sides"))).first()[0] or 0)
+    left = visitors.join(counts, "coarse_id").select(
+        "coarse_id", _side("left_sides").alias("one"), F.explode(_every("right_sides")).alias("two"), "row_id", *columns
+    )
+    right = members.join(counts, "coarse_id").select(
+        F.col("coarse_id").alias("coarse_id_"), F.explode(_every("left_sides")).alias("one_"), _side("right_sides").alias("two_"),
+        F.col("row_id").alias("row_id_"), *[F.col(c).alias(f"{c}_") for c in columns],
+    )
+
+    def run(block: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(others):
+            return pd.DataFrame({name.split()[0]: [] for name in schema.split(", ")})
+        return match(block, others)
+
+    met = left.repartition(tasks, "coarse_id", "one", "two").groupBy("coarse_id", "one", "two")
+    others = right.repartition(tasks, "coarse_id_", "one_", "two_").groupBy("coarse_id_", "one_", "two_")
+    return met.cogroup(others).applyInPandas(run, schema)
+
+
+def pair_sides(rows: DataFrame, match: Callable, schema: str, columns: list[str], itself: bool = False) -> DataFrame:
+    """`match(rows)` for every two sides of a block together, told apart by the column `side`; a block of one side comes alone,
+    and with `itself` every side also comes alone."""
+    counts = _sides(rows)
+    pairs = F.col("sides") * (F.col("sides") + 1) / 2
+    tasks = _tasks(int(counts.agg(F.sum(pairs)).first()[0] or 0))
+    dealt = rows.join(counts, "coarse_id").select("coarse_id", _side("sides").alias("side"), "sides", "row_id", *columns)
+    dealt = dealt.withColumn("other", F.explode(_every("sides")))
+    if not itself:
+        dealt = dealt.filter((F.col("side") != F.col("other")) | (F.col("sides") == 1))
+    keyed = dealt.withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")}).drop("other", "sides")
+    return keyed.repartition(tasks, "coarse_id", "one", "two").groupBy("coarse_id", "one", "two").applyInPandas(match, schema)
+
+
+def square_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of `a` and `b`, as `gaps_between` takes them."""
+    return (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
+
+
+def rounded_roots(squares: np.ndarray) -> np.ndarray:
+    return np.round(np.sqrt(np.maximum(squares, 0)), DECIMALS)
