@@ -2,7 +2,8 @@
 
 A side is broadcast only when its counted size fits the budget. Beyond it vectors are dealt to metric cells
 (metric_cells) and matched only with cells that the triangle inequality leaves open; each task emits one best match
-per row, or only the pairs that reach the threshold. On vectors without structure few cells are left out.
+per row, or only the pairs that reach the threshold. On vectors without structure few cells are left out; then sides of the
+vectors meet pairwise, and a vector is sent to each side once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.vectors import norm, unit
-from termloom.operators.metric_cells import against_pivots, deal_cells, describe_cells, gaps_between, matrix_of, meet
+from termloom.operators.metric_cells import (
+    SIDE_CELLS, against_pivots, crowded, deal_cells, describe_cells, gaps_between, matrix_of, meet, meet_sides, pair_sides,
+)
 from termloom.session import BROADCAST_BYTES, cut_lineage
 
 BLOCK_BYTES = 32 << 20
@@ -133,8 +136,11 @@ def _nearest_in_cells(points, centroids, id_col, metric, n, dim, schema, budget)
         best, value = _best_matches(matrix_of(block["vec"]), members["row_id_"].to_numpy(), matrix_of(members["vec_"]), metric)
         return pd.DataFrame({id_col: block["row_id"], "cluster_id": best, "score": value})
 
-    visits = against_pivots(rows, cells, open_cells, "row_id long, cell long, part long")
-    scored = meet(visits, rows, placed, best_member, schema, ["vec"])
+    if crowded(rows, cells, open_cells).isEmpty():
+        visits = against_pivots(rows, cells, open_cells, "row_id long, cell long, part long")
+        scored = meet(visits, rows, placed, best_member, schema, ["vec"])
+    else:
+        scored = meet_sides(rows, placed, best_member, schema, ["vec"])
     if zero is not None:
         scored = scored.unionByName(
             rows.select(F.col("row_id").alias(id_col), F.lit(zero).alias("cluster_id"), F.lit(0.0).alias("score"))
@@ -203,6 +209,27 @@ def _pairs_in_cells(vectors: DataFrame, threshold: float, n: int, dim: int, sche
         low, high = np.minimum(a_ids[i], b_ids[j]), np.maximum(a_ids[i], b_ids[j])
         return pd.DataFrame({"id_a": low, "id_b": high, "similarity": scores[i, j]})
 
+    def match_sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        ids, matrix, side = rows["row_id"].to_numpy(), matrix_of(rows["vec"]), rows["side"].to_numpy()
+        first = rows["one"].iloc[0]
+        alone = first == rows["two"].iloc[0]
+        one, two = (side == first).nonzero()[0], (alone | (side != first)).nonzero()[0]
+        others = matrix[two]
+        step = max(1, SIDE_CELLS // max(1, len(two)))
+        for start in range(0, len(one), step):
+            at = one[start : start + step]
+            keep = matrix[at] @ others.T
+            i, j = np.nonzero(keep >= threshold)
+            a, b, value = ids[at[i]], ids[two[j]], keep[i, j]
+            if alone:
+                once = a < b
+                a, b, value = a[once], b[once], value[once]
+            if len(a):
+                yield pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "similarity": value})
+
+    if not crowded(placed, cells, open_cells).isEmpty():
+        return pair_sides(placed, match_sides, schema, ["vec"], itself=True)
     visits = against_pivots(placed, cells, open_cells, "row_id long, cell long, part long")
     visitors = placed.withColumnsRenamed({"cell": "own_cell", "part": "own_part"})
     members = placed.withColumns({"own_cell": F.col("cell"), "own_part": F.col("part")})

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from termloom.operators import density, metric_cells
+from pyspark.sql import functions as F
+
+from termloom.operators import density, metric_cells, similarity
 from termloom.session import cut_lineage
 from tests.test_clustering import frame
 
@@ -70,3 +72,22 @@ def test_tree_by_sides_is_the_tree_of_all_pairs(spark, ties, few_rows_a_side):
     core = cut_lineage(spark.createDataFrame(rows, "coarse_id long, row_id long, vec array<double>, core_distance double"))
     edges = density._tree_by_sides(core).select("reach", "gap", "low", "high").collect()
     assert sorted(map(tuple, edges)) == want
+
+
+def test_pairs_and_nearest_without_structure_meet_by_sides(spark, monkeypatch, few_rows_a_side):
+    """No vector is sent to more places than there are sides, and nothing is lost."""
+    rng = np.random.default_rng(12)
+    cents, rows = rng.normal(size=(400, 10)), rng.normal(size=(150, 10))
+    cents[9], cents[70] = cents[5], 0
+    met = []
+    original = similarity.meet
+    monkeypatch.setattr(similarity, "meet", lambda *a: met.append(a[0].count()) or original(*a))
+    centroids = frame(spark, cents).select(F.col("row_id").alias("cluster_id"), F.col("vec").alias("centroid"))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    close = unit(cents) @ unit(cents).T
+    pairs = similarity.similar_pairs(centroids, 0.5, budget=4_000).collect()
+    assert sorted((r.id_a, r.id_b) for r in pairs) == list(zip(*np.nonzero(np.triu(close >= 0.5, 1))))
+    assert all(abs(close[r.id_a, r.id_b] - r.similarity) < 1e-9 for r in pairs)
+    got = {r.row_id: r.cluster_id for r in similarity.nearest_centroid(frame(spark, rows), centroids, budget=4_000).collect()}
+    assert got == {i: int(np.argmax(s)) for i, s in enumerate(np.round(unit(rows) @ unit(cents).T, 12))}
+    assert not met
