@@ -11,6 +11,8 @@ from termloom.functions.numbers import fixed_text
 from termloom.functions.text import WORD, capitalize_words, strip, words
 from termloom.operators.assemble import clustered, first_members, keyword_lists, top_members
 from termloom.operators.intent import vote_clusters
+from termloom.operators.sizing import broadcast_if_small
+from termloom.session import cut_lineage
 
 PHRASE_MINIMUM = 3
 
@@ -63,30 +65,66 @@ def themes(members: DataFrame, limit: int | None = None) -> DataFrame:
     return best.groupBy("cluster_id").agg(F.array_join(F.transform(pair, lambda p: p["word"]), " ").alias("theme"))
 
 
+# Text of a cluster that is counted at once. Larger clusters are counted in parts.
+PART_BYTES = 4 << 20
+# Most frequent phrases of a part that tell how often the best phrase of the cluster is used at least.
+LEADERS = 20
+
+
 def common_phrases(members: DataFrame, limit: int | None = None) -> DataFrame:
     """(cluster_id, phrase): the most frequent 2- or 3-word phrase of all members, if used three times.
 
     `limit` reads only the first so many members of each cluster.
+
+    Texts move once, dealt to parts of clusters, and phrases are counted where their part lies. The sums of the parts' leading
+    phrases bound the best count from below; a phrase that reaches it has its share of it in some part, and only such phrases
+    are summed over the parts. A phrase of three words is never more frequent than its first two, which stand earlier: it has
+    no effect on the result and is not counted.
     """
-    tokens = F.col("tokens")
+    read = _read_members(members, limit).select("cluster_id", "position", F.lower("keyword").alias("text"))
+    read = cut_lineage(read)
+    sizes = read.groupBy("cluster_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    sizes = cut_lineage(sizes.withColumn("parts", F.greatest(F.ceil(F.col("bytes") / PART_BYTES), F.lit(1))))
+    repeated = cut_lineage(_part_counts(read, sizes).filter("n >= 2"))
+    rank = F.row_number().over(Window.partitionBy("cluster_id", "part").orderBy(F.desc("n"), "phrase"))
+    leaders = repeated.withColumn("rank", rank).filter(F.col("rank") <= LEADERS)
+    leaders = leaders.groupBy("cluster_id", "phrase").agg(F.sum("n").alias("n")).groupBy("cluster_id").agg(F.max("n").alias("most"))
+    least = F.greatest(F.coalesce("most", F.lit(0)), F.lit(PHRASE_MINIMUM)).alias("least")
+    sizes = cut_lineage(sizes.join(leaders, "cluster_id", "left").select("cluster_id", "bytes", "parts", least))
+    often = repeated.join(broadcast_if_small(sizes.select("cluster_id", "least")), "cluster_id")
+    often = often.filter(F.col("n") * F.col("parts") >= F.col("least")).select("cluster_id", "phrase")
+    spread = sizes.filter("least <= parts")  # a phrase that stands once in every part may do
+    if not spread.isEmpty():
+        often = often.unionByName(_part_counts(read, spread).select("cluster_id", "phrase"))
+    often = broadcast_if_small(cut_lineage(often.distinct()))
+    summed = _phrases(read).join(often, ["cluster_id", "phrase"]).groupBy("cluster_id", "phrase")
+    summed = summed.agg(F.count("*").alias("n"), F.min(_place()).alias("first"))
+    negated = F.struct("n", -F.col("first"))
+    best = summed.groupBy("cluster_id").agg(F.max_by("phrase", negated).alias("phrase"), F.max("n").alias("n"))
+    return best.filter(F.col("n") >= PHRASE_MINIMUM).select("cluster_id", "phrase")
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        return F.when(
-            F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        ).otherwise(F.array().cast("array<string>"))
 
-    spread = (
-        _read_members(members, limit)
-        .withColumn("tokens", words(F.lower("keyword")))
-        .select("cluster_id", "position", F.posexplode(F.concat(grams(2), grams(3))).alias("pos", "phrase"))
-    )
-    counted = spread.groupBy("cluster_id", "phrase").agg(
-        F.count("*").alias("n"), F.min(_place()).alias("first")
+def _phrases(rows: DataFrame) -> DataFrame:
+    """Rows (text, position, ...) by phrase of two words, with its place `pos` in the text."""
+    following = F.greatest(F.size("tokens") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("tokens", F.lit(1), following), F.slice("tokens", F.lit(2), following), lambda a, b: F.concat_ws(" ", a, b)
     )
-    negated = F.struct("n", -F.col("first"))
-    best = counted.groupBy("cluster_id").agg(F.max_by("phrase", negated).alias("phrase"), F.max("n").alias("n"))
-    return best.filter(F.col("n") >= PHRASE_MINIMUM).select("cluster_id", "phrase")
+    others = [c for c in rows.columns if c != "text"]
+    return rows.withColumn("tokens", words(F.col("text"))).select(*others, F.posexplode(pairs).alias("pos", "phrase"))
+
+
+def _part_counts(read: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster_id, part, parts, phrase, n) of the phrases of each part, for `clusters` (cluster_id, bytes, parts).
+
+    Counts are taken where a part is laid out, so that only texts are shuffled.
+    """
+    total = clusters.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(read.sparkSession.sparkContext.defaultParallelism, min(100_000, -(-int(total) // (2 * PART_BYTES))))
+    dealt = read.join(broadcast_if_small(clusters.select("cluster_id", "parts")), "cluster_id")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("position", "text"), F.col("parts")))
+    laid = _phrases(dealt.repartition(tasks, "cluster_id", "part"))
+    return laid.groupBy("cluster_id", "part", "parts", "phrase").agg(F.count("*").alias("n"))
 
 
 def analyze_clusters(members: DataFrame, brands: list[str] | None = None) -> DataFrame:
