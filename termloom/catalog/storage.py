@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termloom.catalog.fixtures import CLEAN_SQL, KEYWORDS_SQL, clean_keywords, keywords, strip_sql, table
-from termloom.catalog.metrics import METRICS_SQL, metrics, rounded
+from termloom.catalog.metrics import METRICS_SQL, rounded
 from termloom.catalog.registry import query
 from termloom.catalog.vectors import CENTROIDS, vectors
 from termloom.operators import enrich
+from termloom.operators.assemble import cluster_metrics, clustered
 from termloom.operators.merge import cluster_centroids
 from termloom.session import cut_lineage, scratch_path
 from termloom.sources.delimited import MISSING, NUMBER, detect_roles, preview, project_roles, read_delimited
@@ -145,10 +146,14 @@ def _(spark, sf):
     return parse_metrics(responses.select("response_id", text.alias("response")))
 
 
-def job_tables(spark, sf):
-    """A fresh root with the clean keywords of two jobs."""
+def job_tables(spark, sf, stored=None):
+    """A fresh root with the clean keywords of two jobs; `stored` are these keywords where the caller has them written.
+
+    They are cleaned and written once, because five writes read them.
+    """
     tables = JobTables(spark, scratch_path(spark, "jobs"))
-    rows = clean_keywords(spark, sf).drop("grp")
+    stored = cut_lineage(clean_keywords(spark, sf)) if stored is None else stored
+    rows, counted = stored.drop("grp"), cut_lineage(cluster_metrics(clustered(stored)))
     for job_id, share in (("job-a", "row_id % 3 = 0"), ("job-b", "row_id % 3 <> 0")):
         tables.insert_keywords(job_id, rows.filter(share))
         jobs = rows.filter(share).agg(
@@ -157,9 +162,9 @@ def job_tables(spark, sf):
         tables.add_job(jobs)
         tables.save_clusters(
             job_id,
-            metrics(spark, sf)
-            .filter("cluster_id % 3 = 0" if job_id == "job-a" else "cluster_id % 3 <> 0")
-            .select("cluster_id", "keyword_count", "total_search_volume", "avg_keyword_difficulty"),
+            counted.filter("cluster_id % 3 = 0" if job_id == "job-a" else "cluster_id % 3 <> 0").select(
+                "cluster_id", "keyword_count", "total_search_volume", "avg_keyword_difficulty"
+            ),
         )
     return tables
 
@@ -239,8 +244,8 @@ select case when row_id % 3 = 0 then 'job-a' else 'job-b' end as job_id, row_id,
  from kw join last using (keyword)""",
 )
 def _(spark, sf):
-    tables = job_tables(spark, sf)
-    rows = clean_keywords(spark, sf)
+    rows = cut_lineage(clean_keywords(spark, sf))
+    tables = job_tables(spark, sf, rows)
     volumes = rows.filter("keyword like 'buy%'").select(
         "keyword", (F.length("keyword") + F.col("row_id") % 5).cast("long").alias("search_volume"), F.col("row_id").alias("step")
     )
