@@ -79,6 +79,7 @@ def test_pairs_and_nearest_without_structure_meet_by_sides(spark, monkeypatch, f
     rng = np.random.default_rng(12)
     cents, rows = rng.normal(size=(400, 10)), rng.normal(size=(150, 10))
     cents[9], cents[70] = cents[5], 0
+    monkeypatch.setattr(metric_cells, "VISITS", 2)
     met = []
     original = similarity.meet
     monkeypatch.setattr(similarity, "meet", lambda *a: met.append(a[0].count()) or original(*a))
