@@ -6,10 +6,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from tests.llm.conftest import AWKWARD
-from termloom.llm import catalog, permutation_index
+from termloom.llm import catalog, icws_dedup, permutation_index, rule_quality, textbytes
 from termloom.llm.permutation_index import nearest
 from termloom.llm.rank_language import MAX_GRAM, _grams, language_profiles, predict_languages
 from termloom.llm.rule_quality import FEATURES, fit_rules, keep_quality, score_documents, text_statistics, tree_rules
@@ -192,3 +194,14 @@ def test_neighbours_of_copies_and_awkward_rows(spark):
     two = nearest(table.filter("vec_id < 2"), lambda i: i % 50 == 0, 5).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in two] == [(0, 1, 1)]
     assert nearest(table.limit(0), lambda i: i % 50 == 0, 5).count() == 0
+
+
+def test_functions_travel_without_the_powers_that_the_driver_has_kept():
+    text = pa.array(["one text with some words in it, and again some words in it", None, ""])
+    here = rule_quality._statistics(text)
+    assert sum(p.nbytes for p in textbytes._powers.values()) > 1 << 24
+    for function in (rule_quality._statistics, icws_dedup.Features, textbytes.powers):
+        sent = cloudpickle.dumps(function)
+        assert len(sent) < 1 << 20
+    there = cloudpickle.loads(cloudpickle.dumps(rule_quality._statistics))(text)
+    assert all(np.array_equal(a, b) for a, b in zip(here, there))
