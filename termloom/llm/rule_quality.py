@@ -26,8 +26,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.textbytes import SMALL_PIECE, Words, by_name, mix, pieces, prefix_hashes, span_hashes
-from termloom.session import cut_lineage
+from termloom.llm.textbytes import HASH_PIECE, Words, by_name, mix, pieces, prefix_hashes, span_hashes
+from termloom.session import bound_batches, cut_lineage
 
 MAX_ROWS = 40_000
 TREES = 24
@@ -60,9 +60,10 @@ Rule = tuple[tuple[int, str, float], ...]
 def with_statistics(rows: DataFrame) -> DataFrame:
     """`rows` with FEATURES of the whole text in place of `text`."""
     others = [c for c in rows.columns if c != "text"]
+    bound_batches(rows.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", limit=SMALL_PIECE):
+        for piece in pieces(batches, "text", limit=HASH_PIECE):
             values = _statistics(piece.column("text"))
             columns = [*(piece.column(c) for c in others), *(pa.array(v) for v in values)]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, *FEATURES])

@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.textbytes import BASE_INVERSE, by_name, mix, pieces, powers, prefix_hashes, ragged, span_hashes, text_bytes
-from termloom.session import cut_lineage, drop_steps
+from termloom.llm.textbytes import (
+    BASE_INVERSE, HASH_PIECE, by_name, mix, pieces, powers, prefix_hashes, ragged, span_hashes, text_bytes
+)
+from termloom.session import BATCH_BYTES, bound_batches, cut_lineage, drop_steps
 
 WINDOW = 100
 GRAM = 24
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 32 << 20
 CHUNK_CONTEXTS = 512
 MOST_CONTEXTS = 4096
 PARTS_PER_PARTITION = 6
@@ -218,7 +220,7 @@ def find_occurrences(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, raw = [], [], bytearray()
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", limit=HASH_PIECE):
             entries = occurrences(piece.column("text"), seed, context_bits)
             data, offsets = text_bytes(piece.column("text"))
             texts.append(offsets[entries["place"]] + len(raw))
@@ -226,15 +228,16 @@ def find_occurrences(
             entries["place"] = piece.column("place").to_numpy()[entries["place"]]
             held.append(entries)
             if len(raw) > CHUNK_BYTES:
-                yield _packed(held, texts, raw, parts, chunk_contexts)
+                yield from _packed(held, texts, raw, parts, chunk_contexts)
         if held:
-            yield _packed(held, texts, raw, parts, chunk_contexts)
+            yield from _packed(held, texts, raw, parts, chunk_contexts)
 
     return docs.select("place", F.col("text").cast("string")).mapInArrow(scan, "part int, entries binary")
 
 
-def _packed(held: list, texts: list, raw: bytearray, parts: int, chunk_contexts: int) -> pa.RecordBatch:
-    """Entries of one chunk. `held`, `texts` and `raw` are emptied as soon as they are used, so that few copies are in memory."""
+def _packed(held: list, texts: list, raw: bytearray, parts: int, chunk_contexts: int) -> Iterator[pa.RecordBatch]:
+    """Entries of one chunk, a row for each part, in batches of about BATCH_BYTES. `held`, `texts` and `raw` are emptied as soon
+    as they are used, and rows are views, so that at most two copies of the entries are in memory."""
     entries = np.concatenate(held)
     held.clear()
     order, source = _firsts(entries)
@@ -254,14 +257,22 @@ def _packed(held: list, texts: list, raw: bytearray, parts: int, chunk_contexts:
     marks = spread[np.unique(spread["key"], return_index=True)[1]]
     marks["kind"] = MARK
     everything = np.concatenate([repeats, entries, marks, clash])
+    del repeats, entries, spread, first
     by_key = (everything["kind"] == COMPARE) | (everything["kind"] == MARK)
     part = np.where(by_key, everything["key"], mix(everything["place"].astype(np.uint64))) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
     everything, part = everything[order], part[order].astype(np.int32)
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    stop = np.append(at[1:], len(part))
-    blobs = [everything[a:b].tobytes() for a, b in zip(at, stop)]
-    return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], names=["part", "entries"])
+    offsets = np.append(at, len(part)).astype(np.int32) * ENTRY.itemsize
+    row = 0
+    while row < len(at):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BATCH_BYTES, side="right")) - 1)
+        low, high = offsets[row] // ENTRY.itemsize, offsets[stop] // ENTRY.itemsize
+        blobs = pa.Array.from_buffers(
+            pa.binary(), stop - row, [None, pa.py_buffer(offsets[row : stop + 1] - offsets[row]), pa.py_buffer(everything[low:high])]
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(part[at[row:stop]]), blobs], names=["part", "entries"])
+        row = stop
 
 
 def resolve_contexts(found: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
@@ -271,8 +282,7 @@ def resolve_contexts(found: DataFrame, most_contexts: int = MOST_CONTEXTS) -> Da
     """
 
     def resolve(table: pa.Table) -> pa.Table:
-        blobs = table.column("entries").to_pylist()
-        entries = np.frombuffer(b"".join(blobs), ENTRY)
+        entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
         decided = entries[np.isin(entries["kind"], (REMOVED, SPREAD, CLASH))]
         compared = entries[entries["kind"] == COMPARE]
         order, source = _firsts(compared)
@@ -337,7 +347,7 @@ def contexts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     both = docs.select("place", F.col("text").cast("string")).join(asked, "place")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", limit=HASH_PIECE):
             data, offsets = text_bytes(piece.column("text"))
             asked = piece.column("asked")
             fields = asked.flatten()
@@ -534,6 +544,7 @@ def remove_repeats(
     All columns are kept; `text` loses its repeats, and a character that lost some of its bytes loses the rest. With `digest`:
     doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) instead.
     """
+    bound_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*by_name(["doc_id"] if digest else others)).alias("_row")
     rows = numbered(docs.select(row, F.col("doc_id").cast("long"), F.col("text").cast("string")))
@@ -547,7 +558,7 @@ def remove_repeats(
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", limit=HASH_PIECE):
             data, offsets = text_bytes(piece.column("text"))
             ranges = piece.column("ranges")
             fields = ranges.flatten()

@@ -5,16 +5,21 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import termloom.llm.suffix_dedup as suffix
 from tests.llm.conftest import AWKWARD, shingles, words
 from termloom.llm.components import components
 from termloom.llm.icws_dedup import COMMON, keep_one, near_duplicates
 from termloom.llm.simhash_windows import contaminated_spans, decontaminate
+from termloom.llm.textbytes import text_bytes
+from termloom.session import BATCH_BYTES, BATCH_KEY, bound_batches
 
 
 def near_rows() -> list[tuple[int, str]]:
@@ -370,3 +375,51 @@ def test_decontamination_of_awkward_rows(spark, awkward, empty):
     assert contaminated_spans(awkward, items.limit(0)).count() == 0
     assert decontaminate(awkward, items.limit(0)).count() == len(AWKWARD)
     assert decontaminate(empty, items).count() == 0
+
+
+def test_a_chunk_of_entries_is_packed_in_little_memory_and_small_batches():
+    rng = np.random.default_rng(5)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 60_000))) for _ in range(200)])
+    entries = suffix.occurrences(texts)
+    data, offsets = text_bytes(texts)
+    expected, size = np.sort(entries["key"]), entries.nbytes
+    held, starts, raw = [entries], [offsets[entries["place"]]], bytearray(data.tobytes())
+    del entries
+    tracemalloc.start()
+    try:
+        batches = list(suffix._packed(held, starts, raw, 72, 512))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * size
+    assert len(batches) > 1 and max(b.nbytes for b in batches) < BATCH_BYTES + size // 72 * 2
+    parts = [p for b in batches for p in b.column("part").to_pylist()]
+    assert parts == sorted(set(parts))
+    packed = b"".join(x for b in batches for x in b.column("entries").to_pylist())
+    found = np.frombuffer(packed, suffix.ENTRY)
+    assert np.array_equal(np.sort(found["key"]), expected)
+    assert (np.repeat(parts, [len(x) // 38 for b in batches for x in b.column("entries").to_pylist()]) == found["key"] % 72).all()
+
+
+def test_texts_go_to_workers_in_batches_of_few_bytes(spark, monkeypatch):
+    """Long texts: each stage's function gets batches that follow the bytes, not 10,000 rows; a session's own limit holds."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(400, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 8000) as text")
+
+    def largest(batches):
+        for batch in batches:
+            if batch.nbytes > 3 * BATCH_BYTES:
+                seen.add(1)
+            yield batch
+
+    before = spark.conf.get(BATCH_KEY, None)
+    try:
+        spark.conf.unset(BATCH_KEY)
+        suffix.remove_repeats(rows.limit(2)).count()
+        rows.mapInArrow(largest, rows.schema).agg(F.sum(F.length("text"))).collect()
+        assert seen.value == 0 and spark.conf.get(BATCH_KEY) == str(BATCH_BYTES)
+        spark.conf.set(BATCH_KEY, "16m")
+        bound_batches(spark)
+        assert spark.conf.get(BATCH_KEY) == "16m"
+    finally:
+        spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
