@@ -25,8 +25,8 @@ from termloom.operators.assemble import OUTLIER
 from termloom.operators.density_tree import leaf_labels
 from termloom.operators.merge import connected_components
 from termloom.operators.metric_cells import (
-    DECIMALS, SIDE_CELLS, SLACK, against_pivots, crowded, deal_cells, describe_cells, gaps_between, matrix_of, meet, meet_sides, pair_sides,
-    rounded_roots, square_gaps,
+    DECIMALS, SIDE_CELLS, SLACK, against_pivots, crowded, deal_cells, describe_cells, gaps_between, least_columns, matrix_of, meet,
+    meet_sides, pair_sides, rounded_roots, square_gaps, squares_of,
 )
 from termloom.operators.sizing import broadcast_if_small
 from termloom.session import cut_lineage
@@ -57,6 +57,9 @@ def weighted_points(points: DataFrame) -> DataFrame:
 
 # A block larger than `chunk` points has cells of about chunk / CELLS points.
 CELLS = 8
+# Lightest edges that a point of a growing tree keeps at hand, and further rows among which the nearest ones are picked exactly.
+NEAREST, SPARE = 8, 4
+PAIRS_AT_ONCE = 1 << 16
 
 
 def _distances(vectors: np.ndarray) -> np.ndarray:
@@ -159,12 +162,26 @@ def _nearest_of_side(min_samples: int):
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows, ids, weights = left["row_id"].to_numpy(), right["row_id_"].to_numpy(), right["weight_"].to_numpy()
-        found = []
-        for at, squares in _slices(left, right):
+        one, two = matrix_of(left["vec"]), matrix_of(right["vec_"])
+        labels = (rows, ids) if np.isin(rows, ids).any() else None
+        found, unsure = [], []
+        for at, columns, bound in least_columns(one, two, min_samples + SPARE, labels=labels):
+            every = np.arange(len(columns))[:, None]
+            flat = np.repeat(one[at], columns.shape[1], axis=0), two[columns.ravel()]
+            gaps = np.where(columns < 0, np.inf, rounded_roots(squares_of(*flat)).reshape(columns.shape))
+            first = np.argsort(gaps, axis=1, kind="stable")[:, :min_samples]
+            gaps, columns = gaps[every, first], columns[every, first]
+            sure = gaps[:, -1] < bound
+            unsure.append(np.arange(at.start, at.stop)[~sure & np.isfinite(bound)])
+            kept = sure | np.isinf(bound)
+            part = np.repeat(rows[at][kept], gaps.shape[1]), gaps[kept].ravel(), columns[kept].ravel()
+            found.append((part[0], part[1], weights[part[2]], ids[part[2]]))
+        unsure = np.concatenate(unsure)
+        for at, squares in _slices(left.iloc[unsure], right) if len(unsure) else ():
             every = np.arange(len(squares))
             for _ in range(min(min_samples, len(ids))):
                 nearest = squares.argmin(axis=1)
-                found.append((rows[at], rounded_roots(squares[every, nearest]), weights[nearest], ids[nearest]))
+                found.append((rows[unsure][at], rounded_roots(squares[every, nearest]), weights[nearest], ids[nearest]))
                 squares[every, nearest] = np.inf
         gathered = pd.DataFrame({name: np.concatenate(part) for name, part in zip(("row_id", "gap", "weight", "other"), zip(*found))})
         return gathered[np.isfinite(gathered["gap"])]
@@ -284,39 +301,99 @@ def _spanning_tree(mutual: np.ndarray, gaps: np.ndarray) -> list[tuple[float, fl
     return sorted(edges)
 
 
+def _edges_of(pairs: np.ndarray, vectors: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(reach, gap, low, high) of the edges between points low * n + high, lightest first, each once."""
+    pairs = np.unique(pairs)
+    low, high = np.divmod(pairs, len(vectors))
+    parts = [slice(i, i + PAIRS_AT_ONCE) for i in range(0, len(pairs), PAIRS_AT_ONCE)]
+    gap = np.concatenate([np.zeros(0), *(rounded_roots(squares_of(vectors[low[p]], vectors[high[p]])) for p in parts)])
+    reach = np.maximum(gap, np.maximum(core[low], core[high]))
+    order = np.lexsort((high, low, gap, reach))
+    return reach[order], gap[order], low[order], high[order]
+
+
+def _lightest_pairs(points: np.ndarray, vectors: np.ndarray, core: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """The lightest edge of each point to another component, among all its edges, as low * n + high."""
+    step = max(1, SIDE_CELLS // len(vectors))
+    pairs = [np.zeros(0, np.int64)]
+    for i in range(0, len(points), step):
+        at = points[i : i + step]
+        gaps = rounded_roots(square_gaps(vectors[at], vectors))
+        reach = np.maximum(gaps, np.maximum(core[at, None], core[None, :]))
+        reach[component[at, None] == component[None, :]] = np.inf
+        row, to = np.nonzero((reach == reach.min(axis=1)[:, None]) & np.isfinite(reach))
+        low, high = np.minimum(at[row], to), np.maximum(at[row], to)
+        order = np.lexsort((high, low, gaps[row, to], row))
+        first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        pairs.append(low[first] * len(vectors) + high[first])
+    return np.concatenate(pairs)
+
+
+def _joined_names(count: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest of `count` numbers that each is joined with, by the links of `one` and `two`."""
+    names = np.arange(count)
+    while (names[one] != names[two]).any():
+        sides = names[one], names[two]
+        np.minimum.at(names, np.maximum(*sides), np.minimum(*sides))
+        while (names[names] != names).any():
+            names = names[names]
+    return names
+
+
 def _tree_of_points(rows: np.ndarray, vectors: np.ndarray, core: np.ndarray) -> list[tuple[float, float, int, int]]:
     """Edges of the minimum spanning tree (reachability, distance, smaller row, larger row) without a matrix of distances.
 
-    Points that the tree has not reached stand in the first `n` places of all arrays.
+    Every point knows a few of its lightest edges and a limit that all others reach. A component takes its lightest known edge if
+    that is below the limits of all its points. Where few components are so sure, the points whose limits are in the way look for
+    edges to other components: in single precision, and if limits are in the way still, as with many ties, by all distances. One
+    component may wait for the others to join it.
     """
-    rest, at, own = rows.copy(), vectors.copy(), core.copy()
-    squares = (at**2).sum(axis=1)
-    n = len(rest)
-    cost, near, via = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, dtype=np.int64)
-    edges, pick = [], 0
-    while True:
-        row, vec, square, level = rest[pick], at[pick].copy(), squares[pick], own[pick]
-        n -= 1
-        for array in (rest, at, own, squares, cost, near, via):
-            array[pick] = array[n]
-        if not n:
-            return edges
-        gaps = rounded_roots(square + squares[:n] - 2 * (at[:n] @ vec))
-        reach = np.maximum(np.maximum(gaps, level), own[:n])
-        closer = reach < cost[:n]
-        tied = np.flatnonzero((reach == cost[:n]) & (gaps <= near[:n]))
-        if len(tied):
-            low, high = np.minimum(rest[tied], row), np.maximum(rest[tied], row)
-            was_low, was_high = np.minimum(rest[tied], via[tied]), np.maximum(rest[tied], via[tied])
-            closer[tied] = (gaps[tied] < near[tied]) | (low < was_low) | ((low == was_low) & (high < was_high))
-        changed = np.flatnonzero(closer)
-        cost[changed], near[changed], via[changed] = reach[changed], gaps[changed], row
-        first = np.flatnonzero(cost[:n] == cost[:n].min())
-        if len(first) > 1:
-            ends = np.minimum(rest[first], via[first]), np.maximum(rest[first], via[first])
-            first = first[np.lexsort((ends[1], ends[0], near[first]))]
-        pick = int(first[0])
-        edges.append((float(cost[pick]), float(near[pick]), int(min(rest[pick], via[pick])), int(max(rest[pick], via[pick]))))
+    order = np.argsort(rows, kind="stable")
+    rows, vectors, core = rows[order], vectors[order], core[order]
+    n = len(rows)
+    limit, component = np.zeros(n), np.arange(n)
+
+    def look(points: np.ndarray, labels: tuple | None) -> np.ndarray:
+        pairs = [np.zeros(0, np.int64)]
+        for at, columns, bound in least_columns(vectors if labels is None else vectors[points], vectors, NEAREST + 1, core, labels):
+            limit[points[at]] = np.maximum(bound, core[points[at]])
+            one, two = np.repeat(points[at], columns.shape[1]), columns.ravel()
+            real = (two >= 0) & (one != two)
+            pairs.append(np.minimum(one, two)[real] * n + np.maximum(one, two)[real])
+        return np.concatenate(pairs)
+
+    def leaving(pairs: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """Edges between components, which of them is the lightest of each component, and that one's reachability."""
+        edges = _edges_of(pairs, vectors, core) if len(pairs) else known
+        edges = tuple(x[component[edges[2]] != component[edges[3]]] for x in edges)
+        best = np.full(component.max() + 1, len(edges[0]))
+        for ends in edges[2:]:
+            np.minimum.at(best, component[ends], np.arange(len(ends)))
+        return edges, best, np.append(edges[0], np.inf)[best]
+
+    def with_known(pairs: np.ndarray) -> np.ndarray:
+        return np.concatenate([known[2] * n + known[3], pairs])
+
+    known = _edges_of(look(np.arange(n), None), vectors, core)
+    tree = [tuple(x[:0] for x in known)]
+    while component.max():
+        known, best, level = leaving(np.zeros(0, np.int64))
+        doubt = limit <= level[component]
+        doubtful = np.bincount(component[doubt], minlength=len(best))
+        sure = doubtful == 0
+        if 4 * sure.sum() < len(best):
+            points = np.flatnonzero(doubt & (component != doubtful.argmax()))
+            sure = np.arange(len(best)) != doubtful.argmax()
+            known, best, level = leaving(with_known(look(points, (component[points], component))))
+            points = points[limit[points] <= level[component[points]]]
+            if len(points):
+                known, best, level = leaving(with_known(_lightest_pairs(points, vectors, core, component)))
+        chosen = np.unique(best[sure])
+        tree.append(tuple(x[chosen] for x in known))
+        names = _joined_names(len(best), component[known[2][chosen]], component[known[3][chosen]])
+        component = np.unique(names[component], return_inverse=True)[1]
+    reach, gap, low, high = (np.concatenate(x) for x in zip(*tree))
+    return list(zip(reach.tolist(), gap.tolist(), rows[low].tolist(), rows[high].tolist()))
 
 
 def _tree_by_sides(core: DataFrame) -> DataFrame:

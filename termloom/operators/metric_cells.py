@@ -33,6 +33,8 @@ VISITS = 16
 SIDE_ROWS, SIDES, MOST_ROWS = 8_000, 8, 80_000
 # Distances that a task compares at once: few enough to stay in the processor's cache.
 SIDE_CELLS = 1_000_000
+# Rows and columns of a product in single precision, few enough to stay there too, and candidates a row that are kept unsorted.
+LEFT_ROWS, RIGHT_ROWS, CANDIDATES = 512, 1024, 16
 
 
 def gaps_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,3 +197,74 @@ def square_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def rounded_roots(squares: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(np.maximum(squares, 0)), DECIMALS)
+
+
+def squares_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of `a` and its row of `b`, as `square_gaps` takes them."""
+    return (a**2).sum(axis=1) + (b**2).sum(axis=1) - 2 * np.einsum("ij,ij->i", a, b)
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows)
+
+
+def _places(marks: np.ndarray) -> np.ndarray:
+    """Where few of many marks are set, found eight at once."""
+    whole = len(marks) // 8 * 8
+    near = (np.flatnonzero(marks[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[marks[near]], whole + np.flatnonzero(marks[whole:])])
+
+
+def least_columns(one: np.ndarray, two: np.ndarray, count: int, level: np.ndarray | None = None, labels=None):
+    """Slices of the rows of `one`, each row's `count` rows of `two` that have the least distance, or greater of distance and
+    their `level`, and a bound that all others reach. -1 where there are fewer; of equal `labels` (of `one`, of `two`) are none.
+
+    Rows are picked in single precision, so which come first is not exact, but the bound is: it allows for all rounding.
+    """
+    centre = two.mean(axis=0)
+    scale = max(max(_norms(x[i : i + PART_ROWS] - centre).max() for i in range(0, len(x), PART_ROWS)) for x in (one, two))
+    root, eps = max(np.sqrt(scale), 1e-150), float(np.finfo(np.float32).eps)
+
+    def moved(rows: np.ndarray) -> np.ndarray:
+        """Rows around the centre, at most 1 long, then 1 and their squared length: so that a product is a squared distance."""
+        rows = (rows - centre) / root
+        return np.column_stack([rows, np.ones(len(rows)), _norms(rows)]).astype(np.float32)
+
+    right = np.concatenate([moved(two[i : i + PART_ROWS]) for i in range(0, len(two), PART_ROWS)])
+    twice = np.array([-2.0] * one.shape[1] + [1, 1], np.float32)
+    floor = None if level is None else ((level / root) ** 2).astype(np.float32)
+    if labels is not None:
+        codes = np.unique(np.concatenate(labels), return_inverse=True)[1].astype(np.int32)
+        own, other = codes[: len(one)], codes[len(one) :]
+    width = min(count, len(two), RIGHT_ROWS)
+    room, marks = (np.empty(LEFT_ROWS * RIGHT_ROWS, kind) for kind in (np.float32, bool))
+    for i in range(0, len(one), LEFT_ROWS):
+        at = slice(i, min(i + LEFT_ROWS, len(one)))
+        n = at.stop - i
+        left = moved(one[at])[:, [*range(one.shape[1]), -1, -2]] * twice
+        every = np.arange(n)[:, None]
+        found: list[tuple] = []
+        for j in range(0, len(two), RIGHT_ROWS):
+            to = slice(j, j + RIGHT_ROWS)
+            shape = n, len(right[to])
+            values, below = (x[: shape[0] * shape[1]].reshape(shape) for x in (room, marks))
+            np.matmul(left, right[to].T, out=values)
+            if floor is not None:
+                np.maximum(values, floor[to], out=values)
+            if labels is not None:
+                values[own[at, None] == other[None, to]] = np.inf
+            if not j:
+                columns = np.argpartition(values, width - 1, axis=1)[:, :width]
+                kept = values[every, columns]
+                most = kept.max(axis=1)
+                continue
+            near = _places(np.less(values, most[:, None], out=below).ravel())
+            found.append((near // shape[1], near % shape[1] + j, values.ravel()[near]))
+            if sum(len(f[0]) for f in found) > CANDIDATES * n or j + RIGHT_ROWS >= len(two):
+                row, column, value = (np.concatenate(x) for x in zip((np.repeat(every, width), columns.ravel(), kept.ravel()), *found))
+                order = np.lexsort((value, row))
+                first = np.searchsorted(row[order], np.arange(n))[:, None] + np.arange(width)
+                columns, kept = column[order][first], value[order][first]
+                most, found = kept[:, -1], []
+        least = np.sqrt(np.maximum(most.astype(float) * (1 - 4 * eps) - 4 * (one.shape[1] + 16) * eps, 0)) * root
+        yield at, np.where(np.isfinite(kept), columns, -1), np.where(np.isfinite(most), np.maximum(least - SLACK, 0), np.inf)
